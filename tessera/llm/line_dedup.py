@@ -65,14 +65,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     )
     joined = docs.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
     lines = joined.select("__id", "__text", "__gone", F.split("__text", "\n", -1).alias("__lines"))
-    # The runs between dropped positions, each one slice: linear in the number of lines.
-    bounds = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines")))
-    bounded = lines.withColumn("__bounds", F.when(F.col("__gone").isNotNull(), bounds))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("__bounds") - 1),
-        lambda i: F.slice("__lines", F.get("__bounds", i - 1) + 2, F.get("__bounds", i) - F.get("__bounds", i - 1) - 1),
-    )
-    kept = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    # A mask with a true for each dropped position: linear in the number of lines, where a slice per run is not.
+    at = lambda i: F.when(i < 0, F.lit(-1)).otherwise(F.coalesce(F.get("__gone", i), F.size("__lines")))
+    mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.concat(F.array_repeat(F.lit(False), at(i) - at(i - 1) - 1), F.array(F.lit(True)))))
+    bounded = lines.withColumn("__mask", F.when(F.col("__gone").isNotNull(), mask))
+    left = F.zip_with("__lines", "__mask", lambda line, gone: F.when(~gone, line))
+    kept = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(left, "\n"))
     return bounded.select(
         F.col("__id").alias(id_col),
         F.size("__lines").cast("long").alias("n_lines"),
