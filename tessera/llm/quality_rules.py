@@ -47,7 +47,7 @@ def _repeat_words(words: Column, wide: Column) -> Column:
         return F.filter(rows, lambda x, j: same(j - 1, x) | same(j + 1, x))
 
     def exact(found: Column) -> Column:
-        return F.sort_array(F.transform(found, lambda c: F.struct(F.array_join(F.slice(words, c["i"] + 1, WINDOW), " ").alias("k"), c["i"].alias("i"))))
+        return F.sort_array(F.transform(found, lambda c: F.struct(F.concat_ws(" ", *[F.get(words, c["i"] + k) for k in range(WINDOW)]).alias("k"), c["i"].alias("i"))))
 
     starts = let(let(let(pairs, twins), exact), lambda rows: F.array_sort(F.transform(twins(rows), lambda x: x["i"])))
     covered = F.aggregate(
@@ -116,6 +116,11 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).otherwise(terms)
 
 
+def _below(i: int):
+    """Whether a cutoff lies below metric i."""
+    return lambda c: c < F.get("__metrics", F.lit(i))
+
+
 def calibrate(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The certified cutoff of every rule and stratum: __stratum, rule, cutoff, clean, rejected, caught.
 
@@ -128,7 +133,7 @@ def calibrate(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
     marks = labels.select(F.col(id_col).alias("__lid"), F.col(quality_col).alias("__q")).filter(F.col("__q").isNotNull() & F.col("__lid").isNotNull()).groupBy("__lid").agg(F.min("__q").alias("__q"))
     seen = features.filter(~F.col("base_failed")).join(marks, F.col("__id") == F.col("__lid")).select("__stratum", "__q", "__metrics")
     levels = F.array(*[
-        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, m=F.get("__metrics", F.lit(i)): c < m)).alias("over"))
+        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), _below(i))).alias("over"))
         for i, (name, cuts) in enumerate(LADDERS.items())
     ])
     counts = (
@@ -163,7 +168,8 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     id the lowest quality counts. Without labels no cutoff is certified, and
     only the base rule rejects. Other columns are ignored.
     """
-    features = quality_features(df, id_col, text_col, stratum_col)
+    # Written once: both the calibration and the verdicts read these narrow rows.
+    features = materialise(quality_features(df, id_col, text_col, stratum_col), "quality-features")
     cutoffs = materialise(calibrate(features, labels, id_col, "quality", risk, delta), "quality-cutoffs")
     limits = cutoffs.groupBy("__stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("__cutoffs")).withColumnRenamed("__stratum", "__s")
     failed = F.filter(
