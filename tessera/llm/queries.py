@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.line_dedup import line_dedup
+from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.token_files import read_token_files, write_token_files
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the folder is the installed package's own."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +30,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op7_best_fit_packing, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
