@@ -33,7 +33,7 @@ def committed(uri: str):
     parent, _, name = path.rpartition("/")
     files.create_dir(parent, recursive=True)
     temporary = f"{parent}/.{name}.{uuid.uuid4().hex}.tmp"
-    stream = files.open_output_stream(temporary)
+    stream = files.open_output_stream(temporary, compression=None)
     try:
         yield stream
         stream.close()
@@ -48,7 +48,7 @@ def committed(uri: str):
 
 def read_stream(uri: str):
     files, path = filesystem(uri)
-    return files.open_input_stream(path, buffer_size=1 << 20)
+    return files.open_input_stream(path, compression=None, buffer_size=1 << 20)
 
 
 #: Bins of one pass over the keys; what the driver gathers is that many rows at most, whatever the input.

@@ -12,6 +12,7 @@ from tessera.llm.line_dedup import line_dedup
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_files import read_token_files, write_token_files
+from tessera.llm.warc import read_warc, write_warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +31,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, manifest = write_warc(table(spark, sf_dir, "pages"))
+    return read_warc(path, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -39,11 +45,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op7_best_fit_packing, op8_token_files)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op6_warc": OP6_SQL}
 
 
 OP4_SQL = r"""
@@ -67,3 +73,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+OP6_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), lead AS (
+  SELECT html, max(page_id) AS leader FROM p WHERE n >= 1000 GROUP BY html HAVING count(*) > 1
+)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN l.leader IS NOT NULL AND l.leader <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN l.leader <> p.page_id THEN l.leader END AS refers_to
+FROM p LEFT JOIN lead l ON p.html = l.html
+"""
