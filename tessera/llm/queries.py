@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.decontamination import contamination
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.lm_scoring import held_out, lm_scores
 from tessera.llm.packing import pack
@@ -45,12 +46,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), held=held_out("doc_id", 7, 2))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op10_lm_scoring)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
