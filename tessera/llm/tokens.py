@@ -14,6 +14,10 @@ import re
 #: White space other than space and newline; texts that hold it are encoded whole in "leading" mode.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _RUNS = re.compile("[ \n][ \n]")
+#: Letters beyond Latin-1, whose case and composition are left to the library.
+_WIDE = re.compile("[^\x00-\xff]")
+#: A full stop or comma that is not between a letter or digit and white space, and so may belong to a longer run of marks.
+_MARKS = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]|[.,][^ \n]|^[.,]")
 _LED = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Chunks cached per worker; beyond it the cache starts anew. Bounds memory, never results.
 MAX_CHUNKS = 600_000
@@ -60,11 +64,17 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         if self.mode == "bare":
+            if not _WIDE.search(text):
+                text = text.lower()
+                if not _MARKS.search(text):
+                    text = text.replace(".", " .").replace(",", " ,")
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if self.mode == "whole" or _ODD.search(text):
             return None
         if _RUNS.search(text):
             return _LED.findall(text)
+        if not _MARKS.search(text):
+            text = text.replace(".", "\x00.").replace(",", "\x00,")
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
     def _pack(self, ids: list[int]) -> bytes:
