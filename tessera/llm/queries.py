@@ -11,6 +11,7 @@ from tessera.llm.common import table
 from tessera.llm.decontamination import contamination
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.lm_scoring import held_out, lm_scores
+from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.token_files import read_token_files, write_token_files
@@ -24,6 +25,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"), n=5, threshold=0.8)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
