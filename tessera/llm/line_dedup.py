@@ -29,9 +29,10 @@ def frequent_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _frequent(_prepared(df, id_col, text_col), min_chars, min_docs)
 
 
-def _prepared(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _prepared(df: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("__id"), text.alias("__text")).withColumn("__row", F.xxhash64("__text"))
+    rest = [F.struct(*carry).alias("carried")] if carry else []
+    return df.select(F.col(id_col).alias("__id"), text.alias("__text"), *rest).withColumn("__row", F.xxhash64("__text"))
 
 
 def _frequent(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
@@ -41,10 +42,11 @@ def _frequent(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return per_doc.groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("__docs"), F.max("__id").alias("__keep")).filter(F.col("__docs") >= min_docs)
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, carry: list[str] | None = None) -> DataFrame:
     """Drop lines found in ``min_docs`` documents or more, except in the largest id that holds them.
 
-    Returns one row per input row: ``id_col``, n_lines, n_dropped, kept_text.
+    Returns one row per input row: ``id_col``, n_lines, n_dropped, kept_text,
+    and a struct ``carried`` of the columns named in ``carry``, if any.
 
     Defined cases: a null or empty text is one empty line. Rows that share an
     id count as one document, and each is rewritten. A null id counts as one
@@ -52,7 +54,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     points after normalisation never go. Other columns are ignored, so none
     clashes. An empty table gives an empty table.
     """
-    docs = _prepared(df, id_col, text_col)
+    docs = _prepared(df, id_col, text_col, carry)
     # Written out, so that the join below sees the size: broadcast below the
     # session's threshold, else a sort-merge join whose skewed keys AQE splits.
     frequent = materialise(_frequent(docs, min_chars, min_docs), "frequent-lines")
@@ -64,7 +66,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         .agg(F.sort_array(F.collect_set("__pos")).alias("__gone"))
     )
     joined = docs.join(dropped, F.col("__id").eqNullSafe(F.col("__did")) & (F.col("__row") == F.col("__drow")), "left")
-    lines = joined.select("__id", "__text", "__gone", F.split("__text", "\n", -1).alias("__lines"))
+    rest = ["carried"] if carry else []
+    lines = joined.select("__id", "__text", "__gone", *rest, F.split("__text", "\n", -1).alias("__lines"))
     # A mask with a true for each dropped position: linear in the number of lines, where a slice per run is not.
     at = lambda i: F.when(i < 0, F.lit(-1)).otherwise(F.coalesce(F.get("__gone", i), F.size("__lines")))
     mask = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), lambda i: F.concat(F.array_repeat(F.lit(False), at(i) - at(i - 1) - 1), F.array(F.lit(True)))))
@@ -76,4 +79,5 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),
+        *rest,
     )

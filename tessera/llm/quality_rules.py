@@ -83,6 +83,7 @@ def quality_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     f = f.select(
         "__id",
         "__stratum",
+        F.xxhash64("__text").alias("__row"),
         n.alias("n_words"),
         F.length(F.translate("__text", SPACES, "")).cast("long").alias("word_chars"),
         _count_of(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
@@ -95,7 +96,7 @@ def quality_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return f.select(
-        "__id", "__stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "__id", "__stratum", "__row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.array(
             ratio("n_symbols", "n_words"), ratio("n_dup_lines", "__n_lines"), ratio("n_repeat_words", "n_words"),
             ratio("word_chars", "n_words"), ratio("__capitals", "__letters"), ratio("__marks", "n_words"),
@@ -160,7 +161,7 @@ def calibrate(features: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
 
 
 def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str | None = "lang", risk: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Judge every row: base counts, base_failed, kept, and the rules that rejected it.
+    """Judge every row: base counts, base_failed, kept, the rules that rejected it, and xxhash64 of its text.
 
     Defined cases: a null or empty text has no words and fails the base rule.
     Repeated rows are judged alike. A null stratum is a stratum of its own.
@@ -181,4 +182,5 @@ def quality_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return judged.select(
         F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"), F.array_join("failed_rules", ",").alias("failed_rules"),
+        F.col("__row").alias("text_digest"),
     )
