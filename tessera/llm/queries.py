@@ -14,6 +14,7 @@ from tessera.llm.lm_scoring import held_out, lm_scores
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
+from tessera.llm.secret_scan import labelled_findings, secret_scan, train
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc import read_warc, write_warc
 
@@ -33,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score", "is_secret", "times")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -60,7 +66,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_secret_scan, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
