@@ -13,14 +13,14 @@ import re
 
 #: White space other than space and newline; texts that hold it are encoded whole in "leading" mode.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_RUNS = re.compile("[ \n][ \n]")
 #: Letters beyond Latin-1, whose case and composition are left to the library.
 _WIDE = re.compile("[^\x00-\xff]")
-#: A full stop or comma that is not between a letter or digit and white space, and so may belong to a longer run of marks.
-_MARKS = re.compile("[^0-9A-Za-zÀ-ÖØ-öø-ÿ][.,]|[.,][^ \n]|^[.,]")
+#: A full stop or comma after another mark, which may belong to a longer run.
+_MARKS = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
 _LED = re.compile("[ \n]*[^ \n]+|[ \n]+")
-#: Chunks cached per worker; beyond it the cache starts anew. Bounds memory, never results.
-MAX_CHUNKS = 600_000
+#: Chunks of one generation of a worker's cache. When a generation is full it becomes the
+#: old one, from which chunks in use are taken over. Bounds memory, never results.
+MAX_CHUNKS = 250_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
@@ -48,7 +48,14 @@ class ChunkEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self._np = np
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.mode = self._mode(json.loads(self.tokenizer.to_str()))
+        # Tokens at which a word of letters ends (bare) or begins (leading), to take joined words apart.
+        edge = str.endswith if self.mode == "bare" else str.startswith
+        mark = {"bare": "</w>", "leading": "\u0120"}.get(self.mode)
+        self.edges = np.zeros(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)), bool)
+        if mark:
+            self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t, mark)]] = True
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -63,20 +70,30 @@ class ChunkEncoder:
         return "whole"
 
     def _chunks(self, text: str) -> list[str] | None:
+        if self.mode == "whole":
+            return None
+        flat = text.replace("\n", " ")
         if self.mode == "bare":
-            if not _WIDE.search(text):
-                text = text.lower()
-                if not _MARKS.search(text):
-                    text = text.replace(".", " .").replace(",", " ,")
-            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if self.mode == "whole" or _ODD.search(text):
+            flat = flat.replace("\t", " ").replace("\r", " ")
+            if not _WIDE.search(flat):
+                flat = flat.lower()
+                if self._apart(flat):
+                    flat = flat.replace(".", " .").replace(",", " ,")
+            return flat.split(" ")
+        if not flat.isprintable() and _ODD.search(text):  # printable white space is the space alone
             return None
-        if _RUNS.search(text):
+        if "  " in flat:
             return _LED.findall(text)
-        if not _MARKS.search(text):
+        if self._apart(flat):
             text = text.replace(".", "\x00.").replace(",", "\x00,")
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
 
+    @staticmethod
+    def _apart(flat: str) -> bool:
+        """Whether every full stop and comma stands between a letter or digit and white space."""
+        ends = flat.count(". ") + flat.count(", ") + flat.endswith((".", ","))
+        return flat.count(".") + flat.count(",") == ends and not _MARKS.search(flat)
+
     def _pack(self, ids: list[int]) -> bytes:
         return self._np.array(ids, dtype=self.dtype).tobytes()
 
@@ -87,18 +104,40 @@ class ChunkEncoder:
         chunks = self._chunks(text)
         if chunks is None:
             return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            pass
         if len(self.cache) > MAX_CHUNKS:
-            self.cache = {"": b""}
-        new = list({c for c in chunks if c not in self.cache})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+            self.old, self.cache = self.cache, {"": b""}
+        new = set(chunks).difference(self.cache)
+        if new and self.old:
+            for c in [c for c in new if c in self.old]:
+                self.cache[c] = self.old[c]
+                new.discard(c)
+        if self.mode == "bare":
+            words = [c for c in new if c.isalpha()]
+        else:
+            words = [c for c in new if c[0] == " " and c[1:].isalpha()]
+        rest = list(new.difference(words)) if self._learn_words(words) else list(new)
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[c] = self._pack(e.ids)
         return b"".join(map(self.cache.__getitem__, chunks))
 
+    def _learn_words(self, words: list[str]) -> bool:
+        """Cache words of Latin letters from one encoding of them all; false, and nothing cached, if they don't come apart."""
+        joined = (" " if self.mode == "bare" else "").join(words)
+        if not words or _WIDE.search(joined):
+            return False
+        ids = self._np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        at = self._np.flatnonzero(self.edges[ids]) + (self.mode == "bare")
+        if len(at) != len(words):
+            return False
+        raw, wide = ids.tobytes(), self.dtype.itemsize
+        stops = [0, *(at * wide).tolist()] if self.mode == "bare" else [*(at * wide).tolist(), len(raw)]
+        if stops[0] or stops[-1] != len(raw):
+            return False
+        for w, a, b in zip(words, stops, stops[1:]):
+            self.cache[w] = raw[a:b]
+        return True
+
     def ids(self, text: str | None):
         return self._np.frombuffer(self.encode(text), dtype=self.dtype)
