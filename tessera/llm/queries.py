@@ -15,6 +15,7 @@ from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import quality_rules
 from tessera.llm.secret_scan import labelled_findings, secret_scan, train
+from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc import read_warc, write_warc
 
@@ -44,6 +45,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, manifest = write_warc(table(spark, sf_dir, "pages"))
     return read_warc(path, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -66,7 +72,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_secret_scan, op4_line_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_secret_scan, op4_line_dedup, op5_suffix_array_dedup, op6_warc, op7_best_fit_packing, op8_token_files, op9_benchmark_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
