@@ -2,7 +2,7 @@
 
 A catalog is a YAML file; nothing in the engine knows a dataset by name. A
 column is written ``type[/encoding] [w=weight] [fold] [sys] [members={...}]``, a
-filter ``kind [column] [arguments]``, a relation ``{kind: target, on: [...], to: [...]}``.
+filter ``kind [column] [arguments]``, a relation ``{kind: target, keys: [...], to: [...]}``.
 """
 
 from __future__ import annotations
@@ -177,7 +177,7 @@ def _filter(name: str, text: str, columns: dict[str, Column]) -> Filter:
 
 def _relation(name: str, spec: dict) -> Relation:
     kind = next(k for k in ("join", "children", "parents") if k in spec)
-    return Relation(name, kind, spec[kind], tuple(spec["on"]), tuple(spec.get("to", spec["on"])))
+    return Relation(name, kind, spec[kind], tuple(spec["keys"]), tuple(spec.get("to", spec["keys"])))
 
 
 def load(path_or_name: str | Path, strict: bool = True) -> Catalog:

@@ -1,9 +1,331 @@
-"""Registered queries of the block engine."""
+"""Registered queries of the block engine, each a request over chunks made of the driver's tables, with its SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tessera.catalog import Catalog, parse
+from tessera.engine import Execution, execute
+from tessera.errors import QueryError
+from tessera.sources.chunks import FrameSource
+
+SHOP = """
+version: 1
+dataset: shop
+tables:
+  orders:
+    request: orders
+    output: order
+    block: o_orderkey
+    parent_hash: parent_hash
+    columns: {o_orderkey: uint64, parent_hash: string, o_custkey: uint64/decimal_string, o_orderstatus: string, o_totalprice: float64, o_orderdate: timestamp_second, o_orderpriority: string w=16}
+  lineitem:
+    request: lines
+    output: line
+    block: l_orderkey
+    order: [seq]
+    weight_key: [l_orderkey, seq]
+    columns:
+      l_orderkey: uint64
+      seq: uint32
+      l_linenumber: uint8/hex_number
+      l_partkey: uint64
+      l_suppkey: uint64
+      flag: string fold
+      status: string
+      big: boolean
+      note: string
+      hexed: string
+      tags: list_string
+      t0: string
+      t1: string
+      t2: string
+      rest: list_string
+      d1: uint8 sys
+      d2: uint16 sys
+      shipped: timestamp_millisecond
+      paid: string w=price_size
+      price_size: int64 sys
+      doc: string/json_verbatim
+    filters: {flag: in fold, status: in, l_linenumber: in, l_suppkey: in, part_from: gte l_partkey, part_to: lte l_partkey, big: equals, note: in, non_zero: at_least hexed 0x2, tags: in, discriminator: discriminator, d1: in}
+    relations:
+      payments: {join: payments, keys: [l_orderkey, l_linenumber], to: [p_order, p_line]}
+      same_note: {join: lineitem, keys: [l_orderkey, note]}
+      siblings: {join: lineitem, keys: [l_orderkey, l_linenumber]}
+    rolls:
+      topics: [t0, t1, t2, rest]
+    variant_column: status
+    variants:
+      F: {result: {paid: amount}, _: {hexed: code}}
+      O: {open: {note: remark}}
+  payments:
+    request: payments
+    output: payment
+    block: p_order
+    order: [p_line, p_supplier]
+    columns: {p_order: uint64, p_line: uint32, p_supplier: uint64, mode: string}
+    filters: {mode: in}
+    relations:
+      lines: {join: lineitem, keys: [p_order, p_line], to: [l_orderkey, l_linenumber]}
+aliases:
+  returnedLines:
+    table: lineitem
+    implicit: {flag: [r]}
+    filters: {line: in l_linenumber, supplier: in l_suppkey}
+    relations:
+      payments: {join: payments, keys: [l_orderkey, l_linenumber], to: [p_order, p_line]}
+"""
+
+TREE = """
+version: 1
+dataset: tree
+tables:
+  sizes:
+    request: sizes
+    output: size
+    block: number
+    columns: {number: uint64}
+  nodes:
+    request: nodes
+    output: node
+    block: size
+    order: [part]
+    address: path
+    columns: {size: uint64, part: uint64, path: list_uint32, brand: string}
+    filters: {brand: in, part: in}
+    relations:
+      below: {children: nodes, keys: [size, path]}
+      above: {parents: nodes, keys: [size, path]}
+      marks: {children: marks, keys: [size, path], to: [size, spot]}
+      roots: {parents: marks, keys: [size, path], to: [size, spot]}
+      exact: {join: marks, keys: [size, path], to: [size, spot]}
+  marks:
+    request: marks
+    output: mark
+    block: size
+    order: [id]
+    address: spot
+    columns: {size: uint64, id: uint64, spot: list_uint32}
+    filters: {id: in}
+"""
+
+
+def catalogs() -> dict[str, Catalog]:
+    return {"shop": parse(SHOP), "tree": parse(TREE)}
+
+
+def shop(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """Orders as blocks, line items and payments as items; nulls, lists and sizes derived."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = o.withColumn("parent_hash", F.concat(F.lit("h"), F.col("o_orderkey") - 1))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    quantity = F.col("l_quantity").cast("int")
+    lines = li.select(
+        "l_orderkey", F.row_number().over(order).alias("seq"), "l_linenumber", "l_partkey", "l_suppkey",
+        F.lower("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_quantity") > 25).alias("big"),
+        F.nullif("l_returnflag", F.lit("N")).alias("note"), F.concat(F.lit("0x"), F.lower(F.hex(quantity))).alias("hexed"),
+        F.array("l_returnflag", "l_linestatus").alias("tags"), F.col("l_returnflag").alias("t0"), F.nullif("l_linestatus", F.lit("O")).alias("t1"), F.lit("x").alias("t2"), F.array(F.lit("y"), F.lit("z")).alias("rest"),
+        F.col("l_linenumber").alias("d1"), (F.col("l_linenumber") * 256 + quantity).alias("d2"),
+        F.col("l_shipdate").alias("shipped"), F.col("l_extendedprice").cast("bigint").cast("string").alias("paid"), F.col("l_extendedprice").cast("bigint").alias("price_size"),
+        F.when(quantity % 2 == 0, F.concat(F.lit('{"q":'), quantity, F.lit("}"))).otherwise(F.lit("")).alias("doc"),
+    )
+    pay = li.filter(F.col("l_linenumber") != 2).select(F.col("l_orderkey").alias("p_order"), F.col("l_linenumber").alias("p_line"), F.col("l_suppkey").alias("p_supplier"), F.when(F.col("l_suppkey") % 2 == 0, "cash").otherwise("card").alias("mode")).distinct()
+    return FrameSource({"orders": orders, "lineitem": lines, "payments": pay})
+
+
+def tree(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """Parts as nodes of digit paths: a part is below another of its size if its number extends the other's."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    digits = F.transform(F.split(F.col("p_partkey").cast("string"), ""), lambda x: x.cast("int"))
+    nodes = p.select(F.col("p_size").alias("size"), F.col("p_partkey").alias("part"), digits.alias("path"), F.col("p_brand").alias("brand"))
+    marks = p.filter(F.col("p_partkey") % 3 == 0).select(F.col("p_size").alias("size"), F.col("p_partkey").alias("id"), digits.alias("spot"))
+    return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "nodes": nodes, "marks": marks})
+
+
+def _run(spark: SparkSession, sf_dir: str, dataset: str, budget: int | None = None, **request) -> Execution:
+    source = (shop if dataset == "shop" else tree)(spark, sf_dir)
+    return execute(spark, {"type": dataset, **request}, catalogs()[dataset], source, budget)
+
+
+def _rows(e: Execution, table: str, *columns: str) -> DataFrame:
+    found = e.items(e.query.catalog.tables[table])
+    if found is None:
+        found = e.source.table(table).filter(F.lit(False))
+    return found.select(*columns)
+
+
+LINE = ("l_orderkey", "seq")
+#: Names of queries to their (function, SQL).
+_REGISTRY: dict[str, tuple[Callable, str | None]] = {}
+
+LINES_SQL = """
+li AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS seq,
+  l_linenumber, l_partkey, l_suppkey, lower(l_returnflag) AS flag, l_linestatus AS status, l_quantity > 25 AS big, nullif(l_returnflag, 'N') AS note,
+  CAST(l_quantity AS INTEGER) AS quantity, CAST(trunc(l_extendedprice) AS BIGINT) AS price_size, l_returnflag AS t0, nullif(l_linestatus, 'O') AS t1, l_shipdate FROM lineitem),
+pay AS (SELECT DISTINCT l_orderkey AS p_order, l_linenumber AS p_line, l_suppkey AS p_supplier, CASE WHEN l_suppkey % 2 = 0 THEN 'cash' ELSE 'card' END AS mode FROM lineitem WHERE l_linenumber <> 2)
+"""
+NODES_SQL = "nodes AS (SELECT p_size AS size, p_partkey AS part, CAST(p_partkey AS VARCHAR) AS path, p_brand AS brand FROM part), marks AS (SELECT p_size AS size, p_partkey AS id, CAST(p_partkey AS VARCHAR) AS spot FROM part WHERE p_partkey % 3 = 0)"
+
+
+def _lines_query(name: str, where: str, **request) -> None:
+    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "shop", **request), "lineitem", *LINE), f"WITH {LINES_SQL} SELECT l_orderkey, seq FROM li WHERE {where}")
+
+
+_lines_query("filter_inlist", "status IN ('F') AND l_linenumber IN (1, 3)", lines=[{"status": ["F"], "lLinenumber": [1, 3]}])
+_lines_query("filter_inlist_fold", "flag IN ('r', 'a')", lines=[{"flag": ["R", "A"]}])
+_lines_query("filter_hex_number", "l_linenumber = 4", lines=[{"lLinenumber": ["0x04", "0x0004"]}])
+_lines_query("filter_scalar", "status = 'O'", lines=[{"status": "O"}])
+_lines_query("filter_empty_list", "false", lines=[{"status": []}])
+_lines_query("filter_out_of_range", "false", lines=[{"lLinenumber": [999]}])
+_lines_query("filter_range", "l_partkey BETWEEN 20 AND 60", lines=[{"partFrom": 20, "partTo": 60}])
+_lines_query("filter_at_least", "'0x' || lower(hex(quantity)) >= '0x2'", lines=[{"nonZero": True}])
+_lines_query("filter_equals_bool", "big", lines=[{"big": True}])
+_lines_query("filter_null", "note = 'R'", lines=[{"note": ["R"]}])
+_lines_query("filter_list_contains_any", "t0 = 'A' OR status = 'F'", lines=[{"tags": ["A", "F"]}])
+_lines_query("filter_discriminator", "l_linenumber = 3 OR l_linenumber * 256 + quantity = 1282", lines=[{"discriminator": ["0x03", "0x0502"]}])
+_lines_query("items_union", "(flag = 'r' AND big) OR l_linenumber = 1", lines=[{"flag": ["r"], "big": True}, {"lLinenumber": [1]}])
+_lines_query("alias_items", "flag = 'r' AND l_linenumber IN (1, 2)", returnedLines=[{"line": [1, 2]}])
+_lines_query("alias_and_table", "(flag = 'r' AND l_linenumber = 1) OR status = 'O'", returnedLines=[{"line": [1]}], lines=[{"status": ["O"]}])
+_lines_query("block_range", "l_orderkey BETWEEN 10 AND 500", lines=[{}], fromBlock=10, toBlock=500)
+_lines_query("relation_null_key", "EXISTS (SELECT 1 FROM li s WHERE s.l_linenumber = 1 AND s.l_orderkey = li.l_orderkey AND s.note = li.note) OR l_linenumber = 1", lines=[{"lLinenumber": [1], "sameNote": True}])
+_lines_query(
+    "relation_scoped",
+    "flag = 'r' OR l_linenumber = 5 OR EXISTS (SELECT 1 FROM li s WHERE s.flag = 'r' AND s.l_orderkey = li.l_orderkey AND s.note = li.note)",
+    lines=[{"flag": ["r"], "sameNote": True}, {"lLinenumber": [5]}],
+)
+
+
+def _payments(name: str, where: str, **request) -> None:
+    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "shop", **request), "payments", "p_order", "p_line", "p_supplier"), f"WITH {LINES_SQL} SELECT p_order, p_line, p_supplier FROM pay WHERE {where}")
+
+
+_REACH = "EXISTS (SELECT 1 FROM li WHERE {} AND l_orderkey = p_order AND l_linenumber = p_line)"
+_payments("relation_join", _REACH.format("flag = 'r'"), lines=[{"flag": ["r"], "payments": True}])
+_payments("items_dedup", _REACH.format("big") + " OR mode = 'cash'", lines=[{"big": True, "payments": True}], payments=[{"mode": ["cash"]}])
+_payments("relation_one_hop", _REACH.format("l_linenumber = 1"), lines=[{"lLinenumber": [1], "payments": True, "siblings": True}], payments=[])
+_payments("relation_alias", _REACH.format("flag = 'r' AND l_suppkey = 3"), returnedLines=[{"supplier": [3], "payments": True}])
+
+
+def _nodes(name: str, table: str, column: str, where: str, **request) -> None:
+    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "tree", **request), table, "size", column), f"WITH {NODES_SQL} SELECT size, {column} FROM {table} t WHERE {where}")
+
+
+_FROM = "EXISTS (SELECT 1 FROM nodes s WHERE s.part < 100 AND s.size = t.size AND {})"
+_SMALL = list(range(100))
+_nodes("relation_children", "nodes", "part", "part < 100 OR " + _FROM.format("starts_with(t.path, s.path) AND length(t.path) > length(s.path)"), nodes=[{"part": _SMALL, "below": True}])
+_nodes("relation_parents", "nodes", "part", "t.part BETWEEN 100 AND 1000 OR EXISTS (SELECT 1 FROM nodes s WHERE s.part BETWEEN 100 AND 1000 AND s.size = t.size AND starts_with(s.path, t.path) AND length(s.path) > length(t.path))", nodes=[{"part": list(range(100, 1001)), "above": True}])
+_nodes("relation_cross_children", "marks", "id", _FROM.format("starts_with(t.spot, s.path)"), nodes=[{"part": _SMALL, "marks": True}])
+_nodes("relation_cross_parents", "marks", "id", "EXISTS (SELECT 1 FROM nodes s WHERE s.part BETWEEN 100 AND 1000 AND s.size = t.size AND starts_with(s.path, t.spot))", nodes=[{"part": list(range(100, 1001)), "roots": True}])
+_nodes("relation_list_key", "marks", "id", _FROM.format("s.path = t.spot"), nodes=[{"part": _SMALL, "exact": True}])
+
+_HEAVY = {"fields": {"line": {"paid": True, "status": True}, "order": {"oOrderpriority": True}}, "lines": [{"flag": ["r"]}]}
+_WEIGHTS = f"""WITH {LINES_SQL}, w AS (
+  SELECT o_orderkey AS block, 32 + 16 AS weight FROM orders
+  UNION ALL SELECT l_orderkey, 96 + greatest(price_size, 0) FROM li WHERE flag = 'r'
+), cand AS (
+  SELECT l_orderkey AS block FROM li WHERE flag = 'r' UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders
+), blocks AS (SELECT block, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE block IN (SELECT block FROM cand) GROUP BY block)"""
+_BUDGET = 2_000_000
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", **_HEAVY).weights().select("block", F.col("weight").cast("long").alias("weight"))
+
+
+def _page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", _BUDGET, **_HEAVY).page().select("block", F.col("weight").cast("long").alias("weight"), F.col("total").cast("long").alias("total"))
+
+
+def _resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after the first."""
+    last = _run(spark, sf_dir, "shop", _BUDGET, **_HEAVY).last_block()
+    return _run(spark, sf_dir, "shop", _BUDGET, **_HEAVY, fromBlock=last + 1).page().select("block", F.col("weight").cast("long").alias("weight"), F.col("total").cast("long").alias("total"))
+
+
+_SUMMED = "SELECT block, weight, CAST(sum(weight) OVER (ORDER BY block) AS BIGINT) AS total FROM {}"
+_REGISTRY["block_weight"] = (_weights, f"{_WEIGHTS} SELECT block, weight FROM blocks")
+_REGISTRY["page_budget"] = (_page, f"{_WEIGHTS} SELECT * FROM ({_SUMMED.format('blocks')}) WHERE total <= {_BUDGET} OR total = weight")
+_REGISTRY["page_resume"] = (
+    _resumed,
+    f"""{_WEIGHTS}, first AS (SELECT max(block) AS last FROM ({_SUMMED.format("blocks")}) WHERE total <= {_BUDGET} OR total = weight),
+  edge AS (SELECT min(o_orderkey) AS block FROM orders, first WHERE o_orderkey > last),
+  again AS (SELECT * FROM blocks, first WHERE block > last UNION BY NAME
+            SELECT block, CAST(48 AS BIGINT) AS weight, last FROM edge, first WHERE block NOT IN (SELECT block FROM blocks))
+  SELECT block, weight, total FROM ({_SUMMED.format("again")}) WHERE total <= {_BUDGET} OR total = weight""",
+)
+
+
+def _boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", fromBlock=100, toBlock=900, lines=[{"lLinenumber": [7], "big": True}]).weights().select("block")
+
+
+def _all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", fromBlock=100, toBlock=900, includeAllBlocks=True, lines=[{"lLinenumber": [7]}]).weights().select("block")
+
+
+_REGISTRY["boundary_blocks"] = (
+    _boundary,
+    f"WITH {LINES_SQL} SELECT DISTINCT l_orderkey AS block FROM li WHERE l_orderkey BETWEEN 100 AND 900 AND l_linenumber = 7 AND big UNION SELECT min(o_orderkey) FROM orders WHERE o_orderkey BETWEEN 100 AND 900 UNION SELECT max(o_orderkey) FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
+)
+_REGISTRY["include_all_blocks"] = (_all_blocks, "SELECT o_orderkey AS block FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+
+
+def _lines_of(name: str, sql: str, budget: int | None = None, **request) -> None:
+    _REGISTRY[name] = (lambda s, d: _run(s, d, "shop", budget, **request).lines(), sql)
+
+
+def _blocks_sql(item: str, order: str = "seq", where: str = "l_linenumber = 1", header: str = "'{}'") -> str:
+    return f"""WITH {LINES_SQL}, own AS (SELECT l_orderkey AS block, string_agg({item}, ',' ORDER BY {order}) AS items FROM li WHERE {where} GROUP BY 1),
+  cand AS (SELECT block FROM own UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders)
+  SELECT o_orderkey AS block, '{{"header":' || {header} || coalesce(',"lines":[' || items || ']', '') || '}}' AS line
+  FROM orders JOIN cand ON cand.block = o_orderkey LEFT JOIN own ON own.block = o_orderkey"""
+
+
+_ROLL = """'{"topics":["' || t0 || '"' || coalesce(',"' || t1 || '","x","y","z"', '') || ']}'"""
+_lines_of("roll_field", _blocks_sql(_ROLL), fields={"line": {"topics": True}}, lines=[{"lLinenumber": [1]}])
+_VARIANT = """'{"lPartkey":' || l_partkey || CASE status WHEN 'F' THEN ',"result":{"amount":"' || price_size || '"},"code":"0x' || lower(hex(quantity)) || '"'
+  WHEN 'O' THEN ',"open":{"remark":' || coalesce('"' || note || '"', 'null') || '}' ELSE '' END || '}'"""
+_lines_of("variants", _blocks_sql(_VARIANT), fields={"line": {"lPartkey": True, "paid": True, "hexed": True, "note": True}}, lines=[{"lLinenumber": [1]}])
+_ENCODED = """'{"lLinenumber":"0x' || lpad(lower(hex(l_linenumber)), 2, '0') || '","shipped":' || epoch_ms(l_shipdate) || ',"doc":' || CASE WHEN quantity % 2 = 0 THEN '{"q":' || quantity || '}' ELSE 'null' END || '}'"""
+_lines_of("encodings", _blocks_sql(_ENCODED), fields={"line": {"lLinenumber": True, "shipped": True, "doc": True}}, lines=[{"lLinenumber": [1]}])
+_HEADER = """'{"oOrderkey":' || o_orderkey || ',"oCustkey":"' || o_custkey || '","oOrderdate":' || CAST(epoch(o_orderdate) AS BIGINT) || '}'"""
+_lines_of(
+    "ndjson_block",
+    _blocks_sql("""'{"seq":' || seq || ',"status":"' || status || '","big":' || CAST(big AS VARCHAR) || '}'""", where="flag = 'r'", header=_HEADER),
+    fields={"order": {"oOrderkey": True, "oCustkey": True, "oOrderdate": True}, "line": {"seq": True, "status": True, "big": True}},
+    lines=[{"flag": ["R"]}],
+)
+_lines_of("empty_items", _blocks_sql("'{}'", where="l_linenumber = 2"), lines=[{"lLinenumber": [2]}])
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columnar rendering of the same rows."""
+    e = _run(spark, sf_dir, "shop", fields={"line": {"paid": True, "topics": True}}, lines=[{"lLinenumber": [3]}])
+    return e.tables()["lineitem"].select("l_orderkey", "paid", "t0", "t1", F.array_join("rest", ",").alias("rest"))
+
+
+_REGISTRY["flat_tables"] = (_flat, f"WITH {LINES_SQL} SELECT l_orderkey, CAST(price_size AS VARCHAR) AS paid, t0, t1, 'y,z' AS rest FROM li WHERE l_linenumber = 3")
+
+
+def _fork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client with a stale parent hash learns: the recent blocks and their hashes."""
+    try:
+        _run(spark, sf_dir, "shop", fromBlock=500, toBlock=600, parentBlockHash="stale", lines=[{}])
+    except QueryError as e:
+        return spark.createDataFrame([(n, h) for n, h in e.blocks], "number long, hash string")
+    return spark.createDataFrame([], "number long, hash string")
+
+
+_REGISTRY["fork_check"] = (_fork, "SELECT o_orderkey - 1 AS number, 'h' || (o_orderkey - 1) AS hash FROM orders WHERE o_orderkey BETWEEN 401 AND 500")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _REGISTRY.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _REGISTRY.items() if sql}
