@@ -97,6 +97,8 @@ class Table:
     rolls: dict[str, tuple[str, ...]] = field(default_factory=dict)
     variant_column: str | None = None
     variants: dict[str, dict[str, dict[str, str]]] = field(default_factory=dict)
+    #: Fields that only variants render, with the column that each reads.
+    variant_fields: dict[str, str] = field(default_factory=dict)
 
     @property
     def is_block_table(self) -> bool:
@@ -116,7 +118,7 @@ class Table:
         """Selectable fields in output order, each with its physical columns: columns, then rolls."""
         rolled = {c for own in self.rolls.values() for c in own}
         out = {c.name: (c.name,) for c in self.columns.values() if not c.hidden and c.name not in rolled and (self.is_block_table or c.name != self.block)}
-        return out | {k: tuple(v) for k, v in self.rolls.items()}
+        return out | {k: tuple(v) for k, v in self.rolls.items()} | {k: (c,) for k, c in self.variant_fields.items()}
 
 
 @dataclass
@@ -193,7 +195,7 @@ def parse(text: str, strict: bool = True) -> Catalog:
     raw: dict[str, Any] = yaml.safe_load(text)
     if raw.get("version") != 1:
         raise CatalogError("unsupported catalog version")
-    known = {"request", "output", "block", "order", "address", "parent_hash", "parent_number", "weight_key", "sort_key", "columns", "filters", "relations", "rolls", "variant_column", "variants"}
+    known = {"request", "output", "block", "order", "address", "parent_hash", "parent_number", "weight_key", "sort_key", "columns", "filters", "relations", "rolls", "variant_column", "variants", "variant_fields"}
     tables = {}
     for name, t in raw["tables"].items():
         if strict and (odd := set(t) - known):
@@ -202,7 +204,7 @@ def parse(text: str, strict: bool = True) -> Catalog:
         tables[name] = Table(
             name, t.get("request", name), t.get("output", name), t["block"], columns, tuple(t.get("order", ())), t.get("address"), t.get("parent_hash"), t.get("parent_number"),
             tuple(t["weight_key"]) if "weight_key" in t else None, tuple(t.get("sort_key", ())), {k: _filter(k, v, columns) for k, v in (t.get("filters") or {}).items()},
-            {k: _relation(k, v) for k, v in (t.get("relations") or {}).items()}, {k: tuple(v) for k, v in (t.get("rolls") or {}).items()}, t.get("variant_column"), t.get("variants") or {},
+            {k: _relation(k, v) for k, v in (t.get("relations") or {}).items()}, {k: tuple(v) for k, v in (t.get("rolls") or {}).items()}, t.get("variant_column"), t.get("variants") or {}, t.get("variant_fields") or {},
         )
     aliases = {}
     for name, a in (raw.get("aliases") or {}).items():
@@ -250,7 +252,7 @@ def validate(c: Catalog) -> None:
             need(all(t.columns[x].type not in LISTS for x in own[:-1]), f"{at}: only the last column of roll {roll} may be a list")
         for groups in t.variants.values():
             for own in groups.values():
-                need(all(x in t.columns for x in own), f"{at}: a variant has unknown columns")
+                need(all(t.variant_fields.get(x, x) in t.columns for x in own), f"{at}: a variant has unknown columns")
         _check_surface(c, t, at, t.filters, t.relations)
     for a in c.aliases.values():
         t = c.tables[a.table]

@@ -148,7 +148,7 @@ def item_json(table: Table, shown: list[str], schema: T.StructType) -> Expr:
     for tag, groups in table.variants.items():
         text = []
         for group, own in groups.items():
-            inner = [(camel(name), or_null(column_json(table.columns[c], schema))) for c, name in own.items() if c in chosen]
+            inner = [(camel(name), or_null(column_json(table.columns[table.variant_fields.get(c, c)], schema))) for c, name in own.items() if c in chosen]
             if inner and group == "_":
                 text += [x for name, t in inner for x in (F.lit(f',"{name}":'), t)]
             elif inner:
