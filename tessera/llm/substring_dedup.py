@@ -5,10 +5,14 @@ in it, so equal windows have equal anchors at equal offsets. Consecutive
 windows with one anchor form a run. Runs whose anchor is unique in the corpus
 hold no repeat; runs that occur twice whole are repeats throughout. What is
 left, the different runs of one anchor, is compared with one of them, the
-anchor's reference: windows equal to the reference's are settled, and the rest
-is dealt by where and how it first differs, so that even an anchor of very many
-near copies falls into small shards. Each shard is sorted as a suffix array by
-induced sorting, and permuted common prefixes tell the repeated windows.
+anchor's reference, by the nearest differing bytes on either side of the
+anchor. Windows without any are settled. Windows that reach a difference on one
+side only are equal where what they hold from it on is: their one-sided strings
+are sorted and neighbours' common prefixes compared. Windows that reach one on
+both sides go to shards that are sorted as suffix arrays by induced sorting,
+where permuted common prefixes tell the repeated ones. All three kinds are
+dealt by place and value of the difference, so that even an anchor of very many
+near copies falls into small parts.
 """
 
 from __future__ import annotations
@@ -58,33 +62,94 @@ def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield (own >> _PLACE).astype(np.int64), (own & np.uint64((1 << 20) - 1)).astype(np.int64) + at, first + at, count
 
 
-def differing(own: bytes, anchor: int, ref: bytes, ref_anchor: int, length: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Windows of ``own`` equal to the reference's at the same offset from the anchor, as [from, to) of windows; the others as (from, to, first difference)."""
-    n = len(own)
+def compare_runs(own: bytes, anchor: int, ref: bytes, ref_anchor: int, length: int) -> tuple[tuple[int, int] | None, list[tuple]]:
+    """A run against its anchor's reference.
+
+    First the windows [from, to) that equal the reference's. Then parts (kind,
+    places and values that equal windows share, first window, last window,
+    bytes): of kind L the bytes up to the nearest difference on the left,
+    reversed; of kind R those from the nearest on the right; of kind B the
+    whole windows.
+    """
+    n, last = len(own), len(own) - length
     shift = ref_anchor - anchor
-    same = np.zeros(n, bool)
+    differ = np.ones(n, bool)
     low, high = max(0, -shift), min(n, len(ref) - shift)
     if high > low:
-        same[low:high] = np.frombuffer(own, np.uint8)[low:high] == np.frombuffer(ref, np.uint8)[low + shift : high + shift]
-    # The first difference at or after each position.
-    bad = np.where(same, n, np.arange(n))
-    following = np.minimum.accumulate(bad[::-1])[::-1]
-    first = following[: n - length + 1].copy()
-    first[first >= np.arange(len(first)) + length] = n
-    edges = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])).tolist() + [len(first)]
-    equal, other = [], []
-    for a, b in zip(edges, edges[1:]):
-        if first[a] == n:
-            equal.append((a, b))
-        else:
-            other.append((a, b, int(first[a])))
-    return equal, other
+        differ[low:high] = np.frombuffer(own, np.uint8)[low:high] != np.frombuffer(ref, np.uint8)[low + shift : high + shift]
+    if differ[anchor : anchor + GRAM].any():  # two grams with one digest
+        return None, [("B", b"%b" % own[anchor : anchor + GRAM], 0, last, own)]
+    at = np.flatnonzero(differ)
+    k = int(np.searchsorted(at, anchor))
+    left = int(at[k - 1]) if k else -1
+    right = int(at[k]) if k < len(at) else n
+    clean = right - length  # the last window that reaches no difference on the right
+    equal = (left + 1, min(clean, last) + 1) if left + 1 <= min(clean, last) else None
+    parts = []
+    if (to := min(left, clean, last)) >= 0:
+        parts.append(("L", b"%d %d" % (left - anchor, own[left]), 0, to, own[left::-1]))
+    if (start := max(left + 1, clean + 1, 0)) <= last:
+        parts.append(("R", b"%d %d" % (right - anchor, own[right]), start, last, own[right:]))
+    if (start := max(0, clean + 1)) <= (to := min(left, last)):
+        parts.append(("B", b"%d %d %d %d" % (left - anchor, own[left], right - anchor, own[right]), start, to, own[start : to + length]))
+    return equal, parts
+
+
+def common_parts(strings: list[bytes], least: list[int]) -> list[list[tuple[int, int]]]:
+    """For each string the lengths [from, to] of its prefixes, from its least on, that another string has too, from that one's least on."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    out: list[list[tuple[int, int]]] = [[] for _ in strings]
+    steps = sorted(set(least))
+    for at, stop in zip(steps, [*steps[1:], 1 << 62]):
+        own = [i for i in order if least[i] <= at]
+        shared = [0]
+        for i, j in zip(own, own[1:]):
+            a, b = strings[i], strings[j]
+            n = min(len(a), len(b))
+            if a[:n] != b[:n]:
+                lo = 0
+                while n - lo > 1:  # the first difference, by halves
+                    mid = (lo + n) // 2
+                    lo, n = (mid, n) if a[lo:mid] == b[lo:mid] else (lo, mid)
+                n = lo
+            shared.append(n)
+        shared.append(0)
+        for k, i in enumerate(own):
+            top = min(max(shared[k], shared[k + 1]), stop - 1)
+            if top >= at:
+                out[i].append((at, top))
+    return out
+
+
+def _packed(first, windows, place):
+    """A run's first window, its number of windows and its anchor's offset in one integer."""
+    return (first << 24) | (windows << 12) | (place - first)
+
+
+def _first(at):
+    return F.shiftright(at, 24)
+
+
+def _windows(at):
+    return F.shiftright(at, 12).bitwiseAND(F.lit(4095))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _zip(batches: Iterator) -> Iterator:
+    """Texts cross the network twice, so they are compressed well once."""
+    import pyarrow as pa
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([pack.compress(x.as_py()) for x in batch.column(2)], pa.binary())], names=["id", "row", "data"])
+
+
 def _batch(rows: list[tuple], types: list, names: list[str]):
     import pyarrow as pa
 
@@ -103,57 +168,61 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("id", F.xxhash64("text").alias("row"), F.encode("text", "UTF-8").alias("data"))
+    docs = docs.select("id", F.hash("text").cast("long").alias("row"), F.encode("text", "UTF-8").alias("data"))
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        names = ["id", "row", "anchor", "digest", "place", "first", "windows"]
+        names = ["id", "row", "anchor", "digest", "at"]
         for batch in batches:
             held: list[list] = [[] for _ in names]
             size = 0
             for doc_id, row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                data = data.as_py()
-                view = memoryview(data)
-                for anchor, place, first, count in runs(data, length):
+                view = memoryview(data.as_py())
+                for anchor, place, first, count in runs(bytes(view), length):
                     digest = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist())]
-                    for column, values in zip(held, (np.full(len(first), doc_id if doc_id is not None else 0), np.full(len(first), row), anchor, np.array(digest, np.uint64).view(np.int64), place, first, count)):
-                        column.append(values)
-                    held[0][-1] = pa.array(held[0][-1], pa.int64()) if doc_id is not None else pa.nulls(len(first), pa.int64())
-                    size += len(first)
+                    n = len(first)
+                    own = (pa.nulls(n, pa.int64()) if doc_id is None else pa.array(np.full(n, doc_id)), np.full(n, row), anchor, np.array(digest, np.uint64).view(np.int64), _packed(first, count, place))
+                    for column, values in zip(held, own):
+                        column.append(values if isinstance(values, pa.Array) else pa.array(values))
+                    size += n
                 if size > 50_000:
-                    yield pa.record_batch([pa.concat_arrays(held[0]), *[pa.array(np.concatenate(c).astype(np.int64)) for c in held[1:]]], names=names)
+                    yield pa.record_batch([pa.concat_arrays(c) for c in held], names=names)
                     held, size = [[] for _ in names], 0
             if size:
-                yield pa.record_batch([pa.concat_arrays(held[0]), *[pa.array(np.concatenate(c).astype(np.int64)) for c in held[1:]]], names=names)
+                yield pa.record_batch([pa.concat_arrays(c) for c in held], names=names)
 
-    every = materialise(docs.mapInArrow(find, "id long, row long, anchor long, digest long, place long, first long, windows long"), "runs")
+    every = materialise(docs.mapInArrow(find, "id long, row long, anchor long, digest long, at long"), "runs")
     anchors = materialise(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1").select("anchor", (F.col("d0") != F.col("d1")).alias("several")), "anchors")
     shared = materialise(every.join(anchors, "anchor"), "shared-runs")
-    texts = materialise(
-        shared.groupBy("anchor", "digest", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "place", "windows", "id")).alias("at")).select("anchor", "digest", "several", "n", "at.*"),
-        "run-texts",
-    )
+    texts = shared.groupBy("anchor", "digest", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "id")).alias("one"))
+    texts = materialise(texts.filter("several OR n > 1").select("anchor", "digest", "several", "n", "one.*"), "run-texts")
     whole = texts.filter("n > 1").select("anchor", "digest")
-    covered = shared.join(whole, ["anchor", "digest"]).select("id", "row", F.col("first").alias("a"), (F.col("first") + F.col("windows") + length - 1).alias("b"))
+    covered = shared.select("id", "row", "anchor", "digest", "at").join(whole, ["anchor", "digest"]).select("id", "row", _first(F.col("at")).alias("a"), (_first(F.col("at")) + _windows(F.col("at")) + (length - 1)).alias("b"))
+    zipped = docs.mapInArrow(_zip, "id long, row long, data binary")
 
     # One text of each different run of an anchor, cut out of one document that has it.
-    wanted = texts.filter("several").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "digest", "n", "first", "place", "windows")).alias("cuts")).select(F.col("id").alias("wid"), F.col("row").alias("wrow"), "cuts")
-    holding = docs.join(wanted, docs["id"].eqNullSafe(wanted["wid"]) & (docs["row"] == wanted["wrow"])).select("id", "row", "data", "cuts")
+    several = texts.filter("several")
+    chosen = materialise(several.groupBy("anchor").agg(F.max(F.struct("n", "digest")).alias("m")).select("anchor", F.col("m.digest").alias("ref")), "references")
+    wanted = several.join(chosen, "anchor").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "at", (F.col("digest") == F.col("ref")).alias("ref"))).alias("cuts")).select(F.col("id").alias("wid"), F.col("row").alias("wrow"), "cuts")
+    holding = zipped.join(wanted, zipped["id"].eqNullSafe(wanted["wid"]) & (zipped["row"] == wanted["wrow"])).select("id", "row", "data", "cuts")
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
-        types = [pa.int64()] * 5 + [pa.int64(), pa.int64(), pa.binary()]
-        names = ["id", "row", "anchor", "digest", "n", "first", "place", "data"]
+        types = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["id", "row", "anchor", "ref", "first", "place", "data"]
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
             for doc_id, row, data, cuts in zip(*(batch.column(i) for i in range(4))):
-                data = data.as_py()
+                data, doc_id, row = unzip.decompress(data.as_py()), doc_id.as_py(), row.as_py()
                 for c in cuts.as_py():
-                    own = data[c["first"] : c["first"] + c["windows"] + length - 1]
-                    rows.append((doc_id.as_py(), row.as_py(), c["anchor"], c["digest"], c["n"], c["first"], c["place"] - c["first"], own))
+                    first, windows, place = c["at"] >> 24, c["at"] >> 12 & 4095, c["at"] & 4095
+                    own = data[first : first + windows + length - 1]
+                    rows.append((doc_id, row, c["anchor"], c["ref"], first, place, own))
                     size += len(own)
                 if size > 4 << 20:
                     yield _batch(rows, types, names)
@@ -161,85 +230,100 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if rows:
                 yield _batch(rows, types, names)
 
-    # A repeated row would cut its runs twice; the first of each is taken.
-    members = holding.mapInArrow(cut, "id long, row long, anchor long, digest long, n long, first long, place long, data binary")
-    members = materialise(members.dropDuplicates(["anchor", "digest"]), "members")
-    chosen = members.groupBy("anchor").agg(F.max(F.struct("n", "digest")).alias("m")).select("anchor", F.col("m.digest").alias("digest"))
-    refs = materialise(members.join(chosen, ["anchor", "digest"]).select("anchor", *[F.col(c).alias(f"ref_{c}") for c in ("digest", "id", "row", "first", "place", "data")]), "references")
-    compared = members.join(refs, "anchor").filter("digest <> ref_digest").select("anchor", "id", "row", "first", "place", "data", "ref_id", "ref_row", "ref_first", "ref_place", "ref_data")
+    # A repeated row cuts its runs again, but then its runs occur twice whole and are covered anyway.
+    members = materialise(holding.mapInArrow(cut, "id long, row long, anchor long, ref boolean, first long, place long, data binary"), "members", "zstd")
+    refs = members.filter("ref").select("anchor", *[F.col(c).alias(f"ref_{c}") for c in ("id", "row", "first", "place", "data")])
+    compared = members.filter("NOT ref").join(refs, "anchor").drop("ref")
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        types = [pa.int64()] * 5 + [pa.binary()]
-        names = ["id", "row", "a", "b", "key", "data"]
-        for batch in batches:
-            rows, size = [], 0
-            for r in batch.to_pylist():
-                own = r["data"]
-                equal, other = differing(own, r["place"], r["ref_data"], r["ref_place"], length)
-                for a, b in equal:
-                    shift = r["ref_place"] - r["place"]
-                    rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b + length - 1, None, None))
-                    rows.append((r["ref_id"], r["ref_row"], r["ref_first"] + a + shift, r["ref_first"] + b + shift + length - 1, None, None))
-                for a, b, at in other:
-                    key = xxhash.xxh3_64_intdigest(b"%d %d %d" % (r["anchor"], at - r["place"], own[at]))
-                    part = own[a : b + length - 1]
-                    rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b + length - 1, _signed(key), part))
-                    size += len(part)
-                if size > 4 << 20 or len(rows) > 50_000:
-                    yield _batch(rows, types, names)
-                    rows, size = [], 0
-            if rows:
+        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
+        names = ["id", "row", "a", "b", "kind", "key", "data"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 8192):
+                rows = []
+                for r in whole.slice(at, 8192).to_pylist():
+                    equal, parts = compare_runs(r["data"], r["place"], r["ref_data"], r["ref_place"], length)
+                    if equal:
+                        a, b = equal
+                        shift = r["ref_first"] + r["ref_place"] - r["place"]
+                        rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b + length - 1, "E", None, None))
+                        rows.append((r["ref_id"], r["ref_row"], a + shift, b + shift + length - 1, "E", None, None))
+                    for kind, where, a, b, data in parts:
+                        key = _signed(xxhash.xxh3_64_intdigest(b"%d %b %b" % (r["anchor"], kind.encode(), where)))
+                        rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b, kind, key, data))
                 yield _batch(rows, types, names)
 
-    parted = materialise(compared.mapInArrow(compare, "id long, row long, a long, b long, key long, data binary"), "compared")
-    settled = parted.filter("key IS NULL").select("id", "row", "a", "b").distinct()
+    parted = materialise(compared.mapInArrow(compare, "id long, row long, a long, b long, kind string, key long, data binary"), "compared", "zstd")
+    settled = parted.filter("kind = 'E'").select("id", "row", "a", "b").distinct()
     # A part alone under its key differs from all others.
     keys = materialise(parted.filter("key IS NOT NULL").groupBy("key").count().filter("count > 1").select("key"), "keys")
-    rest = parted.join(keys, "key").select("key", "id", "row", "a", "b", "data")
+    rest = parted.join(keys, "key").select("key", "kind", "id", "row", "a", "b", "data")
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def settle(rows: list) -> list[tuple]:
+        types, names = [pa.int64()] * 4, ["id", "row", "a", "b"]
+
+        def shard(rows: list) -> list[tuple]:
             out = []
             for r, starts in zip(rows, repeated_starts([r["data"] for r in rows], length)):
-                at = 0
-                while at < len(starts):
-                    end = at
-                    while end + 1 < len(starts) and starts[end + 1] == starts[end] + 1:
-                        end += 1
-                    out.append((r["id"], r["row"], r["a"] + starts[at], r["a"] + starts[end] + length))
-                    at = end + 1
+                for i in starts:
+                    if out and out[-1][:2] == (r["id"], r["row"]) and out[-1][2] <= r["a"] + i <= out[-1][3] - length + 1:
+                        out[-1] = (*out[-1][:3], r["a"] + i + length)
+                    else:
+                        out.append((r["id"], r["row"], r["a"] + i, r["a"] + i + length))
             return out
 
-        types, names = [pa.int64()] * 4, ["id", "row", "a", "b"]
-        rows, size = [], 0
+        def sided(rows: list) -> list[tuple]:
+            # Of an L part, the prefix of length i is held by the window that begins at its last byte: by the window at end - i.
+            # Of an R part, the prefix of length i is held by the window that ends with it.
+            out, left = [], rows[0]["kind"] == "L"
+            size = [len(r["data"]) for r in rows]
+            least = [n - (r["b"] - r["a"]) for n, r in zip(size, rows)]
+            for r, n, found in zip(rows, size, common_parts([r["data"] for r in rows], least)):
+                for low, high in found:
+                    a, b = (r["a"] + n - high, r["a"] + n - low) if left else (r["b"] - (n - low), r["b"] - (n - high))
+                    out.append((r["id"], r["row"], a, b + length))
+            return out
+
+        held, group, size = [], [], 0
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and size > SHARD and r["key"] != rows[-1]["key"]:
-                    yield _batch(settle(rows), types, names)
-                    rows, size = [], 0
-                rows.append(r)
-                size += len(r["data"])
-        if rows:
-            yield _batch(settle(rows), types, names)
+                if group and r["key"] != group[0]["key"]:
+                    if group[0]["kind"] != "B":
+                        yield _batch(sided(group), types, names)
+                    else:
+                        held += group
+                        size += sum(len(x["data"]) for x in group)
+                        if size > SHARD:
+                            yield _batch(shard(held), types, names)
+                            held, size = [], 0
+                    group = []
+                group.append(r)
+        if group and group[0]["kind"] != "B":
+            yield _batch(sided(group), types, names)
+            group = []
+        if held or group:
+            yield _batch(shard(held + group), types, names)
 
     sorted_out = rest.repartition("key").sortWithinPartitions("key", "row", "a").mapInArrow(sort, "id long, row long, a long, b long")
     spans = covered.unionByName(settled).unionByName(sorted_out).groupBy("id", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans")).select(F.col("id").alias("sid"), F.col("row").alias("srow"), "spans")
-    joined = docs.join(spans, docs["id"].eqNullSafe(spans["sid"]) & (docs["row"] == spans["srow"]), "left").select("id", "data", "spans")
+    joined = zipped.join(spans, zipped["id"].eqNullSafe(spans["sid"]) & (zipped["row"] == spans["srow"]), "left").select("id", "data", "spans")
 
     def remove(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        unzip = zstandard.ZstdDecompressor()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 rows = []
                 for doc_id, data, spans in zip(*(batch.column(i) for i in range(3))):
-                    data = data.as_py()
+                    data = unzip.decompress(data.as_py())
                     kept, end, gone, n = [], 0, 0, 0
                     for a, b in sorted((s["a"], s["b"]) for s in spans.as_py() or ()):
                         if a > end or not n:
