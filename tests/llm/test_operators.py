@@ -1,0 +1,515 @@
+"""The operators against brute force, and on odd tables: nulls, empty and long texts, ties, repeats, no rows, clashing columns."""
+
+import hashlib
+import math
+import os
+import random
+import sys
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
+from oracle import compare  # noqa: E402
+
+from tessera.llm import queries as Q  # noqa: E402
+from tessera.llm.components import components  # noqa: E402
+from tessera.llm.decontamination import Index, contamination, decontaminate, edit_distance  # noqa: E402
+from tessera.llm.files import shard_bounds, shard_of  # noqa: E402
+from tessera.llm.line_dedup import line_dedup  # noqa: E402
+from tessera.llm.lm_scoring import held_out, lm_scores  # noqa: E402
+from tessera.llm.ngram_join import least_matches, ngram_join  # noqa: E402
+from tessera.llm.packing import best_two_fit, pack  # noqa: E402
+from tessera.llm.quality_rules import binomial_cdf, calibrate, quality_features, quality_rules  # noqa: E402
+from tessera.llm.secret_scan import FEATURES, features, labelled_findings, secret_scan, train  # noqa: E402
+from tessera.llm.substring_dedup import common_parts, substring_dedup  # noqa: E402
+from tessera.llm.suffix_array import permuted_lcp, repeated_starts, suffix_array  # noqa: E402
+from tessera.llm.token_files import Coder, FileWriter, frequencies, read_index, read_token_files, write_token_files  # noqa: E402
+from tessera.llm.tokens import ChunkEncoder  # noqa: E402
+from tessera.llm.warc import parse, read_warc, record, write_warc  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+CLASH = ["id", "row", "line", "key", "pos", "text_", "shard", "chunk", "digest", "anchor", "at", "words", "value", "n", "__id", "__row", "__text", "times", "score"]
+
+
+def frame(spark, rows):
+    """Documents with columns whose names the operators might use, some null."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for i, c in enumerate(CLASH):
+        df = df.withColumn(c, F.lit(None).cast("string") if i % 2 else F.lit(i))
+    return df
+
+
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+SHARED = "This very line stands in more than two documents."
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "a", 0),
+    (3, LONG, None, "a", None),
+    (4, "one two", "en", None, 7),
+    (5, f"a\n{SHARED}\nb", "en", "a", 5),
+    (6, f"{SHARED.upper()} \n{SHARED}", "en", "a", 5),
+    (7, f"\t{SHARED}\n", "en", "a", 5),
+    (7, f"\t{SHARED}\n", "en", "a", 5),
+    (None, f"{SHARED}\nnull id", "en", "a", 5),
+    (None, None, "en", "a", 5),
+    (8, "x" * 700, "en", "a", 700),
+    (9, " \n \n", "en", "a", 5),
+]
+
+
+def documents(spark, n=40):
+    return spark.read.parquet(f"{SF}/documents.parquet").limit(n)
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, name):
+    compare(spark, Q.queries()[name], Q.oracle_sql()[name], SF)
+
+
+def test_registered():
+    assert [n for n in range(1, 11) if not any(k.startswith(f"op{n}_") for k in Q.queries())] == []
+
+
+# ---- line dedup
+
+
+def test_line_dedup_odd(spark):
+    got = {(r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup(frame(spark, ODD), carry=["lang", "key"]).collect()}
+    assert (1, 1, 0, "") in got and (2, 1, 0, "") in got and (5, 3, 1, "a\nb") in got and (6, 2, 2, "") in got
+    assert (7, 2, 0, f"\t{SHARED}\n") in got and (None, 2, 1, "null id") in got and (9, 3, 0, " \n \n") in got
+    assert line_dedup(frame(spark, ODD)).count() == len(ODD) and line_dedup(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_line_dedup_many_lines(spark):
+    many = "\n".join(f"line number {i % 500} of a long document" for i in range(20_000))
+    got = line_dedup(frame(spark, [(i, many, "en", "a", 1) for i in range(3)])).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [20_000, 20_000, 0] and got[0].kept_text == "" and got[2].kept_text == many
+
+
+# ---- quality rules
+
+
+def brute_features(text):
+    import re
+
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_features(spark):
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(40))) + rng.choice(["", "\n", " \n|x# "]) * rng.randrange(4) for _ in range(60)] + [t for _, t, *_ in ODD]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = quality_features(df).orderBy("__id").collect()
+    assert [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got] == [brute_features(t) for t in texts]
+
+
+def test_binomial(spark):
+    df = spark.createDataFrame([(k, n) for n in (1, 20, 300, 20_000) for k in (0, 1, 2, 3, n)], "k long, n long")
+    for k, n, p in df.select("k", "n", binomial_cdf(F.col("k"), F.col("n"), 0.01)).collect():
+        want = 1.0 if k >= n else sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(0.01) + (n - j) * math.log(0.99)) for j in range(k + 1))
+        assert p == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_risk(spark):
+    """Clean documents pass in each stratum; junk goes where the holdout is large enough, and only there."""
+    rng = random.Random(5)
+    clean = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(999)) for _ in range(40))
+    junk = lambda: " ".join(f"w{rng.randrange(9999)}###" for _ in range(40))
+    rows = [(i, junk() if i % 10 == 0 else clean(), "en" if i < 2000 else "fr", "a", 1) for i in range(2060)]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1, None) for i in range(2060)] + [(None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r.kept for r in quality_rules(df, labels).collect()}
+    assert all(kept[i] for i in range(2060) if i % 10) and not any(kept[i] for i in range(0, 2000, 10)) and all(kept[i] for i in range(2000, 2060))
+    cut = calibrate(quality_features(df), labels).collect()
+    assert {r["__stratum"] for r in cut} == {"en"} and all(r.rejected <= 0.05 / 6 * r.clean for r in cut)
+
+
+def test_quality_odd(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_rules(frame(spark, ODD), labels).collect()
+    assert len(got) == len(ODD) and {r.doc_id for r in got if r.kept} <= {3} and quality_rules(frame(spark, ODD).limit(0), labels).count() == 0
+
+
+# ---- near duplicates
+
+
+def brute_links(rows):
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent, links = list(range(len(rows))), Counter()
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [(rows[i][0], rows[root(i)][0], links[i]) for i in range(len(rows))]
+
+
+def test_ngram_join(spark):
+    rng = random.Random(2)
+    rows = []
+    for _ in range(8):
+        base = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(4, 120))]
+        for _ in range(rng.randrange(1, 14)):
+            own = base[:]
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(500)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, "a B") for i in range(3)]
+    got = sorted(tuple(r)[:3] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute_links(rows))
+
+
+def test_ngram_join_odd(spark):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join(frame(spark, ODD)).collect()}
+    assert got[1] == (1, 0) and got[2] == (2, 0) and got[7] == (7, 0) and got[None] == (None, 0)
+    assert ngram_join(frame(spark, ODD)).count() == len(ODD) and ngram_join(frame(spark, ODD).limit(0)).count() == 0
+
+
+def test_pruning_bound():
+    need = least_matches(0.8, 1e-6)
+    assert need[0] == 0 and all(0 <= b - a <= 1 for a, b in zip(need, need[1:])) and need[240] < 0.8 * 240
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 5), (7, 7)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)}
+
+
+# ---- suffix arrays
+
+
+def test_suffix_array():
+    rng = random.Random(3)
+    for _ in range(300):
+        s = [rng.randint(1, 3) for _ in range(rng.randrange(50))] + [0]
+        sa = suffix_array(s, 4)
+        assert sa == sorted(range(len(s)), key=lambda i: s[i:])
+        lcp = permuted_lcp(s, sa, 9)
+        for a, b in zip(sa, sa[1:]):
+            n = 0
+            while n < 9 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
+                n += 1
+            assert lcp[b] == n
+    assert repeated_starts([b"abcabc", b"zabcz"], 3) == [[0, 3], [1]]
+
+
+def test_common_parts():
+    rng = random.Random(4)
+    for _ in range(100):
+        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 8))) for _ in range(6)]
+        least = [rng.randrange(1, len(x) + 1) for x in strings]
+        got = [{n for lo, hi in own for n in range(lo, hi + 1)} for own in common_parts(strings, least)]
+        want = [{n for n in range(least[i], len(x) + 1) if any(j != i and least[j] <= n <= len(y) and y[:n] == x[:n] for j, y in enumerate(strings))} for i, x in enumerate(strings)]
+        assert got == want
+
+
+def brute_substrings(texts, length):
+    data = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_substring_dedup(spark, seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(150)]
+
+    def near(k):
+        own = base[:]
+        for _ in range(k):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        return " ".join(own)
+
+    fresh = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = fresh(60)
+    texts = [near(rng.randint(0, 6)) for _ in range(40)] + [fresh(30) + passage + fresh(30) for _ in range(20)] + ["a" * 700, "ab" * 300, "", "x", None, fresh(200), LONG[:5000], " ".join(base[40:110]), " ".join(base[40:110]), (" ".join(base[:60]) + " ") * 3]
+    rows = [(i if i % 7 else None, t, "en", "a", 1) for i, t in enumerate(texts)]
+    out = substring_dedup(frame(spark, rows), length=200)
+    got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(((r[0], *w) for r, w in zip(rows, brute_substrings(texts, 200))), key=key)
+
+
+def test_substring_dedup_empty(spark):
+    assert substring_dedup(frame(spark, []), length=200).count() == 0
+
+
+# ---- WARC
+
+
+def test_warc_odd(spark, tmp_path):
+    big = "<p>" + "é" * 900
+    rows = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (2, None, big), (None, "http://n", big), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("id", F.lit(None)).withColumn("payload", F.lit(1)).withColumn("key", F.lit(2))
+    path, manifest = write_warc(df, f"file://{tmp_path}/w", shard_bytes=1500, roll_bytes=900)
+    got = read_warc(path, manifest).collect()
+    assert len(got) == len(rows) and len(manifest.collect()) > 2
+    by = defaultdict(list)
+    for r in got:
+        by[r.page_id].append((r.payload_bytes, r.payload_digest, r.record_type, r.refers_to))
+    sha = hashlib.sha1(big.encode()).hexdigest()
+    assert by[1] == [(1803, sha, "revisit", 2)] and by[None] == [(1803, sha, "revisit", 2)] and by[2] == [(1803, sha, "response", None)] * 2
+    assert by[3][0][2] == by[4][0][2] == "response" and by[5] == by[6] == [(0, hashlib.sha1(b"").hexdigest(), "response", None)]
+    first = {p.name: p.read_bytes() for p in (tmp_path / "w").iterdir()}
+    assert not [n for n in first if "tmp" in n]
+    write_warc(df.repartition(3), f"file://{tmp_path}/v", shard_bytes=1500, roll_bytes=900)
+    assert first == {p.name: p.read_bytes() for p in (tmp_path / "v").iterdir()}
+    assert read_warc(*write_warc(df.limit(0), f"file://{tmp_path}/e")).count() == 0
+
+
+def test_warc_damage():
+    raw = record("response", 1, 0, "u", b"abc", 3, "sha1:X", None)
+    assert parse(raw)[0]["WARC-Page-ID"] == "1"
+    with pytest.raises(ValueError):
+        parse(raw.replace(b"abc", b"abd"))
+
+
+def test_shards(spark):
+    df = spark.createDataFrame([(i, 10) for i in range(500)] + [(1 << 60, 10), (-5, 10), (None, 10)], "k long, w long")
+    bounds = shard_bounds(df, F.col("k"), F.col("w"), 1000)
+    assert bounds == sorted(set(bounds)) and 3 <= len(bounds) <= 6
+    rows = df.select("k", shard_of(F.col("k"), bounds).alias("s")).collect()
+    assert [r.s for r in sorted(rows, key=lambda r: -(1 << 62) if r.k is None else r.k)] == sorted(r.s for r in rows)
+    assert max(Counter(r.s for r in rows).values()) <= 200
+
+
+# ---- tokens
+
+
+TRICKY = ["", "  a  b\n\nc \n", "x y  z", "a\x1cb ́ c", "don't we'll  'S", "\n\nfoo ", "tab\tx\r\ny", "İ ΑΣ Σ. é́ <|endoftext|> !!", "a. b, c.", "_. x", "a., b", "3.14 is, so.", "it's. I'll, ok.", "É. à, ß.", "ª. x", "\x00 a", "Ünï çödé, naïve.", "a" * 3000]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_equal_whole_texts(spark, name):
+    e = ChunkEncoder(Q.tokenizer_path(name))
+    texts = TRICKY + [r.text for r in documents(spark, 60).collect()]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(" \n.,ab'é!1 Z") for _ in range(rng.randrange(60))) for _ in range(400)]
+    for t in texts:
+        assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing(spark):
+    df = frame(spark, ODD)
+    got = pack(df, Q.tokenizer_path("word_bpe_49k.json"), capacity=64).collect()
+    e = ChunkEncoder(Q.tokenizer_path("word_bpe_49k.json"))
+    want = Counter()
+    for d, t, *_ in ODD:
+        ids = np.append(e.ids(t).astype("<u4"), np.uint32(1))
+        for k, at in enumerate(range(0, len(ids), 64)):
+            want[d, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].astype("<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        end = 0
+        for at, n in sorted(own):
+            assert at == end
+            end += n
+        assert end <= 64
+    assert pack(df.limit(0), Q.tokenizer_path("word_bpe_49k.json")).count() == 0
+
+
+def test_best_two_fit():
+    rng = random.Random(1)
+    for _ in range(200):
+        histogram = Counter(rng.randint(1, 40) for _ in range(rng.randrange(1, 80)))
+        plan, n = best_two_fit(dict(histogram), 40)
+        used, bins = Counter(), defaultdict(list)
+        for length, rank, times, first, offset in plan:
+            assert rank == used[length]
+            used[length] += times
+            for k in range(times):
+                bins[first + k].append((offset, length))
+        assert used == histogram and len(bins) == n <= sum(k * v for k, v in histogram.items()) / 40 * 1.5 + 2
+        assert all(sum(x for _, x in own) <= 40 for own in bins.values())
+    # Greedy takes 6 and 3 of 10; 2 + 2 in place of 3 fills the sequence.
+    assert best_two_fit({6: 1, 3: 1, 2: 2}, 10)[1] == 2 and best_two_fit({}, 10) == ([], 0)
+
+
+def test_token_files(spark, tmp_path):
+    path = Q.tokenizer_path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in enumerate(TRICKY + [LONG])] + [(3, "again"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("shard", F.lit("x"))
+    manifest = write_token_files(df, path, f"file://{tmp_path}/t", shard_bytes=600)
+    got = sorted(map(tuple, read_token_files(manifest).collect()), key=lambda r: r[1])
+    e, want, at = ChunkEncoder(path), [], 0
+    for d, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], np.append(e.ids(r[1]), np.uint16(0)).astype("<u2").tobytes())):
+        ids = np.append(e.ids(t).astype("<u4"), np.uint32(0))
+        want.append((d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+        at += len(ids)
+    assert got == want and manifest.count() > 1
+    assert read_token_files(write_token_files(df.limit(0), path, f"file://{tmp_path}/e")).count() == 0
+
+
+def test_range_coder(tmp_path):
+    rng = np.random.default_rng(1)
+    ids = np.minimum(rng.geometric(0.01, 300_000), 50_000).astype(np.uint32)
+    coder = Coder(frequencies(np.bincount(ids)))
+    with open(tmp_path / "f", "wb") as f:
+        w = FileWriter(f, coder, 5, block=70_000)
+        for i, part in enumerate(np.split(ids, [10, 10, 200_000])):
+            w.add(i, part)
+        w.close()
+    from tessera.llm.token_files import read_blocks
+
+    uri = f"{tmp_path}/f"
+    assert (np.concatenate(list(read_blocks(uri, coder))) == ids).all()
+    assert [t for _, t in read_index(uri)["blocks"]] == [5 + 70_000 * k for k in range(5)]
+    assert (next(read_blocks(uri, coder, 2, 3)) == ids[140_000:210_000]).all()  # from a checkpoint
+    bits = -np.log2(np.bincount(ids)[ids] / len(ids)).sum()
+    assert os.path.getsize(uri) * 8 < bits * 1.02 + 5 * 1024 * 64 + 20_000
+    raw = bytearray((tmp_path / "f").read_bytes())
+    raw[20_000] ^= 1
+    (tmp_path / "f").write_bytes(raw)
+    with pytest.raises(ValueError):
+        list(read_blocks(uri, coder))
+
+
+# ---- decontamination
+
+
+def test_edit_distance():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 4, (40, 7)), rng.integers(0, 4, (40, 7))
+
+    def slow(x, y):
+        d = list(range(len(y) + 1))
+        for i, p in enumerate(x):
+            d = _row(d, i, p, y)
+        return d[-1]
+
+    def _row(d, i, p, y):
+        out = [i + 1]
+        for j, q in enumerate(y):
+            out.append(min(d[j] + (p != q), d[j + 1] + 1, out[j] + 1))
+        return out
+
+    assert edit_distance(a, b).tolist() == [slow(x, y) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_contamination(spark):
+    rng = random.Random(7)
+    word = lambda: f"q{rng.randrange(4000)}"
+    items = [(i, " ".join(word() for _ in range(rng.randrange(9, 60)))) for i in range(60)] + [(60, None), (61, ""), (None, "null item of nine words in a row here now")]
+    rows, want = [], set()
+    for i in range(200):
+        body = [word() for _ in range(200)]
+        if i % 4 == 0:
+            item, own = items[i % 60][0], items[i % 60][1].split()
+            for _ in range(int(0.15 * len(own)) if i % 8 == 0 else 0):
+                own[rng.randrange(len(own))] = word()
+            body[50:50] = own
+            want.add((i, item))
+        rows.append((i, " ".join(body), "en", "a", 1))
+    rows += ODD
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in contamination(frame(spark, rows), table).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want)
+    blocked = {(r.doc_id, r.item_id) for r in contamination(frame(spark, rows), table, block_items=20).collect()}
+    assert blocked <= want and len(blocked) >= 0.98 * len(want)
+    clean = decontaminate(frame(spark, rows), table)
+    assert clean.columns == frame(spark, rows).columns and clean.count() == len(rows) - len({d for d, _ in got})
+    assert contamination(frame(spark, rows), table.limit(0)).count() == 0 and contamination(frame(spark, []), table).count() == 0
+
+
+def test_exact_passages_are_found():
+    texts = ["short item text", "a somewhat longer item text of ten words in all"]
+    index = Index(list(enumerate(texts)), 0.15, 0.99)
+    assert {(r, i) for r, i, *_ in index.search(["x " + texts[0] + " y", texts[1], "nothing here"])} == {(0, 0), (1, 1)}
+
+
+# ---- language model
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_scores(spark, order):
+    rows = [(r.doc_id, r.text) for r in documents(spark).collect()] + [(900, None), (901, ""), (None, "a b a b"), (902, "x x x"), (902, "x x x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(None)).withColumn("held", F.lit("a"))
+    got = lm_scores(df, held=held_out("doc_id"), order=order, chunk_bytes=20_000, owner_bytes=30_000).collect()
+    tokens = [[*(t or "").encode().lower().split(), "end"] for _, t in rows]
+    held = [zlib.crc32(str(d if d is not None else "").encode()) % 7 == 2 for d, _ in rows]
+    count = [Counter() for _ in range(order + 1)]
+    for own, out in zip(tokens, held):
+        for n in range(1, order + 1):
+            for i in range(n - 1, len(own)) if not out else ():
+                count[n][tuple(own[i - n + 1 : i + 1])] += 1
+    total, size, k = sum(count[1].values()), len(count[1]), 8.0
+
+    def p(own, i, n):
+        if n == 1:
+            return (count[1][own[i],] + 1) / (total + size + 1)
+        h = tuple(own[i - n + 1 : i]) if i >= n - 1 else ()
+        return (count[n][(*h, own[i])] + k * p(own, i, n - 1)) / (count[n - 1][h] + k) if h and count[n - 1][h] else p(own, i, n - 1)
+
+    want = [(d, out, len(own), sum(count[1][w,] > 0 for w in own), total, sum(math.log10(p(own, i, 1)) for i in range(len(own))), sum(math.log10(p(own, i, order)) for i in range(len(own)))) for (d, _), own, out in zip(rows, tokens, held)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
+
+
+def test_lm_empty(spark):
+    assert lm_scores(frame(spark, [])).count() == 0
+
+
+# ---- secrets
+
+
+def test_secret_scan(spark):
+    model = train(labelled_findings(spark, 1500))
+    held = labelled_findings(spark, 600, seed=99)
+    from pyspark.ml.feature import VectorAssembler
+
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(held)))
+    assert scored.filter("prediction = label").count() >= 570
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    rows = ODD + [(20, f'é token = "{key}" and commit {key}', "en", "src/main.py", 1), (20, f'é token = "{key}" and commit {key}', "en", "src/main.py", 1), (21, "api_key = 'your_api_key_here1'", "en", None, 1), (22, "a \x01 b \x02 2669109448945250", "en", "a", 1)]
+    got = secret_scan(frame(spark, rows), model).collect()
+    own = sorted((r.start, r.length, r.secret, r.is_secret, r.times) for r in got if r.doc_id == 20)
+    assert [x[:3] for x in own] == [(11, 40, key), (64, 40, key)] and own[0][3] and not own[1][3] and own[0][4] == 2
+    assert not any(r.is_secret for r in got if r.doc_id in (21, 22)) and any(r.doc_id == 22 for r in got)
+    assert secret_scan(frame(spark, []), model).count() == 0
