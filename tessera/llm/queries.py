@@ -13,13 +13,17 @@ from tessera.llm.line_dedup import line_dedup
 from tessera.llm.lm_scoring import held_out, lm_scores
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
-from tessera.llm.quality_rules import quality_rules
+from tessera.llm.quality_rules import LADDERS, quality_rules
 from tessera.llm.secret_scan import labelled_findings, secret_scan, train
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc import read_warc, write_warc
 
 
+#: Of the quality rules: the share of clean documents that may go, and the probability that more do.
+RISK, DELTA = 0.05, 0.05
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer's file lies; the folder is the installed package's own."""
     import public_tokenizers
@@ -32,7 +36,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), risk=RISK, delta=DELTA).drop("text_digest")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op6_warc": OP6_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_warc": OP6_SQL}
 
 
 OP4_SQL = r"""
@@ -112,3 +116,57 @@ SELECT p.page_id, p.n AS payload_bytes, sha1(p.html) AS payload_digest,
        CASE WHEN l.leader <> p.page_id THEN l.leader END AS refers_to
 FROM p LEFT JOIN lead l ON p.html = l.html
 """
+
+_SPACES = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_LADDER = ", ".join(f"('{rule}', {k}, {cut}::DOUBLE)" for k, (rule, cuts) in enumerate(LADDERS.items()) for cut in cuts)
+_ALPHA = RISK / len(LADDERS)
+OP2_SQL = rf"""
+WITH base AS (
+  SELECT doc_id, coalesce(lang, '') AS s, coalesce(text, '') AS t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, {_SPACES})) > 0) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i + 1 : i + 8], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 7)) AS i FROM base WHERE len(ws) >= 8)
+), repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c > 1)
+  GROUP BY doc_id
+), f AS (
+  SELECT base.doc_id, s, len(ws) AS n_words, length(translate(t, {_SPACES}, '')) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, len(ls) AS n_lines,
+         length(t) - length(regexp_replace(t, '\pL+', '', 'g')) AS letters, length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS capitals, length(t) - length(translate(t, '!?', '')) AS marks
+  FROM base LEFT JOIN repeats ON repeats.doc_id = base.doc_id
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f
+), metrics AS (
+  SELECT doc_id, s, base_failed, unnest([
+    {{'rule': 'symbols', 'v': coalesce(n_symbols / nullif(n_words, 0), 0)}}, {{'rule': 'dup_lines', 'v': coalesce(n_dup_lines / nullif(n_lines, 0), 0)}},
+    {{'rule': 'repeats', 'v': coalesce(n_repeat_words / nullif(n_words, 0), 0)}}, {{'rule': 'long_words', 'v': coalesce(word_chars / nullif(n_words, 0), 0)}},
+    {{'rule': 'shouting', 'v': coalesce(capitals / nullif(letters, 0), 0)}}, {{'rule': 'marks', 'v': coalesce(marks / nullif(n_words, 0), 0)}}], recursive := true)
+  FROM judged
+), ladder(rule, rank, cut) AS (VALUES {_LADDER}
+), marked AS (
+  SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id
+), rungs AS (
+  SELECT s, metrics.rule, cut, count(*) FILTER (WHERE q > 0) AS n, count(*) FILTER (WHERE q > 0 AND v > cut) AS k, count(*) FILTER (WHERE q <= 0 AND v > cut) AS caught
+  FROM metrics JOIN marked USING (doc_id) JOIN ladder ON ladder.rule = metrics.rule WHERE NOT base_failed GROUP BY ALL
+), tested AS (
+  SELECT *, n > 0 AND k <= n * {_ALPHA} AND k < n AND (
+    SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_ALPHA}) + (n - j) * ln(1 - {_ALPHA}))) FROM range(0, k + 1) r(j)
+  ) <= {DELTA} / (SELECT count(DISTINCT (s, rule)) FROM rungs) AS ok
+  FROM rungs
+), certified AS (
+  SELECT * FROM (SELECT *, min(ok::INTEGER) OVER (PARTITION BY s, rule ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS all_ok FROM tested) WHERE all_ok = 1
+), cutoffs AS (
+  SELECT s, rule, arg_max(cut, {{'gain': caught - k, 'cut': cut}}) AS cut FROM certified GROUP BY s, rule
+), failures AS (
+  SELECT metrics.doc_id, string_agg(metrics.rule, ',' ORDER BY rank) AS failed_rules
+  FROM metrics JOIN cutoffs ON cutoffs.s = metrics.s AND cutoffs.rule = metrics.rule JOIN (SELECT DISTINCT rule, rank FROM ladder) o ON o.rule = metrics.rule
+  WHERE v > cutoffs.cut GROUP BY metrics.doc_id
+)
+SELECT judged.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND failed_rules IS NULL AS kept, coalesce(failed_rules, '') AS failed_rules
+FROM judged LEFT JOIN failures ON failures.doc_id = judged.doc_id
+"""
