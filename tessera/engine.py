@@ -58,7 +58,9 @@ class Execution:
             if kind is None:
                 raise QueryError("ColumnNotFound", f"{t.name} has no column {t.block}", t.block)
             if not is_integer(kind):
-                raise QueryError("UnsupportedKeyType", f"{t.name}.{t.block} is stored as {kind.simpleString()}", t.block)
+                raise QueryError("MalformedChunkData", f"{t.name}.{t.block} is stored as {kind.simpleString()}", t.block)
+            if self.source.holds_null(t.name, t.block):
+                raise QueryError("MalformedChunkData", f"{t.name}.{t.block} holds a null", t.block)
             shown = self.query.selected(t)
             need = [c for f in shown for c in t.fields()[f]] + size_columns(t, shown)
             varied = {c for groups in t.variants.values() for own in groups.values() for c in own}

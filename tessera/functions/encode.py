@@ -116,6 +116,10 @@ def json_object(parts: list[tuple[str, Expr]], more: list[Expr] | None = None) -
 
 
 def column_json(c: Column, schema: T.StructType) -> Expr:
+    kind = schema[c.name].dataType
+    nested = T.ArrayType if c.type.startswith("list_") else T.StructType if c.type == "struct" else None
+    if nested and not isinstance(kind, nested) or not nested and isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        raise _unrenderable(c.name, kind)
     return raw_json(F.col(f"`{c.name}`"), schema[c.name].dataType, c.name, c.encoding, c.type, dict(c.members))
 
 

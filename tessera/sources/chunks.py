@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.catalog import Catalog
@@ -21,6 +22,10 @@ class TableSource(Protocol):
         """The table's rows; QueryError(TableNotFound) if there are none."""
         ...
 
+    def holds_null(self, name: str, column: str) -> bool:
+        """Whether a block number is missing. A source that vouches for its rows answers no."""
+        ...
+
 
 class ParquetSource:
     """Chunk directories with one Parquet file or folder per table. Several directories read as one range."""
@@ -48,11 +53,16 @@ class ParquetSource:
         return df
 
 
+    def holds_null(self, name: str, column: str) -> bool:
+        # Row groups whose footer counts no nulls are skipped, so this reads footers where writers keep counts.
+        return not self.table(name).filter(F.col(f"`{column}`").isNull()).select(column).isEmpty()
+
+
 class FrameSource:
-    """Tables held as DataFrames: in-memory or derived chunks."""
+    """Tables held as DataFrames: in-memory or derived chunks. ``vouched``: their block numbers are known to be set."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
-        self.tables = tables
+    def __init__(self, tables: dict[str, DataFrame], vouched: bool = True):
+        self.tables, self.vouched = tables, vouched
 
     def has_table(self, name: str) -> bool:
         return name in self.tables
@@ -62,6 +72,9 @@ class FrameSource:
             raise QueryError("TableNotFound", f"the chunk has no table {name}", name)
         return self.tables[name]
 
+    def holds_null(self, name: str, column: str) -> bool:
+        return not self.vouched and not self.table(name).filter(F.col(f"`{column}`").isNull()).isEmpty()
+
 
 def write_chunk(tables: dict[str, DataFrame], catalog: Catalog, directory: str, mode: str = "error") -> None:
     """Write a chunk laid out for skipping: block numbers signed, rows sorted by each table's sort key."""

@@ -87,7 +87,12 @@ def test_schema_checks(spark):
     assert kind(chunk | {"logs": chunk["logs"].drop("topic3")}, logs=[{}], fields={"log": {"topics": True}}) == "ColumnNotFound"
     assert kind(chunk | {"logs": chunk["logs"].withColumn("transaction_index", F.lit(1.5))}, logs=[{"transaction": True}]) == "UnsupportedKeyType"
     assert kind(chunk | {"logs": chunk["logs"].withColumn("address", F.lit(1.5))}, logs=[{"address": ["0x1"]}]) == "UnsupportedKeyType"
-    assert kind(chunk | {"blocks": chunk["blocks"].withColumn("number", F.lit("x"))}, logs=[{}]) == "UnsupportedKeyType"
+    assert kind(chunk | {"blocks": chunk["blocks"].withColumn("number", F.lit("x"))}, logs=[{}]) == "MalformedChunkData"
+    assert kind(chunk | {"logs": chunk["logs"].withColumn("data", F.array("data"))}, logs=[{}], fields={"log": {"data": True}}) == "MalformedChunkData"
+    holes = FrameSource(chunk | {"logs": chunk["logs"].withColumn("block_number", F.nullif("block_number", F.lit(103)))}, vouched=False)
+    with pytest.raises(QueryError) as e:
+        execute(spark, {"type": "evm", "logs": [{}]}, EVM, holes)
+    assert e.value.kind == "MalformedChunkData"
     assert execute(spark, {"type": "evm", "logs": [{}]}, EVM, FrameSource(chunk | {"logs": chunk["logs"].drop("address")}))
 
 
