@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog, parse
 from tessera.engine import Execution, execute
 from tessera.errors import QueryError
+from tessera.functions.hashing import Fuse8, bloom_build
 from tessera.sources.chunks import FrameSource
 
 SHOP = """
@@ -50,7 +52,8 @@ tables:
       paid: string w=price_size
       price_size: int64 sys
       doc: string/json_verbatim
-    filters: {flag: in fold, status: in, l_linenumber: in, l_suppkey: in, part_from: gte l_partkey, part_to: lte l_partkey, big: equals, note: in, non_zero: at_least hexed 0x2, tags: in, discriminator: discriminator, d1: in}
+      parties: fixed_binary_64 sys
+    filters: {code: in hexed, mentions: bloom parties 64 7, flag: in fold, status: in, l_linenumber: in, l_suppkey: in, part_from: gte l_partkey, part_to: lte l_partkey, big: equals, note: in, non_zero: at_least hexed 0x2, tags: in, discriminator: discriminator, d1: in}
     relations:
       payments: {join: payments, keys: [l_orderkey, l_linenumber], to: [p_order, p_line]}
       same_note: {join: lineitem, keys: [l_orderkey, note]}
@@ -113,6 +116,16 @@ tables:
 """
 
 
+def _parties(supplier: Column, part: Column) -> Column:
+    """A bloom filter of each line's supplier and part, as an archive's writer would store it."""
+
+    @F.pandas_udf("binary")
+    def build(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bloom_build([f"s{x}", f"p{y}"], 64, 7) for x, y in zip(a, b)])
+
+    return build(supplier, part)
+
+
 def catalogs() -> dict[str, Catalog]:
     return {"shop": parse(SHOP), "tree": parse(TREE)}
 
@@ -131,7 +144,7 @@ def shop(spark: SparkSession, sf_dir: str) -> FrameSource:
         F.array("l_returnflag", "l_linestatus").alias("tags"), F.col("l_returnflag").alias("t0"), F.nullif("l_linestatus", F.lit("O")).alias("t1"), F.lit("x").alias("t2"), F.array(F.lit("y"), F.lit("z")).alias("rest"),
         F.col("l_linenumber").alias("d1"), (F.col("l_linenumber") * 256 + quantity).alias("d2"),
         F.col("l_shipdate").alias("shipped"), F.col("l_extendedprice").cast("bigint").cast("string").alias("paid"), F.col("l_extendedprice").cast("bigint").alias("price_size"),
-        F.when(quantity % 2 == 0, F.concat(F.lit('{"q":'), quantity, F.lit("}"))).otherwise(F.lit("")).alias("doc"),
+        F.when(quantity % 2 == 0, F.concat(F.lit('{"q":'), quantity, F.lit("}"))).otherwise(F.lit("")).alias("doc"), _parties(F.col("l_suppkey"), F.col("l_partkey")).alias("parties"),
     )
     pay = li.filter(F.col("l_linenumber") != 2).select(F.col("l_orderkey").alias("p_order"), F.col("l_linenumber").alias("p_line"), F.col("l_suppkey").alias("p_supplier"), F.when(F.col("l_suppkey") % 2 == 0, "cash").otherwise("card").alias("mode")).distinct()
     return FrameSource({"orders": orders, "lineitem": lines, "payments": pay})
@@ -192,6 +205,10 @@ _lines_query("alias_items", "flag = 'r' AND l_linenumber IN (1, 2)", returnedLin
 _lines_query("alias_and_table", "(flag = 'r' AND l_linenumber = 1) OR status = 'O'", returnedLines=[{"line": [1]}], lines=[{"status": ["O"]}])
 _lines_query("block_range", "l_orderkey BETWEEN 10 AND 500", lines=[{}], fromBlock=10, toBlock=500)
 _lines_query("relation_null_key", "EXISTS (SELECT 1 FROM li s WHERE s.l_linenumber = 1 AND s.l_orderkey = li.l_orderkey AND s.note = li.note) OR l_linenumber = 1", lines=[{"lLinenumber": [1], "sameNote": True}])
+# Both structures may hold more than they were built from; with these values and seeds they don't.
+_lines_query("filter_bloom", "l_suppkey = 3 OR l_partkey = 77", lines=[{"mentions": ["s3", "p77"]}])
+_CODES = ["0x1", "0xa", "0x1f"]
+_lines_query("filter_set_fuse8", "'0x' || lower(hex(quantity)) IN ('0x1', '0xa', '0x1f') OR quantity = 2", fields={"line": {"hexed": True}}, sets={"s": {"fuse8": Fuse8.build(_CODES).encode(), "canaries": _CODES[:1]}}, lines=[{"code": [{"set": "s"}, "0x2"]}])
 _lines_query(
     "relation_scoped",
     "flag = 'r' OR l_linenumber = 5 OR EXISTS (SELECT 1 FROM li s WHERE s.flag = 'r' AND s.l_orderkey = li.l_orderkey AND s.note = li.note)",
