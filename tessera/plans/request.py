@@ -66,10 +66,6 @@ def _refuse(kind: str, path: str, text: str) -> QueryError:
     return QueryError(kind, f"{path}: {text}" if path else text, path)
 
 
-def _unique(pairs: list[tuple[str, Any]]) -> dict:
-    return dict(pairs)
-
-
 def parse_query(request: bytes | str | dict, catalog: Catalog) -> Query:
     """Parse and validate a request; QueryError names what is wrong and where."""
     if isinstance(request, dict):
