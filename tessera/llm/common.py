@@ -13,6 +13,7 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 _own_dir: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,7 +41,24 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialised table that nothing lazy reads any more."""
+    path = getattr(df, "_tessera_path", None)
+    if path:
+        drop_path(df.sparkSession, path)
+        _written[df.sparkSession.sparkContext.applicationId].remove(path)
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete every table that this application's operators have materialised; call it once their results are stored."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        drop_path(spark, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -5,17 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def _with_least(edges: DataFrame, name: str) -> DataFrame:
-    """Edges with ``m``, the least neighbour of a. The least ones are written, so a hub's join can be broadcast or split."""
-    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), name)
-    return edges.join(least, "a")
+def _least(edges: DataFrame, name: str) -> DataFrame:
+    """The least neighbour m of each a, written, so that a hub's join can be broadcast or split."""
+    return materialise(edges.groupBy("a").agg(F.min("b").alias("m")), name)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -29,11 +28,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     seen = _mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both, "large-star").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        large = materialise(large, "edges")
-        small = _with_least(large, "small-star")
+        least = _least(both, "large-star")
+        large = materialise(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct(), "edges")
+        lower = _least(large, "small-star")
+        small, before = large.join(lower, "a"), e
         e = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct()
         e = materialise(e, "edges")
+        for done in (least, large, lower, before):
+            discard(done)
         now = _mark(e)
         if now == seen:
             break
