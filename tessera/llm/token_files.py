@@ -83,7 +83,7 @@ class Coder:
             x[:] = (q << scale) + (x - q * f) + self.start[s]
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
         payload = state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
-        return _HEAD.pack(n, lanes, len(stream), first, zlib.crc32(payload), zlib.crc32(ids.astype("<u4").tobytes())) + payload
+        return _HEAD.pack(n, lanes, len(stream), first, zlib.crc32(payload), zlib.crc32(np.ascontiguousarray(ids, "<u4"))) + payload
 
     def decode(self, head: tuple, payload: bytes):
         np = self.np
@@ -105,7 +105,7 @@ class Coder:
             if len(need):
                 x[need] = (x[need] << half) | stream[at : at + len(need)]
                 at += len(need)
-        if zlib.crc32(out.astype("<u4").tobytes()) != ids_crc:
+        if zlib.crc32(np.ascontiguousarray(out, "<u4")) != ids_crc:
             raise ValueError("a block's ids do not match their checksum")
         return out
 
@@ -230,11 +230,12 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
 
         seen = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for raw, width in zip(batch.column(0), batch.column(1).to_pylist()):
-                own = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
-                if len(own) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(own) - len(seen), np.int64)])
-                seen[: len(own)] += own
+            # All of a batch at once: a count per document would clear a whole table for each.
+            width = batch.column(1)[0].as_py() if batch.num_rows else 2
+            own = np.bincount(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(0)), f"<u{width}"))
+            if len(own) > len(seen):
+                seen = np.concatenate([seen, np.zeros(len(own) - len(seen), np.int64)])
+            seen[: len(own)] += own
         at = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["token", "n"])
 
@@ -306,7 +307,7 @@ def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 docs = read_index(uri)["docs"]
                 crcs, k, left, crc = [], 0, docs[0][1] if docs else 0, 0
                 for ids in read_blocks(uri, coders[table_uri]):
-                    raw, at = memoryview(ids.astype("<u4").tobytes()), 0
+                    raw, at = memoryview(ids.astype("<u4", copy=False)).cast("B"), 0
                     while at < len(raw):
                         take = min(left * 4, len(raw) - at)
                         crc = zlib.crc32(raw[at : at + take], crc)

@@ -20,7 +20,7 @@ _MARKS = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
 _LED = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Chunks of one generation of a worker's cache. When a generation is full it becomes the
 #: old one, from which chunks in use are taken over. Bounds memory, never results.
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 320_000
 
 _encoders: dict[str, "ChunkEncoder"] = {}
 
