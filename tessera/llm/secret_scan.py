@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYWORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key"
-#: One pass finds all candidates: long runs of key-like characters with a digit, quoted values after a keyword, key headers.
+#: Between a keyword and its value: the key's closing quote, '=', ':', ':=', '==' or '=>', with blanks.
+_SEP = r"[\"']?[ \t]{0,8}[=:]{1,2}>?[ \t]{0,8}"
+#: One pass finds all candidates: key headers, quoted and unquoted values after a keyword, long runs of key-like characters.
+#: An unquoted value ends before a delimiter, or at white space where that would leave less than eight characters.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
-    rf"|(?<=[\"'])(?<=(?i:{KEYWORDS}) ?[=:] ?[\"'])[^\s\"']{{8,}}"
+    rf"|(?<=[\"'])(?<=(?i:{KEYWORDS}){_SEP}[\"'])[^\s\"']{{8,}}"
+    rf"|(?<=[=:> \t])(?<=[=:]>?[ \t]{{0,8}})(?<=(?i:{KEYWORDS}){_SEP})(?![=:>])(?:[^\s\"',;&(){{}}\[\]<>|]{{8,}}|[^\s\"']{{8,}})"
+    r"|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 )
 #: Characters of context kept on either side.
 CONTEXT = 80
@@ -44,7 +48,7 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         F.when(F.col("pos") > 0, F.substring("piece", F.lit(1), cut - 1)).alias("secret"),
         F.when(F.col("pos") > 0, F.substring("piece", cut + 1, F.length("piece"))).otherwise(F.col("piece")).alias("rest"),
     )
-    pieces = pieces.select("id", "path", "row", "pos", "secret", F.left("rest", F.lit(CONTEXT)).alias("after"), F.right("rest", F.lit(CONTEXT)).alias("tail"), (F.length("rest") + F.coalesce(F.length("secret"), F.lit(0))).cast("long").alias("size"))
+    pieces = pieces.select("id", "path", "row", "pos", "secret", F.left("rest", F.lit(CONTEXT)).alias("after"), F.right(F.concat(F.coalesce("secret", F.lit("")), "rest"), F.lit(CONTEXT)).alias("tail"), (F.length("rest") + F.coalesce(F.length("secret"), F.lit(0))).cast("long").alias("size"))
     # Repeated rows would interleave; they are the same findings, so one of each position is kept and counted.
     pieces = pieces.groupBy("id", "row", "pos").agg(F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in ("path", "secret", "after", "tail", "size")])
     order = Window.partitionBy("id", "row").orderBy("pos")
@@ -79,8 +83,8 @@ def features(found: DataFrame) -> DataFrame:
         _share(F.coalesce(longest, F.lit(0)), n).alias("longest_run"),
         _share(n - F.length(F.regexp_replace(folded, "(" + "|".join(WORDS) + ")", "")), n).alias("coverage"),
         flag(F.rlike("path", F.lit(TEST_PATH))).alias("test_path"),
-        flag(F.rlike("before", F.lit(rf"(?i)\b({KEYWORDS})\b\W{{0,5}}$"))).alias("keyword_before"),
-        flag(F.rlike("before", F.lit(r"[=:]\s*[\"']?$"))).alias("assigned"),
+        flag(F.rlike("before", F.lit(rf"(?i)({KEYWORDS})\b\W{{0,20}}$"))).alias("keyword_before"),
+        flag(F.rlike("before", F.lit(r"[=:]>?\s*[\"']?$"))).alias("assigned"),
         flag(F.rlike("before", F.lit(r"[\"']$")) & F.rlike("after", F.lit(r"^[\"']"))).alias("quoted"),
         flag(F.rlike(F.right("before", F.lit(24)), F.lit(NOT_SECRET))).alias("harmless_near"),
         flag(F.rlike(s, F.lit(r"^(AKIA|ASIA|gh[pousr]_|eyJ|xox[abp]-|sk[_-]|-----BEGIN)"))).alias("known_prefix"),
@@ -98,6 +102,7 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
     pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (draw(k) % len(values) + 1).cast("int"))
     random_hex = F.sha2(F.concat_ws("-", F.lit(seed), F.col("id")), 256)
     random_64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws("+", F.lit(seed), F.col("id")), 512))), "[+/=\\s]", "")
+    random_letters = F.translate(random_64, _DIGIT, "qZkVxWjYhP")
     name = pick(1, ["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "TOKEN", "API_KEY", "passwd"])
     assign = pick(2, [' = "', '="', ": '", ' = ', "=", ': "'])
     word = lambda k: pick(k, WORDS)
@@ -108,7 +113,9 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
         (F.upper(F.left(random_hex, F.lit(40))), F.concat(F.upper(prose), F.lit(" "), F.upper(name), assign)),
         (F.left(random_64, 20 + draw(3) % 44), F.concat(prose, F.lit(" "), name, assign)),
         (F.concat(F.lit("AKIA"), F.upper(F.left(random_hex, F.lit(16)))), F.concat(prose, F.lit(" "))),
-        (F.concat(F.lit("ghp_"), F.left(random_64, F.lit(36))), F.concat(prose, F.lit(" "))),
+        (F.concat(F.lit("ghp_"), F.left(random_64, F.lit(36))), F.concat(prose, F.lit(" "), pick(23, ["", "GH=", "export KEY="]))),
+        (F.left(random_letters, 16 + draw(3) % 40), F.concat(prose, F.lit(" "), name, assign)),
+        (F.left(random_64, 8 + draw(3) % 12), F.concat(prose, F.lit(" "), pick(22, ["", "DB_", "APP_"]), name, assign)),
     ]
     bad = [
         (F.left(random_hex, F.lit(40)), F.concat(prose, F.lit(" "), pick(4, ["commit ", "sha1: ", "revision ", "checksum = ", "etag: ", "build "]))),
@@ -118,6 +125,10 @@ def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) ->
         (F.repeat(pick(10, ["x", "0", "1", "ab", "12"]), (12 + draw(11) % 10).cast("int")), F.concat(prose, F.lit(" "), name, assign)),
         (F.concat(draw(12).cast("string"), F.lpad(draw(13).cast("string"), 10, "0")), F.concat(prose, F.lit(" "))),
         (F.concat(word(14), word(15), word(16), word(17), (draw(18) % 10).cast("string")), F.concat(prose, F.lit(" "))),
+        (F.concat(word(14), pick(24, ["", "-", "/", "_"]), word(15), pick(24, ["", "-", "/", "_"]), word(16), word(17)), F.concat(prose, F.lit(" "))),
+        (F.upper(F.concat(word(14), F.lit("_"), word(15), F.lit("_"), word(16), F.lit("_"), pick(25, ["token", "secret", "access_key"]))), F.concat(prose, F.lit(" "))),
+        (F.concat(word(14), word(15)), F.concat(prose, F.lit(" "), name, pick(26, [": ", "=", " = "]))),
+        (F.repeat(pick(27, ["-", "_", "/", "+"]), (16 + draw(11) % 60).cast("int")), prose),
     ]
     half = lambda options, at: F.element_at(F.array(*[F.struct(a.cast("string").alias("secret"), b.alias("before")) for a, b in options]), (draw(19) % len(options) + 1).cast("int"))[at]
     label = (F.col("id") % 2).cast("double")

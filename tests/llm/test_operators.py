@@ -24,7 +24,7 @@ from tessera.llm.lm_scoring import held_out, lm_scores  # noqa: E402
 from tessera.llm.ngram_join import least_matches, ngram_join  # noqa: E402
 from tessera.llm.packing import best_two_fit, pack  # noqa: E402
 from tessera.llm.quality_rules import binomial_cdf, calibrate, quality_features, quality_rules  # noqa: E402
-from tessera.llm.secret_scan import FEATURES, features, labelled_findings, secret_scan, train  # noqa: E402
+from tessera.llm.secret_scan import FEATURES, candidates, features, labelled_findings, secret_scan, train  # noqa: E402
 from tessera.llm.substring_dedup import common_parts, substring_dedup  # noqa: E402
 from tessera.llm.suffix_array import permuted_lcp, repeated_starts, suffix_array  # noqa: E402
 from tessera.llm.token_files import Coder, FileWriter, frequencies, read_index, read_token_files, write_token_files  # noqa: E402
@@ -513,3 +513,29 @@ def test_secret_scan(spark):
     assert [x[:3] for x in own] == [(11, 40, key), (64, 40, key)] and own[0][3] and not own[1][3] and own[0][4] == 2
     assert not any(r.is_secret for r in got if r.doc_id in (21, 22)) and any(r.doc_id == 22 for r in got)
     assert secret_scan(frame(spark, []), model).count() == 0
+
+
+def test_secret_candidates_unquoted(spark):
+    hex40, letters = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", "kQzVbXwTjRhPmNcLdSgF"
+    aws = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzzzzzzzKEY"
+    cases = {
+        f"token={hex40}": hex40,
+        "GH=ghp_abcdefghijklmnopqrstuvwxyz0123456789": "ghp_abcdefghijklmnopqrstuvwxyz0123456789",
+        f"https://host/x?token={hex40}&y=1": hex40,
+        f"AWS_SECRET_ACCESS_KEY={aws}\nNEXT=1": aws,
+        f"see {letters} there": letters,
+        "x" * 300 + "7": "x" * 300 + "7",
+        "password: hunter2!": "hunter2!",
+        'DB_PASSWORD=ab&cdefghijk\n': "ab&cdefghijk",
+        '{"password": "s3cr3t!pass"}': "s3cr3t!pass",
+        "api_key => abcdefgh": "abcdefgh",
+        "padded c2VjcmV0c2VjcmV0c2VjcmV0cw== end": "c2VjcmV0c2VjcmV0c2VjcmV0cw==",
+    }
+    texts = list(cases)
+    found = candidates(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        assert (t.index(cases[t]), cases[t]) in {(r.start, r.secret) for r in found if r.id == i}, t
+    assert next(r.before for r in found if r.secret == aws) == "AWS_SECRET_ACCESS_KEY="
+    model = train(labelled_findings(spark))
+    got = {(r.doc_id, r.secret): r.is_secret for r in secret_scan(frame(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), model).collect()}
+    assert all(got[i, cases[texts[i]]] for i in range(4)) and not got[3, "AWS_SECRET_ACCESS_KEY"]
