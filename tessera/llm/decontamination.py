@@ -1,11 +1,12 @@
-"""Benchmark decontamination: item-sized windows within a few word edits of an item.
+"""Benchmark decontamination: passages within a few word edits of an item.
 
 Windows and items are embedded by CGK random walks, which turn edit distance
 into Hamming distance; repeated sampling of the embeddings' coordinates gives
 LSH keys, with as many repeats as a seeded simulation needs for the target
-recall at the largest allowed distance; candidate pairs are verified by exact
-edit distance. Windows that cannot be within reach of any item by the q-gram
-lemma (too few word q-grams of any item) are never embedded; that loses nothing.
+recall; candidate pairs are verified by exact semi-global edit distance, as a
+passage with k inserted or deleted words is up to 2k from any window of the item's
+length. Windows near no passage within reach of any item by the q-gram lemma
+(too few word q-grams of any item) are never embedded; that loses nothing.
 """
 
 from __future__ import annotations
@@ -36,18 +37,37 @@ def _hash(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact edit distances of paired rows of two matrices of words."""
+def _last_row(a: np.ndarray, b: np.ndarray, free: bool) -> np.ndarray:
+    """Edit distances of paired rows: the whole of a's and each prefix of b's, or each prefix's nearest end where ``free``."""
     m, n = a.shape[1], b.shape[1]
-    row = np.broadcast_to(np.arange(n + 1, dtype=np.int32), (len(a), n + 1)).copy()
+    steps = np.arange(n + 1, dtype=np.int32)
+    row = np.broadcast_to(np.int32(0) if free else steps, (len(a), n + 1)).copy()
     for i in range(m):
         change = row[:, :-1] + (a[:, i : i + 1] != b)
         best = np.minimum(change, row[:, 1:] + 1)
         # Insertions run along the row: d[j] = min over k <= j of best[k] + j - k.
         full = np.concatenate([np.full((len(a), 1), i + 1, np.int32), best], axis=1)
-        steps = np.arange(n + 1, dtype=np.int32)
         row = np.minimum.accumulate(full - steps, axis=1) + steps
-    return row[:, n]
+    return row
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact edit distances of paired rows of two matrices of words."""
+    return _last_row(a, b, False)[:, -1]
+
+
+def nearest_passage(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, start and words of the passage of b's row (of ``sizes`` words, then padding) nearest to a's: the first, and of those the longest."""
+    n, width, every = a.shape[1], b.shape[1], np.arange(len(a))
+    # Read backwards, the cell at each end is the least distance of the passages that start there.
+    starts = _last_row(a[:, ::-1], b[:, ::-1], True)[:, ::-1]
+    start = np.argmin(starts, axis=1)
+    distance = starts[every, start]
+    columns = start[:, None] + np.arange(2 * n)
+    tail = np.where(columns < width, b[every[:, None], np.minimum(columns, width - 1)], 0)
+    ends = _last_row(a, tail, False)
+    fits = (ends == distance[:, None]) & (np.arange(2 * n + 1) <= (sizes - start)[:, None])
+    return distance, start, 2 * n - np.argmax(fits[:, ::-1], axis=1)
 
 
 class Index:
@@ -87,7 +107,7 @@ class Index:
         return next((q for q in (3, 2) if self.least(n, q) >= 1), 1)
 
     def least(self, n: int, q: int) -> int:
-        """Word q-grams of an item that a window within reach must hold."""
+        """Word q-grams of an item that a passage within reach must hold."""
         return n - q + 1 - q * self.reach(n)
 
     @staticmethod
@@ -136,35 +156,40 @@ class Index:
         """Walks until simulated pairs at the full distance meet in some key with probability ``recall``."""
         if not self.by_length:
             return 0
-        rng = np.random.default_rng(self.seed)
         lengths = np.array(list(self.by_length))
-        n = int(lengths[np.argmin(np.abs(lengths - np.median([len(r) for r in self.rows])))])
-        own = self.by_length[n]
+        middle = int(lengths[np.argmin(np.abs(lengths - np.median([len(r) for r in self.rows])))])
+        # Short and long items bear other shares of edits than the middle ones.
+        least = min((n for n in self.by_length if self.reach(n)), default=middle)
+        return max(self._walks_at(n, recall, trials) for n in {least, middle, max(self.by_length)})
+
+    def _walks_at(self, n: int, recall: float, trials: int) -> int:
+        """The same for items of n words."""
+        own, k = self.by_length[n], self.reach(n)
+        rng = np.random.default_rng(self.seed)
         a = np.stack([self.rows[i] for i in own])[rng.integers(len(own), size=trials)]
-        b = a.copy()
-        for row in b:
-            for _ in range(self.reach(n)):
-                at = int(rng.integers(n))
-                kind = int(rng.integers(3))
-                if kind == 0:
-                    row[at] = 0
-                elif kind == 1:
-                    row[at + 1 :] = row[at:-1].copy()
-                    row[at] = 0
-                else:
-                    row[at:-1] = row[at + 1 :].copy()
-                    row[-1] = 0
-        met = np.zeros(trials, bool)
+        # Every kind of edit must reach the recall: words replaced, inserted, deleted, and all of them mixed.
+        b = []
+        for kind in range(4):
+            for row in a:
+                passage = list(row)
+                for _ in range(k):
+                    at, change = int(rng.integers(max(1, len(passage)))), int(rng.integers(3)) if kind == 3 else kind
+                    passage[at : at + (change != 1)] = [] if change == 2 else [0]
+                # Of the windows that the search embeds, those that begin up to k words before or after the passage.
+                around = np.zeros(n + 4 * k + len(passage), np.int64)
+                around[k : k + len(passage)] = passage
+                b += [around[s : s + n] for s in range(2 * k + 1)]
+        known, seen, met = self._padded(list(a)), self._padded(b), np.zeros((4, trials), bool)
         for walk in range(MAX_WALKS):
             one = range(walk, walk + 1)
-            for x, y in zip(self.keys(*self._padded(list(a)), one), self.keys(*self._padded(list(b)), one)):
-                met |= x == y
-            if met.mean() >= recall:
+            for x, y in zip(self.keys(*known, one), self.keys(*seen, one)):
+                met |= (y.reshape(4, trials, 2 * k + 1) == x[:, None]).any(axis=2)
+            if met.mean(axis=1).min() >= recall:
                 return walk + 1
         return MAX_WALKS
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, distance, first word, words) of the best window of every row and item within reach."""
+        """(row, item, distance, first word, words) of the best passage of every row and item within reach."""
         windows: list[tuple[int, int, int]] = []
         get, streams = self.vocabulary.get, []
         for i, text in enumerate(texts):
@@ -196,25 +221,23 @@ class Index:
         return [(i, j, *best[i, j]) for i, j in sorted(best)]
 
     def _starts(self, at: np.ndarray, n: int, q: int, size: int) -> list[int]:
-        """The windows of n words that hold enough of the q-grams at ``at``; of a shorter text, the whole."""
-        least, span = max(1, self.least(n, q)), n - q + 1
-        if len(at) < least:
+        """The windows of n words where passages of up to n + reach words with enough of the q-grams at ``at`` may begin, and up to the reach before and after; unknown words surround the text."""
+        least, span = max(1, self.least(n, q)), n + self.reach(n) - q + 1
+        if len(at) < least or size < n - self.reach(n):
             return []
-        if size <= n:
-            return [0] if size >= n - self.reach(n) else []
         close = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < span)
         starts: set[int] = set()
         for k in close:
-            starts.update(range(max(0, int(at[k + least - 1]) - span + 1), min(int(at[k]), size - n) + 1))
+            starts.update(range(max(0, int(at[k + least - 1]) - span + 1) - self.reach(n), int(at[k]) + self.reach(n) + 1))
         return sorted(starts)
 
     def _verify(self, windows: list[tuple[int, int, int]], streams: list, best: dict) -> None:
-        """Candidates among windows by LSH, and their exact distances."""
+        """Candidates among windows by LSH, and the exact distances of the passages around them."""
         rows = []
         for i, s, n in windows:
-            own = streams[i][s : s + n]
-            # Where the text is shorter, each missing word is an edit, as is an unknown one.
-            rows.append(own if len(own) == n else np.concatenate([own, np.zeros(n - len(own), np.int64)]))
+            own = streams[i][max(0, s) : s + n]
+            # Unknown words stand where a window begins before the text or ends after it.
+            rows.append(own if len(own) == n else np.concatenate([np.zeros(max(0, -s), np.int64), own, np.zeros(n - max(0, -s) - len(own), np.int64)]))
         padded, lengths = self._padded(rows)
         pairs = []
         for (keys, items), own in zip(self.tables, self.keys(padded, lengths)):
@@ -228,12 +251,27 @@ class Index:
         same = n_of == lengths[w]
         w, j, n_of = w[same], j[same], n_of[same]
         for n in np.unique(n_of):
-            own = np.flatnonzero(n_of == n)
-            distance = edit_distance(np.stack([self.rows[k] for k in j[own]]), padded[w[own], :n])
-            for k in np.flatnonzero(distance <= self.reach(int(n))):
-                i, start, _ = windows[w[own[k]]]
-                key, value = (i, int(j[own[k]])), (int(distance[k]), start, int(n))
-                if key not in best or value < best[key]:
+            self._nearest([(*windows[x][:2], int(y)) for x, y in zip(w[n_of == n], j[n_of == n])], int(n), streams, best)
+
+    def _nearest(self, found: list[tuple[int, int, int]], n: int, streams: list, best: dict) -> None:
+        """The best passages around candidates (row, window's start, item of n words), neighbouring windows of one item together."""
+        k, groups = self.reach(n), []
+        for i, j, s in sorted((i, j, s) for i, s, j in found):
+            if not groups or groups[-1][:2] != (i, j) or s > groups[-1][2] + n:
+                groups.append((i, j, s))
+        # A group's last window begins n words after its first; passages lie up to twice the reach beyond on either side.
+        width = 2 * n + 4 * k
+        for at in range(0, len(groups), 4096):
+            part = groups[at : at + 4096]
+            text, sizes = np.zeros((len(part), width), np.int64), np.empty(len(part), np.int64)
+            for r, (i, _, s) in enumerate(part):
+                own = streams[i][max(0, s - 2 * k) : s + 2 * n + 2 * k]
+                text[r, : len(own)], sizes[r] = own, len(own)
+            distance, start, words = nearest_passage(np.stack([self.rows[j] for _, j, _ in part]), text, sizes)
+            for r in np.flatnonzero(distance <= k):
+                i, j, s = part[r]
+                key, value = (i, j), (int(distance[r]), max(0, s - 2 * k) + int(start[r]), int(words[r]))
+                if key not in best or (value[0], value[1], -value[2]) < (best[key][0], best[key][1], -best[key][2]):
                     best[key] = value
 
 
@@ -255,9 +293,9 @@ def _indexes(spark: SparkSession, items: DataFrame, id_col: str, text_col: str,
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.15, recall: float = 0.99, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document row and item found in it: id, item_id, distance, start_word, n_words.
 
-    An item of n words is found where a window of n words (the whole text, if
-    that is shorter) is within ``max_ratio`` * n word edits of it; the nearest
-    and then first window is named. Defined cases: null and empty texts and
+    An item of n words is found where a passage of any length is within
+    ``max_ratio`` * n word edits of it; the nearest, then first and then longest
+    passage is named. Defined cases: null and empty texts and
     items without words match nothing; repeated rows and items are each
     reported; null ids are carried; an empty table on either side gives no rows.
     """

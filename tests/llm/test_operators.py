@@ -17,7 +17,7 @@ from oracle import compare  # noqa: E402
 
 from tessera.llm import queries as Q  # noqa: E402
 from tessera.llm.components import components  # noqa: E402
-from tessera.llm.decontamination import Index, contamination, decontaminate, edit_distance  # noqa: E402
+from tessera.llm.decontamination import Index, contamination, decontaminate, edit_distance, nearest_passage  # noqa: E402
 from tessera.llm.files import shard_bounds, shard_of  # noqa: E402
 from tessera.llm.line_dedup import line_dedup  # noqa: E402
 from tessera.llm.lm_scoring import held_out, lm_scores  # noqa: E402
@@ -463,6 +463,37 @@ def test_exact_passages_are_found():
     assert {(r, i) for r, i, *_ in index.search(["x " + texts[0] + " y", texts[1], "nothing here"])} == {(0, 0), (1, 1)}
 
 
+def test_shifted_passages_are_found():
+    rng = random.Random(3)
+    sizes = [8, 13, 20, 40, 60]
+    items = [[f"i{k}w{x}" for x in range(n)] for k, n in enumerate(sizes)]
+    index = Index([(k, " ".join(own)) for k, own in enumerate(items)], 0.15, 0.99)
+    texts, want = [], []
+    for trial in range(200):
+        k = trial % len(sizes)
+        own, edits, kind = list(items[k]), int(0.15 * sizes[k]), trial // len(sizes) % 2
+        at = len(own) // 2 if trial % 3 else rng.randrange(1, len(own) - edits)
+        own[at : at + edits * kind] = [] if kind else [f"new{trial}"] * edits
+        before = rng.choice([0, 1, 50])
+        texts.append(" ".join([f"b{x}" for x in range(before)] + own + ["z"] * rng.choice([0, 1, 50])))
+        want.append((trial, k, edits, before))
+    got = {r[:2]: r[2:] for r in index.search(texts)}
+    assert set(got) <= {x[:2] for x in want} and len(got) >= 0.98 * len(want)
+    assert all(got[i, k][0] <= edits for i, k, edits, _ in want if (i, k) in got)
+
+
+def test_nearest_passage():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, size, width = int(rng.integers(2, 6)), int(rng.integers(1, 12)), 12
+        a, b = rng.integers(1, 4, n), np.zeros(width, np.int64)
+        b[:size] = rng.integers(1, 4, size)
+        d, s, m = (int(x[0]) for x in nearest_passage(a[None], b[None], np.array([size])))
+        one = lambda x, y: int(edit_distance(a[None], b[None, x:y])[0])
+        least = min((one(x, y), x, -(y - x)) for x in range(size + 1) for y in range(x, size + 1))
+        assert d == least[0] and (d == n or (s, m) == (least[1], -least[2]))
+
+
 # ---- language model
 
 
