@@ -159,9 +159,20 @@ def tree(spark: SparkSession, sf_dir: str) -> FrameSource:
     return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "nodes": nodes, "marks": marks})
 
 
+def whole_tree(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """The same with a mark for every part."""
+    source = tree(spark, sf_dir)
+    nodes = source.table("nodes")
+    return FrameSource({"sizes": source.table("sizes"), "nodes": nodes, "marks": nodes.select("size", F.col("part").alias("id"), F.col("path").alias("spot"))})
+
+
+#: Datasets to their (catalog, source).
+_SOURCES = {"shop": ("shop", shop), "tree": ("tree", tree), "whole_tree": ("tree", whole_tree)}
+
+
 def _run(spark: SparkSession, sf_dir: str, dataset: str, budget: int | None = None, **request) -> Execution:
-    source = (shop if dataset == "shop" else tree)(spark, sf_dir)
-    return execute(spark, {"type": dataset, **request}, catalogs()[dataset], source, budget)
+    catalog, source = _SOURCES[dataset]
+    return execute(spark, {"type": catalog, **request}, catalogs()[catalog], source(spark, sf_dir), budget)
 
 
 def _rows(e: Execution, table: str, *columns: str) -> DataFrame:
@@ -239,6 +250,24 @@ _nodes("relation_cross_children", "marks", "id", _FROM.format("starts_with(t.spo
 _nodes("relation_cross_parents", "marks", "id", "EXISTS (SELECT 1 FROM nodes s WHERE s.part BETWEEN 100 AND 1000 AND s.size = t.size AND starts_with(s.path, t.spot))", nodes=[{"part": list(range(100, 1001)), "roots": True}])
 _nodes("relation_list_key", "marks", "id", _FROM.format("s.path = t.spot"), nodes=[{"part": _SMALL, "exact": True}])
 
+# The same relations over whole tables: sources of half the brands, whatever their ids, and a mark for every part.
+_BRANDS = [f"Brand#{k}" for k in range(1, 26, 2)]
+_WHOLE_SQL = "nodes AS (SELECT p_size AS size, p_partkey AS part, CAST(p_partkey AS VARCHAR) AS path, p_brand AS brand FROM part), marks AS (SELECT size, part AS id, path AS spot FROM nodes)"
+_BRAND = f"brand IN ({', '.join(map(repr, _BRANDS))})"
+
+
+def _whole_nodes(name: str, table: str, column: str, where: str, **relation) -> None:
+    sql = f"WITH {_WHOLE_SQL} SELECT size, {column} FROM {table} t WHERE {where}"
+    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "whole_tree", nodes=[{"brand": _BRANDS, **relation}]), table, "size", column), sql)
+
+
+_WHOLE = f"EXISTS (SELECT 1 FROM nodes s WHERE s.{_BRAND} AND s.size = t.size AND {{}})"
+_whole_nodes("relation_children_whole", "nodes", "part", f"{_BRAND} OR " + _WHOLE.format("starts_with(t.path, s.path) AND length(t.path) > length(s.path)"), below=True)
+_whole_nodes("relation_parents_whole", "nodes", "part", f"{_BRAND} OR " + _WHOLE.format("starts_with(s.path, t.path) AND length(s.path) > length(t.path)"), above=True)
+_whole_nodes("relation_cross_children_whole", "marks", "id", _WHOLE.format("starts_with(t.spot, s.path)"), marks=True)
+_whole_nodes("relation_cross_parents_whole", "marks", "id", _WHOLE.format("starts_with(s.path, t.spot)"), roots=True)
+_whole_nodes("relation_list_key_whole", "marks", "id", _WHOLE.format("s.path = t.spot"), exact=True)
+
 _HEAVY = {"fields": {"line": {"paid": True, "status": True}, "order": {"oOrderpriority": True}}, "lines": [{"flag": ["r"]}]}
 _WEIGHTS = f"""WITH {LINES_SQL}, w AS (
   SELECT o_orderkey AS block, 32 + 16 AS weight FROM orders
@@ -291,6 +320,18 @@ _REGISTRY["boundary_blocks"] = (
 _REGISTRY["include_all_blocks"] = (_all_blocks, "SELECT o_orderkey AS block FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
 
 
+def _whole_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", lines=[{"lLinenumber": [7], "big": True}]).weights().select("block")
+
+
+def _whole_all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir, "shop", includeAllBlocks=True, lines=[{"lLinenumber": [7]}]).weights().select("block")
+
+
+_REGISTRY["boundary_blocks_whole"] = (_whole_boundary, f"WITH {LINES_SQL} SELECT l_orderkey AS block FROM li WHERE l_linenumber = 7 AND big UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders")
+_REGISTRY["include_all_blocks_whole"] = (_whole_all_blocks, "SELECT o_orderkey AS block FROM orders")
+
+
 def _lines_of(name: str, sql: str, budget: int | None = None, **request) -> None:
     _REGISTRY[name] = (lambda s, d: _run(s, d, "shop", budget, **request).lines(), sql)
 
