@@ -51,31 +51,37 @@ def read_stream(uri: str):
     return files.open_input_stream(path, compression=None, buffer_size=1 << 20)
 
 
-#: Bins of one pass over the keys; what the driver gathers is that many rows at most, whatever the input.
-BINS = 2048
+#: Key bits that one pass looks at: a heavy range is divided into so many powers of two.
+BITS = 11
 
 
 def shard_bounds(df: DataFrame, key: Column, weight: Column, target: int) -> list[int]:
     """The largest key of every shard but the last, so that shards hold about ``target`` weight each.
 
-    Deterministic for the data: weights are summed in equal key ranges, and
-    ranges that are too heavy are divided again. Rows with one key stay together.
+    Deterministic for the data: weights are summed by the keys' leading bits,
+    and all ranges that are too heavy are divided by their next bits in one
+    more pass, so any 64-bit keys take at most six passes however many there
+    are. Rows with one key stay together. The driver gets at most 2048 rows for
+    each range heavier than a shard, and keeps one bound per shard.
     """
-    keyed = df.select(key.cast("long").alias("k"), weight.cast("long").alias("w"))
+    spark = df.sparkSession
+    keyed = df.select(key.cast("long").alias("k"), weight.cast("long").alias("w")).filter("k IS NOT NULL")
     low, high, total = keyed.agg(F.min("k"), F.max("k"), F.sum("w")).first()
     if low is None or not total or total <= target:
         return []
+    shift = max(0, ((low ^ high) & ((1 << 64) - 1)).bit_length() - BITS)
     done: list[tuple[int, int]] = []
-    open_ranges = [(low, high)]
-    while open_ranges:
-        lo, hi = open_ranges.pop()
-        width = (hi - lo) // BINS + 1
-        rows = keyed.filter(F.col("k").between(lo, hi)).groupBy(F.floor((F.col("k") - lo) / F.lit(width)).cast("long").alias("b") if width > 1 else (F.col("k") - lo).alias("b")).agg(F.sum("w").alias("w"), F.max("k").alias("top"), F.min("k").alias("first")).collect()
-        for r in rows:
-            if r["w"] > target and r["top"] > r["first"] and width > 1:
-                open_ranges.append((r["first"], r["top"]))
-            else:
-                done.append((r["top"], r["w"]))
+    while True:
+        rows = keyed.groupBy(F.shiftright("k", shift).alias("b")).agg(F.sum("w").alias("w"), F.max("k").alias("top"), F.min("k").alias("first")).collect()
+        heavy = [r["b"] for r in rows if r["w"] > target and r["top"] > r["first"]] if shift else []
+        held = set(heavy)
+        done += [(r["top"], r["w"]) for r in rows if r["b"] not in held]
+        if not heavy:
+            break
+        # One row per heavy range, of which there are fewer than shards.
+        some = spark.createDataFrame([(b,) for b in heavy], "b long")
+        keyed = keyed.join(F.broadcast(some), F.shiftright("k", shift) == some["b"], "left_semi")
+        shift = max(0, shift - BITS)
     shards = max(1, math.ceil(total / target))
     bounds, seen = [], 0
     for top, w in sorted(done):

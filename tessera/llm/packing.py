@@ -149,10 +149,14 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     Documents longer than ``capacity`` ids (with the end id) are cut into full
     pieces and a rest; others stay whole. Defined cases: a null or empty text
     is the end id alone. Repeated rows are packed separately, as are rows with
-    equal or null ids. An empty table gives no rows. Other columns are ignored.
+    equal or null ids. Very long texts are cut like any other. An empty table
+    gives no rows. Other columns are ignored.
     """
     import numpy as np
 
+    if capacity < 1:
+        raise ValueError("a sequence must hold at least one id")
+
     spark = df.sparkSession
     pieces = materialise(token_pieces(df, tokenizer, id_col, text_col, capacity, end_id), "pieces")
     counts = pieces.groupBy("__part", "length").agg(F.count(F.lit(1)).alias("__n"))
@@ -170,11 +174,14 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         import pyarrow as pa
 
         plan = shared.value
-        order = (plan[:, 0] << 48) + plan[:, 1]
+        heads = np.searchsorted(plan[:, 0], np.arange(capacity + 2))  # where each length's placements begin
         for batch in batches:
             length = batch.column(batch.schema.get_field_index("length")).to_numpy()
             rank = batch.column(batch.schema.get_field_index("__rank")).to_numpy()
-            at = np.searchsorted(order, (length << 48) + rank, side="right") - 1
+            at = np.empty(len(length), np.int64)
+            for n in np.unique(length):
+                own = length == n
+                at[own] = heads[n] + np.searchsorted(plan[heads[n] : heads[n + 1], 1], rank[own], side="right") - 1
             row = plan[at]
             columns = [batch.column(i) for i in range(5)] + [pa.array(row[:, 3] + rank - row[:, 1]), pa.array(row[:, 4])]
             yield pa.record_batch(columns, names=[*batch.schema.names[:5], "sequence_id", "offset"])

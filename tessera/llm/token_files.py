@@ -41,6 +41,8 @@ def frequencies(counts, scale: int = SCALE):
     total = int(counts.sum())
     if not total:
         return np.zeros(len(counts), dtype=np.uint32)
+    if int((counts > 0).sum()) > 1 << scale:
+        raise ValueError(f"more than {1 << scale} different ids occur; raise the scale")
     freq = np.where(counts > 0, np.maximum(1, (counts.astype(np.float64) * ((1 << scale) / total)).astype(np.int64)), 0)
     rest = (1 << scale) - int(freq.sum())
     order = np.argsort(-freq, kind="stable")
@@ -200,7 +202,11 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
     """Encode all texts and write them in ascending id order; the manifest: shard, uri, start, n_tokens, n_docs, bytes.
 
     ``path``: a folder that driver and executors share (default: a new one below
-    spark.checkpoint.dir). Rows with equal ids are ordered by text; null ids come first.
+    spark.checkpoint.dir). Defined cases: a null or empty text is the end id
+    alone; null ids come first; rows with equal ids are ordered by the bytes of
+    their packed ids, and repeated rows are written each. Very long texts run
+    over as many blocks as they need. An empty table gives an empty manifest.
+    Other columns are ignored.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "token-files")
@@ -294,7 +300,11 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
 
 
 def read_token_files(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decode the files of a manifest; one row per document: id, start, n_tokens, ids_crc32."""
+    """Decode the files of a manifest; one row per document: id, start, n_tokens, ids_crc32.
+
+    Null and repeated ids come back as they were written; an empty manifest
+    gives no rows; a damaged file raises ValueError.
+    """
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa

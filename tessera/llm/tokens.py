@@ -42,14 +42,18 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.vocabulary = size
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self._np = np
         self.cache: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.mode = self._mode(json.loads(self.tokenizer.to_str()))
+        spec = json.loads(self.tokenizer.to_str())
+        self.mode = self._mode(spec)
+        # The library cuts added tokens' strings out before it splits; texts that may hold one are encoded whole.
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
+        self.added_head = os.path.commonprefix(added)
         # Tokens at which a word of letters ends (bare) or begins (leading), to take joined words apart.
         edge = str.endswith if self.mode == "bare" else str.startswith
         mark = {"bare": "</w>", "leading": "\u0120"}.get(self.mode)
@@ -69,8 +73,13 @@ class ChunkEncoder:
             return "bare"
         return "whole"
 
+    def _holds_added(self, text: str) -> bool:
+        if self.added is None or (self.added_head.lower() == self.added_head.upper() and self.added_head not in text):
+            return False
+        return self.added.search(text) is not None
+
     def _chunks(self, text: str) -> list[str] | None:
-        if self.mode == "whole":
+        if self.mode == "whole" or self._holds_added(text):
             return None
         flat = text.replace("\n", " ")
         if self.mode == "bare":

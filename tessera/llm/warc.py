@@ -111,7 +111,7 @@ class _Roll:
 MANIFEST = "shard int, number int, name string, bytes long, records long, sha256 string"
 
 
-def write_warc(df: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, shard_bytes: int = 32 << 20, roll_bytes: int = 64 << 20) -> tuple[str, DataFrame]:
+def write_warc(df: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, shard_bytes: int = 64 << 20, roll_bytes: int = 8 << 20) -> tuple[str, DataFrame]:
     """Write one record per row; returns the folder and its manifest.
 
     Of rows with equal payloads of ``min_revisit`` bytes or more, that with the
@@ -119,7 +119,10 @@ def write_warc(df: DataFrame, path: str | None = None, id_col: str = "page_id",
     cases: a null payload is empty, a null url is ``urn:null``; a null id is
     written as such, sorts first and revisits like any other; rows that repeat
     the largest id of their payload are all responses, told apart by an
-    ordinal in their record id. An empty table gives an empty manifest.
+    ordinal in their record id. Very long payloads are one record each. An
+    empty table gives an empty manifest. Other columns are ignored.
+    ``shard_bytes`` counts payloads, ``roll_bytes`` compressed members, so a
+    shard is a few files.
     """
     spark = df.sparkSession
     path = path or fresh_path(spark, "warc")
@@ -205,7 +208,9 @@ def read_warc(path: str, manifest: DataFrame, id_col: str = "page_id") -> DataFr
     """Read the manifest's files; one row per record.
 
     Columns: id, url, payload_bytes, payload_digest (hex SHA-1), record_type,
-    refers_to, payload (null for revisits). Block and payload digests are checked.
+    refers_to, payload (null for revisits). Block and payload digests are
+    checked; a damaged or cut file raises ValueError. Null ids and urls come
+    back as null and ``urn:null``; an empty manifest gives no rows.
     """
 
     def read(batches: Iterator) -> Iterator:

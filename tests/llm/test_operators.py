@@ -316,6 +316,20 @@ def test_shards(spark):
     assert max(Counter(r.s for r in rows).values()) <= 200
 
 
+def test_shards_of_wide_keys(spark):
+    rng = random.Random(4)
+    keys = [-(1 << 63), (1 << 63) - 1, *(rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)), *range(7, 3007)]
+    df = spark.createDataFrame([(k, 10) for k in keys], "k long, w long").coalesce(4)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("wide-keys", "shard bounds")
+    bounds = shard_bounds(df, F.col("k"), F.col("w"), 1000)
+    ran = len(jobs.getJobIdsForGroup("wide-keys"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert bounds == sorted(set(bounds)) and 55 <= len(bounds) <= 60 and ran <= 40  # seven queries at most, each of a few jobs
+    shards = Counter(r.s for r in df.select(shard_of(F.col("k"), bounds).alias("s")).collect())
+    assert max(shards.values()) <= 250
+
+
 # ---- tokens
 
 
@@ -324,7 +338,9 @@ TRICKY = ["", "  a  b\n\nc \n", "x y  z", "a\x1cb ́ c", "don't we'll  'S", "
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunks_equal_whole_texts(spark, name):
-    e = ChunkEncoder(Q.tokenizer_path(name))
+    from tokenizers import Tokenizer
+
+    e, library = ChunkEncoder(Q.tokenizer_path(name)), Tokenizer.from_file(Q.tokenizer_path(name))
     texts = TRICKY + [r.text for r in documents(spark, 60).collect()]
     rng = random.Random(1)
     texts += ["".join(rng.choice(" \n.,ab'é!1 Z") for _ in range(rng.randrange(60))) for _ in range(400)]
@@ -332,13 +348,35 @@ def test_chunks_equal_whole_texts(spark, name):
         assert e.ids(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def whole_encoder(name):
+    """The library's own ids of whole texts, with a tokenizer that the operators have not touched."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.tokenizer_path(name))
+    return lambda text: np.array(library.encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_packing_wide(spark):
+    """Sequences longer than 2**15, whose lengths once overflowed a packed key."""
+    df = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([40_000, 39_000, 30_000, 900, 10, 10, 90_000])], "doc_id long, text string")
+    got = pack(df, Q.tokenizer_path("word_bpe_49k.json"), capacity=70_000).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)])]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 70_000
+    with pytest.raises(ValueError):
+        pack(df, Q.tokenizer_path("word_bpe_49k.json"), capacity=0)
+
+
 def test_packing(spark):
     df = frame(spark, ODD)
     got = pack(df, Q.tokenizer_path("word_bpe_49k.json"), capacity=64).collect()
-    e = ChunkEncoder(Q.tokenizer_path("word_bpe_49k.json"))
+    library = whole_encoder("word_bpe_49k.json")
     want = Counter()
     for d, t, *_ in ODD:
-        ids = np.append(e.ids(t).astype("<u4"), np.uint32(1))
+        ids = np.append(library(t), np.uint32(1))
         for k, at in enumerate(range(0, len(ids), 64)):
             want[d, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].astype("<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
@@ -377,9 +415,9 @@ def test_token_files(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("shard", F.lit("x"))
     manifest = write_token_files(df, path, f"file://{tmp_path}/t", shard_bytes=600)
     got = sorted(map(tuple, read_token_files(manifest).collect()), key=lambda r: r[1])
-    e, want, at = ChunkEncoder(path), [], 0
-    for d, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], np.append(e.ids(r[1]), np.uint16(0)).astype("<u2").tobytes())):
-        ids = np.append(e.ids(t).astype("<u4"), np.uint32(0))
+    library, want, at = whole_encoder("byte_bpe_50k.json"), [], 0
+    for d, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], np.append(library(r[1]), np.uint32(0)).astype("<u2").tobytes())):
+        ids = np.append(library(t), np.uint32(0))
         want.append((d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
         at += len(ids)
     assert got == want and manifest.count() > 1
