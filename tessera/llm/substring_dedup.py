@@ -1,18 +1,19 @@
 """Suffix-array dedup: bytes covered by long strings that occur elsewhere go.
 
-Every window of ``length`` bytes has an anchor, the leftmost least k-gram digest
-in it, so equal windows have equal anchors at equal offsets. Consecutive
-windows with one anchor form a run. Runs whose anchor is unique in the corpus
-hold no repeat; runs that occur twice whole are repeats throughout. What is
-left, the different runs of one anchor, is compared with one of them, the
-anchor's reference, by the nearest differing bytes on either side of the
-anchor. Windows without any are settled. Windows that reach a difference on one
-side only are equal where what they hold from it on is: their one-sided strings
-are sorted and neighbours' common prefixes compared. Windows that reach one on
-both sides go to shards that are sorted as suffix arrays by induced sorting,
-where permuted common prefixes tell the repeated ones. All three kinds are
-dealt by place and value of the difference, so that even an anchor of very many
-near copies falls into small parts.
+Suffix arrays of shards decide which strings repeat; the rest of the work deals
+the text to shards so that equal strings meet in one. Every window of
+``length`` bytes has an anchor, the leftmost least k-gram digest in it, so equal
+windows have equal anchors at equal offsets. Consecutive windows with one
+anchor form a run, and the anchor is the run's key: runs with one key go to one
+shard. A run alone under its key holds no repeat and is left out. Of runs with
+equal bytes a shard gets one, twice if there are several, and what the array
+says of it holds for all of them. A key with more text than a shard holds is
+divided: windows are split by the anchor's offset in them, and those of one half
+share more bytes around the anchor, which are digested into the new key. This
+goes on until every key fits; at the end a key would be one window.
+
+A shard is sorted as one suffix array by induced sorting, and permuted common
+prefixes of ``length`` bytes or more tell the repeated windows.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ GRAM = 32
 #: Windows digested at a time, which bounds memory for very long texts; the anchor's place takes the low 20 bits.
 SEGMENT = 1 << 19
 _PLACE = np.uint64(20)
-#: Bytes of one suffix array; keys are never divided.
-SHARD = 1 << 19
+#: Bytes of one suffix array. A key with more is divided.
+SHARD = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -62,65 +63,6 @@ def runs(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         yield (own >> _PLACE).astype(np.int64), (own & np.uint64((1 << 20) - 1)).astype(np.int64) + at, first + at, count
 
 
-def compare_runs(own: bytes, anchor: int, ref: bytes, ref_anchor: int, length: int) -> tuple[tuple[int, int] | None, list[tuple]]:
-    """A run against its anchor's reference.
-
-    First the windows [from, to) that equal the reference's. Then parts (kind,
-    places and values that equal windows share, first window, last window,
-    bytes): of kind L the bytes up to the nearest difference on the left,
-    reversed; of kind R those from the nearest on the right; of kind B the
-    whole windows.
-    """
-    n, last = len(own), len(own) - length
-    shift = ref_anchor - anchor
-    differ = np.ones(n, bool)
-    low, high = max(0, -shift), min(n, len(ref) - shift)
-    if high > low:
-        differ[low:high] = np.frombuffer(own, np.uint8)[low:high] != np.frombuffer(ref, np.uint8)[low + shift : high + shift]
-    if differ[anchor : anchor + GRAM].any():  # two grams with one digest
-        return None, [("B", b"%b" % own[anchor : anchor + GRAM], 0, last, own)]
-    at = np.flatnonzero(differ)
-    k = int(np.searchsorted(at, anchor))
-    left = int(at[k - 1]) if k else -1
-    right = int(at[k]) if k < len(at) else n
-    clean = right - length  # the last window that reaches no difference on the right
-    equal = (left + 1, min(clean, last) + 1) if left + 1 <= min(clean, last) else None
-    parts = []
-    if (to := min(left, clean, last)) >= 0:
-        parts.append(("L", b"%d %d" % (left - anchor, own[left]), 0, to, own[left::-1]))
-    if (start := max(left + 1, clean + 1, 0)) <= last:
-        parts.append(("R", b"%d %d" % (right - anchor, own[right]), start, last, own[right:]))
-    if (start := max(0, clean + 1)) <= (to := min(left, last)):
-        parts.append(("B", b"%d %d %d %d" % (left - anchor, own[left], right - anchor, own[right]), start, to, own[start : to + length]))
-    return equal, parts
-
-
-def common_parts(strings: list[bytes], least: list[int]) -> list[list[tuple[int, int]]]:
-    """For each string the lengths [from, to] of its prefixes, from its least on, that another string has too, from that one's least on."""
-    order = sorted(range(len(strings)), key=strings.__getitem__)
-    out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    steps = sorted(set(least))
-    for at, stop in zip(steps, [*steps[1:], 1 << 62]):
-        own = [i for i in order if least[i] <= at]
-        shared = [0]
-        for i, j in zip(own, own[1:]):
-            a, b = strings[i], strings[j]
-            n = min(len(a), len(b))
-            if a[:n] != b[:n]:
-                lo = 0
-                while n - lo > 1:  # the first difference, by halves
-                    mid = (lo + n) // 2
-                    lo, n = (mid, n) if a[lo:mid] == b[lo:mid] else (lo, mid)
-                n = lo
-            shared.append(n)
-        shared.append(0)
-        for k, i in enumerate(own):
-            top = min(max(shared[k], shared[k + 1]), stop - 1)
-            if top >= at:
-                out[i].append((at, top))
-    return out
-
-
 def _packed(first, windows, place):
     """A run's first window, its number of windows and its anchor's offset in one integer."""
     return (first << 24) | (windows << 12) | (place - first)
@@ -130,16 +72,31 @@ def _first(at):
     return F.shiftright(at, 24)
 
 
-def _windows(at):
-    return F.shiftright(at, 12).bitwiseAND(F.lit(4095))
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def divided(data: bytes, place: int, low: int, high: int, length: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """A piece's windows in two halves by the anchor's offset in them.
+
+    ``data`` holds the windows whose anchor, at ``place`` in it, has the offsets
+    low to high - 1 in them (or some of these). Gives (first window, place, low,
+    high, context's digest, bytes) of each half that has windows; the context is
+    what all windows with those offsets share.
+    """
+    import xxhash
+
+    last, middle, out = len(data) - length, (low + high) // 2, []
+    for lo, hi in ((middle, high), (low, middle)):
+        first, to = max(0, place - hi + 1), min(last, place - lo)
+        if first <= to:
+            context = data[place - lo : place - hi + 1 + length]
+            out.append((first, place - first, lo, hi, xxhash.xxh3_64_intdigest(b"%d %d " % (lo, hi) + context), data[first : to + length]))
+    return out
+
+
 def _zip(batches: Iterator) -> Iterator:
-    """Texts cross the network twice, so they are compressed well once."""
+    """Texts are read three times, so they are compressed well once."""
     import pyarrow as pa
     import zstandard
 
@@ -147,7 +104,7 @@ def _zip(batches: Iterator) -> Iterator:
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([pack.compress(x.as_py()) for x in batch.column(2)], pa.binary())], names=["id", "row", "data"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([pack.compress(x.as_buffer()) for x in batch.column(2)], pa.binary())], names=["row", "id", "data"])
 
 
 def _batch(rows: list[tuple], types: list, names: list[str]):
@@ -156,73 +113,57 @@ def _batch(rows: list[tuple], types: list, names: list[str]):
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
-    """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
-
-    One row per input row: id, n_bytes, n_removed, n_spans, kept (binary: the
-    remaining UTF-8 bytes). Strings are judged on the input, never cross rows,
-    and may overlap. Defined cases: null texts are empty; texts shorter than
-    ``length`` keep all; repeated rows are repeats of each other, so all their
-    windows go; null ids are ids of their own. An empty table gives no rows.
-    """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.select("id", F.hash("text").cast("long").alias("row"), F.encode("text", "UTF-8").alias("data"))
+def _find(length: int):
+    """Runs of the texts: row, anchor, digest, and the run's place packed."""
 
     def find(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
+        import zstandard
 
-        names = ["id", "row", "anchor", "digest", "at"]
+        names, unzip = ["row", "anchor", "digest", "at"], zstandard.ZstdDecompressor()
         for batch in batches:
             held: list[list] = [[] for _ in names]
             size = 0
-            for doc_id, row, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                view = memoryview(data.as_py())
-                for anchor, place, first, count in runs(bytes(view), length):
+            for row, zipped in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = unzip.decompress(zipped.as_buffer())
+                view = memoryview(data)
+                for anchor, place, first, count in runs(data, length):
                     digest = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist())]
-                    n = len(first)
-                    own = (pa.nulls(n, pa.int64()) if doc_id is None else pa.array(np.full(n, doc_id)), np.full(n, row), anchor, np.array(digest, np.uint64).view(np.int64), _packed(first, count, place))
-                    for column, values in zip(held, own):
-                        column.append(values if isinstance(values, pa.Array) else pa.array(values))
-                    size += n
+                    for column, values in zip(held, (np.full(len(first), row), anchor, np.array(digest, np.uint64).view(np.int64), _packed(first, count, place))):
+                        column.append(values)
+                    size += len(first)
                 if size > 50_000:
-                    yield pa.record_batch([pa.concat_arrays(c) for c in held], names=names)
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in held], names=names)
                     held, size = [[] for _ in names], 0
             if size:
-                yield pa.record_batch([pa.concat_arrays(c) for c in held], names=names)
-
-    every = materialise(docs.mapInArrow(find, "id long, row long, anchor long, digest long, at long"), "runs")
-    anchors = materialise(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("n > 1").select("anchor", (F.col("d0") != F.col("d1")).alias("several")), "anchors")
-    shared = materialise(every.join(anchors, "anchor"), "shared-runs")
-    texts = shared.groupBy("anchor", "digest", "several").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at", "id")).alias("one"))
-    texts = materialise(texts.filter("several OR n > 1").select("anchor", "digest", "several", "n", "one.*"), "run-texts")
-    whole = texts.filter("n > 1").select("anchor", "digest")
-    covered = shared.select("id", "row", "anchor", "digest", "at").join(whole, ["anchor", "digest"]).select("id", "row", _first(F.col("at")).alias("a"), (_first(F.col("at")) + _windows(F.col("at")) + (length - 1)).alias("b"))
-    zipped = docs.mapInArrow(_zip, "id long, row long, data binary")
-
-    # One text of each different run of an anchor, cut out of one document that has it.
-    several = texts.filter("several")
-    chosen = materialise(several.groupBy("anchor").agg(F.max(F.struct("n", "digest")).alias("m")).select("anchor", F.col("m.digest").alias("ref")), "references")
-    wanted = several.join(chosen, "anchor").groupBy("id", "row").agg(F.collect_list(F.struct("anchor", "at", (F.col("digest") == F.col("ref")).alias("ref"))).alias("cuts")).select(F.col("id").alias("wid"), F.col("row").alias("wrow"), "cuts")
-    holding = zipped.join(wanted, zipped["id"].eqNullSafe(wanted["wid"]) & (zipped["row"] == wanted["wrow"])).select("id", "row", "data", "cuts")
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in held], names=names)
+
+    return find
+
+
+PIECE = "key long, digest long, copies int, low int, high int, place int, data binary"
+
+
+def _cut(length: int):
+    """The bytes of the wanted runs of each text, as pieces."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
 
-        types = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["id", "row", "anchor", "ref", "first", "place", "data"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        names = ["key", "digest", "copies", "low", "high", "place", "data"]
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
-            for doc_id, row, data, cuts in zip(*(batch.column(i) for i in range(4))):
-                data, doc_id, row = unzip.decompress(data.as_py()), doc_id.as_py(), row.as_py()
+            for zipped, cuts in zip(batch.column(0), batch.column(1)):
+                data = unzip.decompress(zipped.as_buffer())
                 for c in cuts.as_py():
-                    first, windows, place = c["at"] >> 24, c["at"] >> 12 & 4095, c["at"] & 4095
+                    at = c["at"]
+                    first, windows, place = at >> 24, at >> 12 & 4095, at & 4095
                     own = data[first : first + windows + length - 1]
-                    rows.append((doc_id, row, c["anchor"], c["ref"], first, place, own))
+                    rows.append((c["anchor"], c["digest"], c["copies"], 0, length - GRAM + 1, place, own))
                     size += len(own)
                 if size > 4 << 20:
                     yield _batch(rows, types, names)
@@ -230,89 +171,65 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if rows:
                 yield _batch(rows, types, names)
 
-    # A repeated row cuts its runs again, but then its runs occur twice whole and are covered anyway.
-    members = materialise(holding.mapInArrow(cut, "id long, row long, anchor long, ref boolean, first long, place long, data binary"), "members", "zstd")
-    refs = members.filter("ref").select("anchor", *[F.col(c).alias(f"ref_{c}") for c in ("id", "row", "first", "place", "data")])
-    compared = members.filter("NOT ref").join(refs, "anchor").drop("ref")
+    return cut
+
+
+def _divide(length: int):
+    """Pieces of keys that are too large, each in two, with what they were cut from."""
 
-    def compare(batches: Iterator) -> Iterator:
+    def divide(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import xxhash
 
-        types = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.binary()]
-        names = ["id", "row", "a", "b", "kind", "key", "data"]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 8192):
-                rows = []
-                for r in whole.slice(at, 8192).to_pylist():
-                    equal, parts = compare_runs(r["data"], r["place"], r["ref_data"], r["ref_place"], length)
-                    if equal:
-                        a, b = equal
-                        shift = r["ref_first"] + r["ref_place"] - r["place"]
-                        rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b + length - 1, "E", None, None))
-                        rows.append((r["ref_id"], r["ref_row"], a + shift, b + shift + length - 1, "E", None, None))
-                    for kind, where, a, b, data in parts:
-                        key = _signed(xxhash.xxh3_64_intdigest(b"%d %b %b" % (r["anchor"], kind.encode(), where)))
-                        rows.append((r["id"], r["row"], r["first"] + a, r["first"] + b, kind, key, data))
-                yield _batch(rows, types, names)
+        types = [pa.int64()] * 2 + [pa.int32()] + [pa.int64()] * 2 + [pa.int32()] * 4 + [pa.binary()]
+        names = ["old_key", "old_digest", "shift", "key", "digest", "copies", "low", "high", "place", "data"]
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for first, place, low, high, context, data in divided(r["data"], r["place"], r["low"], r["high"], length):
+                    key = _signed(xxhash.xxh3_64_intdigest(b"%d %d" % (r["key"], context)))
+                    digest = _signed(xxhash.xxh3_64_intdigest(b"%d " % place + data))
+                    rows.append((r["key"], r["digest"], first, key, digest, r["copies"], low, high, place, data))
+            yield _batch(rows, types, names)
+
+    return divide
 
-    parted = materialise(compared.mapInArrow(compare, "id long, row long, a long, b long, kind string, key long, data binary"), "compared", "zstd")
-    settled = parted.filter("kind = 'E'").select("id", "row", "a", "b").distinct()
-    # A part alone under its key differs from all others.
-    keys = materialise(parted.filter("key IS NOT NULL").groupBy("key").count().filter("count > 1").select("key"), "keys")
-    rest = parted.join(keys, "key").select("key", "kind", "id", "row", "a", "b", "data")
+
+def _sort(length: int, shard: int):
+    """Suffix arrays of whole keys, up to ``shard`` bytes together: key, digest, first and last repeated window of each repeated stretch."""
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types, names = [pa.int64()] * 4, ["id", "row", "a", "b"]
+        types, names = [pa.int64()] * 4, ["key", "digest", "first", "last"]
 
-        def shard(rows: list) -> list[tuple]:
+        def array(pieces: list[tuple[int, int, int, bytes]]) -> list[tuple]:
             out = []
-            for r, starts in zip(rows, repeated_starts([r["data"] for r in rows], length)):
-                for i in starts:
-                    if out and out[-1][:2] == (r["id"], r["row"]) and out[-1][2] <= r["a"] + i <= out[-1][3] - length + 1:
-                        out[-1] = (*out[-1][:3], r["a"] + i + length)
-                    else:
-                        out.append((r["id"], r["row"], r["a"] + i, r["a"] + i + length))
-            return out
-
-        def sided(rows: list) -> list[tuple]:
-            # Of an L part, the prefix of length i is held by the window that begins at its last byte: by the window at end - i.
-            # Of an R part, the prefix of length i is held by the window that ends with it.
-            out, left = [], rows[0]["kind"] == "L"
-            size = [len(r["data"]) for r in rows]
-            least = [n - (r["b"] - r["a"]) for n, r in zip(size, rows)]
-            for r, n, found in zip(rows, size, common_parts([r["data"] for r in rows], least)):
-                for low, high in found:
-                    a, b = (r["a"] + n - high, r["a"] + n - low) if left else (r["b"] - (n - low), r["b"] - (n - high))
-                    out.append((r["id"], r["row"], a, b + length))
+            starts = repeated_starts([x[3] for x in pieces for _ in range(x[2])], length)
+            at = 0
+            for key, digest, copies, _ in pieces:
+                own = starts[at]
+                at += copies
+                if len(own):
+                    edge = np.flatnonzero(np.diff(own) > 1)
+                    out += [(key, digest, a, b) for a, b in zip(own[np.concatenate([[0], edge + 1])].tolist(), own[np.concatenate([edge, [len(own) - 1]])].tolist())]
             return out
 
-        held, group, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                if group and r["key"] != group[0]["key"]:
-                    if group[0]["kind"] != "B":
-                        yield _batch(sided(group), types, names)
-                    else:
-                        held += group
-                        size += sum(len(x["data"]) for x in group)
-                        if size > SHARD:
-                            yield _batch(shard(held), types, names)
-                            held, size = [], 0
-                    group = []
-                group.append(r)
-        if group and group[0]["kind"] != "B":
-            yield _batch(sided(group), types, names)
-            group = []
-        if held or group:
-            yield _batch(shard(held + group), types, names)
-
-    sorted_out = rest.repartition("key").sortWithinPartitions("key", "row", "a").mapInArrow(sort, "id long, row long, a long, b long")
-    spans = covered.unionByName(settled).unionByName(sorted_out).groupBy("id", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans")).select(F.col("id").alias("sid"), F.col("row").alias("srow"), "spans")
-    joined = zipped.join(spans, zipped["id"].eqNullSafe(spans["sid"]) & (zipped["row"] == spans["srow"]), "left").select("id", "data", "spans")
+            for key, digest, copies, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if held and size > shard and key != held[-1][0]:
+                    yield _batch(array(held), types, names)
+                    held, size = [], 0
+                held.append((key, digest, copies, data.as_py()))
+                size += copies * len(held[-1][3])
+        if held:
+            yield _batch(array(held), types, names)
+
+    return sort
+
 
+def _remove(id_col: str):
     def remove(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import zstandard
@@ -323,7 +240,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 batch = whole.slice(at, 512)
                 rows = []
                 for doc_id, data, spans in zip(*(batch.column(i) for i in range(3))):
-                    data = unzip.decompress(data.as_py())
+                    data = unzip.decompress(data.as_buffer())
                     kept, end, gone, n = [], 0, 0, 0
                     for a, b in sorted((s["a"], s["b"]) for s in spans.as_py() or ()):
                         if a > end or not n:
@@ -338,4 +255,66 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     rows.append((doc_id.as_py(), len(data), gone, n, b"".join(kept)))
                 yield _batch(rows, [pa.int64()] * 4 + [pa.binary()], [id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(remove, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return remove
+
+
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, shard: int = SHARD) -> DataFrame:
+    """Remove every byte covered by a ``length``-byte string that also starts anywhere else.
+
+    One row per input row: id, n_bytes, n_removed, n_spans, kept (binary: the
+    remaining UTF-8 bytes). Strings are judged on the input, never cross rows,
+    and may overlap. Defined cases: null texts are empty; texts shorter than
+    ``length`` keep all; repeated rows are repeats of each other, so all their
+    windows go; rows are told apart by a number of their own, so null and
+    repeated ids do no harm; very long texts are digested by segments. An empty
+    table gives no rows. Other columns are ignored.
+    """
+    if not 2 * GRAM <= length <= 4000:
+        raise ValueError(f"length must lie between {2 * GRAM} and 4000")
+    docs = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    # Written once, so that a row keeps its number.
+    texts = materialise(docs.mapInArrow(_zip, "row long, id long, data binary"), "texts", "uncompressed")
+
+    every = materialise(texts.select("row", "data").mapInArrow(_find(length), "row long, anchor long, digest long, at long"), "runs")
+    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    shared = materialise(every.join(materialise(anchors, "anchors"), "anchor"), "shared-runs")
+    # One text of each different run, and whether there are several.
+    different = shared.groupBy("anchor", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("row", "at")).alias("one"))
+    different = materialise(different.select("anchor", "digest", "copies", "one.row", "one.at"), "different-runs")
+    wanted = different.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at")).alias("cuts"))
+    pieces = materialise(texts.join(wanted, "row").select("data", "cuts").mapInArrow(_cut(length), PIECE), "pieces", "zstd")
+
+    # Keys that are too large are divided by rounds; parts: which stretch of which run a piece is.
+    todo, parts, fitting = pieces, None, []
+    for _ in range((length - GRAM + 1).bit_length() + 1):
+        large = todo.groupBy("key").agg(F.sum(F.col("copies") * F.octet_length("data")).alias("n"), F.max(F.col("high") - F.col("low")).alias("w")).filter((F.col("n") > shard) & (F.col("w") > 1)).select("key")
+        large = materialise(large, "large-keys")
+        if large.isEmpty():
+            fitting.append((todo, parts))
+            break
+        fitting.append((todo.join(large, "key", "left_anti"), parts))
+        halves = materialise(todo.join(large, "key").select(todo.columns).mapInArrow(_divide(length), "old_key long, old_digest long, shift int, " + PIECE), "halves", "zstd")
+        todo = halves.groupBy("key", "digest").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), *[F.first(c).alias(c) for c in ("low", "high", "place", "data")])
+        todo = materialise(todo, "pieces", "zstd")
+        links = halves.select("key", "digest", "old_key", "old_digest", "shift")
+        if parts is None:
+            parts = links.select("key", "digest", F.col("old_key").alias("anchor"), F.col("old_digest").alias("run"), "shift")
+        else:
+            before = parts.select(F.col("key").alias("old_key"), F.col("digest").alias("old_digest"), "anchor", "run", F.col("shift").alias("more"))
+            parts = links.join(before, ["old_key", "old_digest"]).select("key", "digest", "anchor", "run", (F.col("shift") + F.col("more")).alias("shift"))
+        parts = materialise(parts, "parts")
+
+    stretches = None
+    for own, links in fitting:
+        dealt = own.select("key", "digest", "copies", "data").repartition("key").sortWithinPartitions("key", "digest")
+        found = dealt.mapInArrow(_sort(length, shard), "key long, digest long, first long, last long")
+        if links is None:
+            found = found.select(F.col("key").alias("anchor"), F.col("digest"), "first", "last")
+        else:
+            found = materialise(found, "found").join(links, ["key", "digest"]).select("anchor", F.col("run").alias("digest"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
+        stretches = found if stretches is None else stretches.unionByName(found)
+    stretches = materialise(stretches, "repeated")
+    holders = shared.join(stretches, ["anchor", "digest"]).select("row", (_first(F.col("at")) + F.col("first")).alias("a"), (_first(F.col("at")) + F.col("last") + length).alias("b"))
+    spans = holders.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    joined = texts.join(spans, "row", "left").select("id", "data", "spans")
+    return joined.mapInArrow(_remove(id_col), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -1,111 +1,196 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes."""
+"""Suffix arrays by induced sorting, and permuted common prefixes, on numpy arrays.
+
+The scans of induced sorting are done in steps of whole bucket ranges: a step
+takes the buckets up to the first one that its own suffixes lead to, which no
+later suffix of the step can change, and places all their predecessors at once.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+
+
+def _scan(s: np.ndarray, sa: np.ndarray, chosen: np.ndarray, begin: np.ndarray, stop: np.ndarray, front: np.ndarray) -> None:
+    """Induce the suffixes marked in ``chosen`` from those in ``sa``, by ascending rank.
+
+    Bucket c is sa[begin[c]:stop[c]]; new suffixes are placed from front[c] on.
+    Unused places of ``sa`` hold -1. The descending scan is this one over
+    reversed arrays with complemented characters.
+    """
+    buckets, at, width = len(begin), 0, 64
+    while at < buckets:
+        # Suffixes of the bucket itself come first: each wave is the predecessors of the one before.
+        wave = sa[begin[at] : front[at]]
+        while len(wave):
+            before = wave[wave > 0] - 1
+            before = before[chosen[before] & (s[before] == at)]
+            sa[front[at] : front[at] + len(before)] = before
+            front[at] += len(before)
+            wave = before
+        to = min(buckets, at + width)
+        own = sa[begin[at] : stop[to - 1]]
+        before = own[own > 0] - 1
+        before = before[chosen[before]]
+        target = s[before]
+        away = target > at
+        before, target = before[away], target[away]
+        if to > at + 1 and len(target) and (least := int(target.min())) < to:
+            # Buckets from the first one reached are not complete yet.
+            to = max(at + 1, least)
+            own = sa[begin[at] : stop[to - 1]]
+            before = own[own > 0] - 1
+            before = before[chosen[before]]
+            target = s[before]
+            away = target > at
+            before, target = before[away], target[away]
+        if len(before):
+            by = np.argsort(target, kind="stable")
+            target, before = target[by], before[by]
+            first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            size = np.diff(np.concatenate([first, [len(target)]]))
+            sa[front[target] + np.arange(len(target)) - np.repeat(first, size)] = before
+            front[target[first]] += size
+        width = max(1, min(1 << 16, 2 * (to - at)))
+        at = to
+
+
+def _induced(s: np.ndarray, k: int, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    """The order of all suffixes that the order of the leftmost smaller ones, ``stars``, induces."""
+    n = len(s)
+    size = np.bincount(s, minlength=k)
+    stop = np.cumsum(size)
+    begin = stop - size
+    sa = np.full(n, -1, np.int64)
+    # The leftmost smaller suffixes at their buckets' ends, in order.
+    chars = s[stars]
+    by = np.argsort(chars, kind="stable")
+    count = np.bincount(chars, minlength=k)
+    first = np.cumsum(count) - count
+    sa[(stop - count)[chars[by]] + np.arange(len(by)) - first[chars[by]]] = stars[by]
+    _scan(s, sa, ~small, begin, stop, begin.copy())
+    # The larger ones are in place; the smaller ones are placed anew, from the largest down.
+    held = sa >= 0
+    sa[held & small[np.maximum(sa, 0)]] = -1
+    sa[0] = n - 1  # the end mark is the one smaller suffix that nothing precedes
+    back = sa[::-1]
+    mirrored = k - 1 - s
+    front = (n - stop)[::-1].copy()
+    front[k - 1] += 1
+    _scan(mirrored, back, small, (n - stop)[::-1], (n - begin)[::-1], front)
+    return sa
+
 
-def suffix_array(s: list[int], k: int) -> list[int]:
+def _same_strings(s: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Whether paired substrings are equal."""
+    same = size_a == size_b
+    open_ = np.flatnonzero(same)
+    k = 0
+    while len(open_):
+        equal = s[a[open_] + k] == s[b[open_] + k]
+        same[open_[~equal]] = False
+        k += 1
+        open_ = open_[equal]
+        open_ = open_[size_a[open_] > k]
+    return same
+
+
+def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of ``s`` (values 0..k-1; its last value is 0 and occurs nowhere else).
 
-    Suffixes are classified as smaller (S) or larger (L) than their successor;
-    leftmost S ones (LMS) delimit substrings, which are sorted by induction and
-    named; if names repeat, the string of names is sorted recursively; one more
-    induction from the sorted LMS suffixes places all others in linear time.
+    Suffixes are classified as smaller or larger than their successor; leftmost
+    smaller ones delimit substrings, which are sorted by induction and named; if
+    names repeat, the string of names is sorted recursively; one more induction
+    from the sorted leftmost smaller suffixes places all others.
     """
+    s = np.asarray(s, np.int64)
     n = len(s)
     if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        if s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1]):
-            small[i] = 1
-    sizes = [0] * k
-    for c in s:
-        sizes[c] += 1
-    heads, tails, at = [0] * k, [0] * k, 0
-    for c in range(k):
-        heads[c] = at
-        at += sizes[c]
-        tails[c] = at
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-
-    def induce(order: list[int]) -> list[int]:
-        sa = [-1] * n
-        end = tails[:]
-        for i in reversed(order):
-            end[s[i]] -= 1
-            sa[end[s[i]]] = i
-        start = heads[:]
-        for r in range(n):
-            j = sa[r] - 1
-            if j >= 0 and not small[j]:
-                c = s[j]
-                sa[start[c]] = j
-                start[c] += 1
-        end = tails[:]
-        for r in range(n - 1, -1, -1):
-            j = sa[r] - 1
-            if j >= 0 and small[j]:
-                c = s[j]
-                end[c] -= 1
-                sa[end[c]] = j
-        return sa
-
-    sa = induce(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    stop = dict(zip(lms, lms[1:] + [n - 1]))
-    name, names, last = -1, {}, None
-    for i in sa:
-        if is_lms[i]:
-            own = s[i : stop[i] + 1]
-            if own != last:
-                name += 1
-                last = own
-            names[i] = name
-    if name + 1 < len(lms):
-        reduced = [names[i] for i in lms]
-        order = [lms[i] for i in suffix_array(reduced, name + 1)]
-    else:
-        order = sorted(lms, key=names.__getitem__)
-    return induce(order)
-
-
-def permuted_lcp(s: list[int], sa: list[int], most: int) -> list[int]:
-    """For each position, its common prefix with the suffix before it in the array, counted up to ``most``."""
+        return np.zeros(1, np.int64)
+    # A suffix compares with its successor as its character does with the next different one.
+    change = np.flatnonzero(s[1:] != s[:-1])
+    up = np.concatenate([s[change] < s[change + 1], [True]])
+    small = np.repeat(up, np.diff(np.concatenate([[0], change + 1, [n]])))
+    small[n - 1] = True
+    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    if len(stars) == 1:
+        return _induced(s, k, small, stars)
+    rough = _induced(s, k, small, stars)
+    is_star = np.zeros(n, bool)
+    is_star[stars] = True
+    ordered = rough[is_star[rough]]
+    size = np.zeros(n, np.int64)
+    size[stars] = np.diff(np.concatenate([stars, [n - 1]])) + 1
+    new = ~_same_strings(s, ordered[:-1], ordered[1:], size[ordered[:-1]], size[ordered[1:]])
+    name = np.zeros(n, np.int64)
+    name[ordered] = np.concatenate([[0], np.cumsum(new)])
+    names = name[stars]
+    different = int(names.max()) + 1
+    order = np.argsort(names, kind="stable") if different == len(stars) else suffix_array(names, different)
+    return _induced(s, k, small, stars[order])
+
+
+def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
+    """For each position, its common prefix with the suffix before it in the array, counted up to ``most``.
+
+    A position's value is at least its left neighbour's less one. Positions are
+    therefore done at steps of 64, then 32 and so on, each starting from what
+    the one before it guarantees.
+    """
+    s = np.asarray(s, np.int64)
     n = len(s)
-    before = [-1] * n
-    for a, b in zip(sa, sa[1:]):
-        before[b] = a
-    out, h = [0] * n, 0
-    for i in range(n):
-        j = before[i]
-        if j < 0:
-            h = 0
-            continue
-        while h < most and i + h < n and j + h < n and s[i + h] == s[j + h]:
-            h += 1
-        out[i] = h
-        if h:
-            h -= 1
-    return out
+    out = np.zeros(n, np.int64)
+    if n < 2:
+        return out
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    # Eight characters as two words would need bytes; characters are compared in groups through a strided view.
+    wide = 8
+    padded = np.concatenate([s.astype(np.uint16), np.zeros(wide, np.uint16)]) if s.max(initial=0) < 1 << 16 else None
+    words = np.ndarray((n + wide - 3,), np.uint64, padded.tobytes(), strides=(2,)) if padded is not None else None
+    step = 64
+    while step:
+        at = np.arange(0, n, step) if step == 64 else np.arange(step, n, 2 * step)
+        if step != 64:
+            out[at] = np.maximum(out[at - step] - step, 0)
+        live = at[(before[at] >= 0) & (out[at] < most)]
+        if words is not None:
+            # Four characters at a time while they agree and none is past the end.
+            fast = live
+            while len(fast):
+                x, y = fast + out[fast], before[fast] + out[fast]
+                ok = np.maximum(x, y) < n - 4
+                fast, x, y = fast[ok], x[ok], y[ok]
+                fast = fast[words[x] == words[y]]
+                out[fast] += 4
+                fast = fast[out[fast] < most]
+        while len(live):
+            x, y = live + out[live], before[live] + out[live]
+            ok = np.maximum(x, y) < n
+            live, x, y = live[ok], x[ok], y[ok]
+            live = live[s[x] == s[y]]
+            out[live] += 1
+            live = live[out[live] < most]
+        step //= 2
+    return np.minimum(out, most)
 
 
-def repeated_starts(strings: list[bytes], length: int) -> list[list[int]]:
-    """For each string, the positions at which a string of ``length`` bytes begins that begins elsewhere too."""
-    s: list[int] = []
-    starts = []
-    for x in strings:
-        starts.append(len(s))
-        s.extend(b + 2 for b in x)
-        s.append(1)
-    s.append(0)
-    sa = suffix_array(s, 258)
-    lcp = permuted_lcp(s, sa, length)
-    hit = bytearray(len(s))
-    for a, b in zip(sa, sa[1:]):
-        if lcp[b] >= length:
-            hit[a] = hit[b] = 1
+def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
+    """For each string, the ascending positions at which a string of ``length`` bytes begins that begins elsewhere too."""
+    if not strings:
+        return []
+    raw = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.int64) + 2
+    ends = np.cumsum([len(x) + 1 for x in strings])
+    raw[ends - 1] = 1  # between strings
+    raw[-1] = 0  # the end mark
+    sa = suffix_array(raw, 258)
+    lcp = permuted_lcp(raw, sa, length)
+    hit = np.zeros(len(raw), bool)
+    long_ = lcp[sa[1:]] >= length
+    hit[sa[1:][long_]] = True
+    hit[sa[:-1][long_]] = True
     # No separator lies within a common prefix of full length, for it would have to match one too.
-    return [[i for i in range(len(x) - length + 1) if hit[at + i]] for x, at in zip(strings, starts)]
+    out = []
+    for end, x in zip(ends, strings):
+        at = end - 1 - len(x)
+        out.append(np.flatnonzero(hit[at : at + max(0, len(x) - length + 1)]))
+    return out

@@ -25,7 +25,8 @@ from tessera.llm.ngram_join import least_matches, ngram_join  # noqa: E402
 from tessera.llm.packing import best_two_fit, pack  # noqa: E402
 from tessera.llm.quality_rules import binomial_cdf, calibrate, quality_features, quality_rules  # noqa: E402
 from tessera.llm.secret_scan import FEATURES, candidates, features, labelled_findings, secret_scan, train  # noqa: E402
-from tessera.llm.substring_dedup import common_parts, substring_dedup  # noqa: E402
+from tessera.llm import substring_dedup as substrings  # noqa: E402
+from tessera.llm.substring_dedup import substring_dedup  # noqa: E402
 from tessera.llm.suffix_array import permuted_lcp, repeated_starts, suffix_array  # noqa: E402
 from tessera.llm.token_files import Coder, FileWriter, frequencies, read_index, read_token_files, write_token_files  # noqa: E402
 from tessera.llm.tokens import ChunkEncoder  # noqa: E402
@@ -216,25 +217,30 @@ def test_suffix_array():
     rng = random.Random(3)
     for _ in range(300):
         s = [rng.randint(1, 3) for _ in range(rng.randrange(50))] + [0]
-        sa = suffix_array(s, 4)
+        sa = suffix_array(np.array(s), 4).tolist()
         assert sa == sorted(range(len(s)), key=lambda i: s[i:])
-        lcp = permuted_lcp(s, sa, 9)
+        lcp = permuted_lcp(np.array(s), np.array(sa), 9)
         for a, b in zip(sa, sa[1:]):
             n = 0
             while n < 9 and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
                 n += 1
             assert lcp[b] == n
-    assert repeated_starts([b"abcabc", b"zabcz"], 3) == [[0, 3], [1]]
+    assert [x.tolist() for x in repeated_starts([b"abcabc", b"zabcz"], 3)] == [[0, 3], [1]]
 
 
-def test_common_parts():
-    rng = random.Random(4)
-    for _ in range(100):
-        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 8))) for _ in range(6)]
-        least = [rng.randrange(1, len(x) + 1) for x in strings]
-        got = [{n for lo, hi in own for n in range(lo, hi + 1)} for own in common_parts(strings, least)]
-        want = [{n for n in range(least[i], len(x) + 1) if any(j != i and least[j] <= n <= len(y) and y[:n] == x[:n] for j, y in enumerate(strings))} for i, x in enumerate(strings)]
-        assert got == want
+def test_suffix_array_large():
+    """Names that repeat over several levels, long runs of one character, and a large alphabet."""
+    rng = np.random.default_rng(6)
+    word = rng.integers(1, 200, 500)
+    for s, k in (
+        (np.concatenate([np.tile(word, 20), rng.integers(1, 200, 300), np.tile(word, 5), [0]]), 200),
+        (np.concatenate([np.full(5000, 2), [1], np.full(5000, 2), [0]]), 3),
+        (np.concatenate([rng.integers(1, 9000, 12_000), [0]]), 9000),
+    ):
+        sa = suffix_array(s, k)
+        text = s.astype(">u2").tobytes()
+        assert sorted(sa.tolist()) == list(range(len(s)))
+        assert all(text[2 * a :] < text[2 * b :] for a, b in zip(sa.tolist(), sa.tolist()[1:]))
 
 
 def brute_substrings(texts, length):
@@ -251,8 +257,8 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize(("seed", "shard"), [(1, 1 << 20), (2, 3000), (3, 300)])
+def test_substring_dedup(spark, seed, shard):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 7))) for _ in range(300)]
     base = [rng.choice(words) for _ in range(150)]
@@ -267,12 +273,31 @@ def test_substring_dedup(spark, seed):
     passage = fresh(60)
     texts = [near(rng.randint(0, 6)) for _ in range(40)] + [fresh(30) + passage + fresh(30) for _ in range(20)] + ["a" * 700, "ab" * 300, "", "x", None, fresh(200), LONG[:5000], " ".join(base[40:110]), " ".join(base[40:110]), (" ".join(base[:60]) + " ") * 3]
     rows = [(i if i % 7 else None, t, "en", "a", 1) for i, t in enumerate(texts)]
-    out = substring_dedup(frame(spark, rows), length=200)
+    out = substring_dedup(frame(spark, rows), length=200, shard=shard)
     got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, got), key=key) == sorted(((r[0], *w) for r, w in zip(rows, brute_substrings(texts, 200))), key=key)
 
 
+def test_substring_identity(spark):
+    """Texts that share an id, or have none, are told apart even where a 32-bit hash of them agrees."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcdefgh") for _ in range(441))
+    a, b = text(), text()
+    rows = [(None, a, "en", "a", 1), (None, b, "en", "a", 1), (5, a, "en", "a", 1), (5, text(), "en", "a", 1)]
+    got = sorted(r.n_removed for r in substring_dedup(frame(spark, rows)).collect())
+    assert got == [0, 0, 441, 441]
+
+
+def test_substring_arrays_decide(spark, monkeypatch):
+    """Nothing goes that no suffix array has found."""
+    passage = " ".join(f"p{i * i % 997}" for i in range(120))
+    rows = [(i, f"{i} before {passage} after {i}", "en", "a", 1) for i in range(6)]
+    assert all(r.n_removed for r in substring_dedup(frame(spark, rows)).collect())
+    monkeypatch.setattr(substrings, "_sort", lambda length, shard: lambda batches: iter(()))
+    assert not any(r.n_removed for r in substring_dedup(frame(spark, rows)).collect())
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup(frame(spark, []), length=200).count() == 0
 
