@@ -8,18 +8,21 @@ failure arc of weight k / (c(h) + k) leads from h to h'. One left-to-right
 traversal of a document carries the state and adds up log-probabilities.
 
 The automaton of a whole corpus fits no worker, so each chunk of documents
-builds the part it can reach: it sends the digests of its distinct n-grams,
-packed and sorted, to the owners of digest ranges, which add up the counts of
-all chunks and send each chunk its own counts back in the same order.
+builds the part it can reach. It needs the corpus's counts of its own distinct
+n-grams, and gets them through a tree of hops: a node gathers the lists of a
+group of chunks for a slice of the digests, adds them up, and asks the nodes
+above it, whose groups are larger and whose slices are narrower; the topmost
+nodes know the totals, which go back the same way. Every node sends a bounded
+number of lists, and there are as many nodes at every level as chunks, so the
+lists grow with the corpus, not with its square.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from tessera.llm.common import materialise
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _END = "\x00end"
+#: The low bits of a digest that name its n-gram's order.
+ORDERS = 7
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -35,6 +40,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tokenise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts, each with its end token, the texts' lengths, and the words' digests (the end's last)."""
+    import xxhash
+
+    words: dict[bytes, int] = {}
+    streams, lengths = [], []
+    for text in texts:
+        own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and the six ASCII spaces only
+        get = words.setdefault
+        streams.append(np.fromiter((get(w, len(words)) for w in own), dtype=np.int64, count=len(own)))
+        lengths.append(len(own) + 1)
+    tail = np.array([len(words)], dtype=np.int64)
+    digests = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in (*words, _END)), dtype=np.uint64, count=len(words) + 1)
+    return np.concatenate([x for s in streams for x in (s, tail)]) if streams else np.zeros(0, np.int64), np.array(lengths, dtype=np.int64), digests
+
+
 class Chunk:
     """A chunk's documents as word numbers, with its distinct n-grams of every order.
 
@@ -43,51 +64,46 @@ class Chunk:
     of its own, and digests are needed only to speak to other chunks.
     """
 
-    def __init__(self, texts: list[str | None], order: int):
-        import xxhash
-
-        words: dict[bytes, int] = {}
-        streams, lengths = [], []
-        for text in texts:
-            own = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and the six ASCII spaces only
-            get = words.setdefault
-            stream = np.fromiter((get(w, len(words)) for w in own), dtype=np.int64, count=len(own))
-            streams.append(stream)
-            lengths.append(len(own) + 1)
-        end = len(words)
-        self.lengths = np.array(lengths, dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
-        tail = np.array([end], dtype=np.int64)
-        self.words = np.concatenate([x for s in streams for x in (s, tail)]) if streams else np.zeros(0, np.int64)
-        digests = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=end)
-        digest = np.concatenate([digests, np.array([xxhash.xxh3_64_intdigest(_END)], np.uint64)])
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, digest: np.ndarray, order: int):
+        self.words, self.lengths = words, lengths
+        self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+        kinds = len(digest)
         # order 1 is the word itself; order n at position i ends there and is -1 where it would begin before the text.
-        self.grams, self.digests = [self.words], [digest]
+        self.grams, self.digests = [words], [digest]
         for n in range(2, order + 1):
             before = np.concatenate([[-1], self.grams[-1][:-1]]).astype(np.int64)
             before[self.starts] = -1
             valid = before >= 0
-            key = before[valid] * (end + 1) + self.words[valid]
-            distinct, number = np.unique(key, return_inverse=True)
-            gram = np.full(len(self.words), -1, dtype=np.int64)
+            distinct, number = np.unique(before[valid] * kinds + words[valid], return_inverse=True)
+            gram = np.full(len(words), -1, dtype=np.int64)
             gram[valid] = number
             self.grams.append(gram)
-            self.digests.append(_mixed(self.digests[-1][distinct // (end + 1)] * _MIX + digest[distinct % (end + 1)]))
+            self.digests.append(_mixed(self.digests[-1][distinct // kinds] * _MIX + digest[distinct % kinds]))
 
     def counts(self, trained: np.ndarray) -> list[np.ndarray]:
         """How often each distinct n-gram occurs in the training documents, by order."""
         on = np.repeat(trained, self.lengths)
         return [np.bincount(g[on & (g >= 0)], minlength=len(d)).astype(np.int64) for g, d in zip(self.grams, self.digests)]
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """The digests of the n-grams of all orders, their orders in the low bits, ascending, and the order that sorts them."""
+        every = np.concatenate([(d & ~np.uint64(ORDERS)) | np.uint64(n) for n, d in enumerate(self.digests, 1)])
+        by = np.argsort(every, kind="stable")
+        return every[by], by
+
 
 def _pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as zlib over byte planes."""
+    """Unsigned integers as zstd over byte planes."""
+    import zstandard
+
     raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zlib.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+def _unpack(raw) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1).astype(np.uint64)
 
 
@@ -95,18 +111,68 @@ def _pack_sorted(values: np.ndarray) -> bytes:
     return _pack(np.diff(values, prepend=np.uint64(0)))
 
 
-def _unpack_sorted(raw: bytes) -> np.ndarray:
+def _unpack_sorted(raw) -> np.ndarray:
     return np.cumsum(_unpack(raw), dtype=np.uint64)
 
 
-def _requests(chunk: Chunk, owners: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(order, owner, numbers of the n-grams that the owner counts, by ascending digest)."""
-    for n, digest in enumerate(chunk.digests, 1):
-        order = np.argsort(digest, kind="stable")
-        edges = np.searchsorted(digest[order], (np.arange(1, owners, dtype=np.float64) * (2.0**64 / owners)).astype(np.uint64))
-        for owner, part in enumerate(np.split(order, edges)):
-            if len(part):
-                yield n, owner, part
+def _slices(keys: np.ndarray, own: int, fan: int, level: int) -> list[int]:
+    """Where the ``fan`` sub-slices of slice ``own`` of a level begin and end in ascending keys; level k has fan**k slices."""
+    parts = fan ** (level + 1)
+    edges = np.array([-(-((own * fan + t) << 64) // parts) for t in range(1, fan)], dtype=np.uint64)
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+
+
+ASK = "g long, s long, sender long, keys binary, counts binary"
+TELL = "receiver long, s long, totals binary, known long, tokens long"
+
+
+def _record(rows: list[tuple], types: list, names: list[str]):
+    import pyarrow as pa
+
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
+
+
+def _asks(group: int, own: int, sender: int, keys: np.ndarray, counts: np.ndarray, fan: int, level: int) -> list[tuple]:
+    """A node's lists for the nodes above it, one per sub-slice that has keys."""
+    edges = _slices(keys, own, fan, level)
+    return [(group, own * fan + t, sender, _pack_sorted(keys[a:b]), _pack(counts[a:b])) for t, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+
+
+def _gathered(table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A node's senders and their lists; the distinct keys, where each list's keys are among them, and their counts."""
+    by = np.argsort(table.column("sender").to_numpy(), kind="stable")
+    table = table.take(by)
+    senders = table.column("sender").to_pylist()
+    lists = [_unpack_sorted(x.as_buffer()) for x in table.column("keys")]
+    counts = [_unpack(x.as_buffer()) for x in table.column("counts")]
+    keys, number = np.unique(np.concatenate(lists), return_inverse=True)
+    total = np.zeros(len(keys), np.uint64)
+    np.add.at(total, number, np.concatenate(counts))
+    return senders, lists, keys, number, total
+
+
+def _tells(senders: list[int], lists: list[np.ndarray], number: np.ndarray, total: np.ndarray, own: int, known: int, tokens: int):
+    """Each sender's totals, in the order of its list."""
+    import pyarrow as pa
+
+    rows, at = [], 0
+    for k, (sender, keys) in enumerate(zip(senders, lists)):
+        rows.append((sender, own, _pack(total[number[at : at + len(keys)]]), known if k == 0 else 0, tokens if k == 0 else 0))
+        at += len(keys)
+    return _record(rows, [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()], ["receiver", "s", "totals", "known", "tokens"])
+
+
+def _gather(fan: int, level: int, width: int):
+    """A node between: what it asks of the level above. Its number is its slice times the level's groups plus its group."""
+
+    def gather(key, table):  # no hints here: Spark takes them for a kind of function
+        import pyarrow as pa
+
+        g, own = (x.as_py() for x in key)
+        _, _, keys, _, total = _gathered(table)
+        return _record(_asks(g // fan, own, own * width + g, keys, total, fan, level), [pa.int64()] * 3 + [pa.binary()] * 2, ["g", "s", "sender", "keys", "counts"])
+
+    return gather
 
 
 def held_out(id_col: Column | str, parts: int = 7, which: int = 2):
@@ -114,7 +180,7 @@ def held_out(id_col: Column | str, parts: int = 7, which: int = 2):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == which
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = 2, strength: float = 8.0, chunk_bytes: int = 8 << 20, owner_bytes: int = 16 << 20) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = 3, strength: float = 8.0, chunk_bytes: int = 4 << 20, most_fan: int = 256) -> DataFrame:
     """Score every row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held``: a boolean expression of the rows not to learn from. Words are
@@ -125,88 +191,120 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hel
     Defined cases: null and empty texts are the end token alone. Repeated rows
     are learned and scored separately. Rows without an id count by the empty
     text. With no training rows, every token is unknown. An empty table gives
-    no rows. Words and n-grams meet by 64-bit digests.
+    no rows. Other columns are ignored. Words and n-grams meet by digests of 61
+    bits.
 
-    ``chunk_bytes`` of text are scored by one task at a time, and an owner adds
-    up the n-grams of ``owner_bytes`` of text; each chunk sends each owner one
-    packed list per order. Raise both with the square root of a very large
-    corpus, so that the lists stay long.
+    A chunk is closed once it holds ``chunk_bytes`` of text, so it holds at most
+    that and one document, whatever ids and texts repeat. ``most_fan`` bounds
+    the lists that a chunk or node sends, and with it the tree's height.
     """
-    spark = df.sparkSession
+    if not 1 <= order <= ORDERS:
+        raise ValueError(f"the order must lie between 1 and {ORDERS}")
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = held_out(id_col) if held is None else held
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
-    size = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
-    owners = max(1, -(-size // owner_bytes))
-    keyed = rows.select(F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(chunks)).cast("long").alias("chunk"), "id", "text", "held").repartition(chunks, "chunk")
+    id_type = dict(df.dtypes)[id_col]
 
-    def ask(batches: Iterator) -> Iterator:
+    def chunked(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        for number, texts, trained, _ in _by_chunk(batches):
-            chunk = Chunk(texts, order)
-            counts = chunk.counts(trained)
-            for n, owner, part in _requests(chunk, owners):
-                yield pa.record_batch(
-                    [pa.array([v]) if not isinstance(v, bytes) else pa.array([v], pa.binary()) for v in (n, owner, number, _pack_sorted(chunk.digests[n - 1][part]), _pack(counts[n - 1][part]))],
-                    names=["n", "owner", "chunk", "digests", "counts"],
-                )
+        number, ids, texts, out, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
-    def answer(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        def close():
+            words, lengths, digest = tokenise(texts)
+            own = [[number], [pa.concat_arrays(ids)], [out], *([_pack(x)] for x in (words, lengths, digest))]
+            types = [pa.int64(), pa.list_(ids[0].type), pa.list_(pa.bool_()), *[pa.binary()] * 3]
+            return pa.record_batch([pa.ListArray.from_arrays([0, len(x[0])], x[0]) if isinstance(x[0], pa.Array) else pa.array(x, t) for x, t in zip(own, types)], names=["chunk", "ids", "held", "words", "lengths", "digests"])
 
-        # One digest range of one order at a time: the distinct n-grams of a range and their chunks' lists.
-        for asked in _groups(batches):
-            lists = [_unpack_sorted(x) for x in asked["digests"]]
-            counts = [_unpack(x) for x in asked["counts"]]
-            distinct, number = np.unique(np.concatenate(lists), return_inverse=True)
-            total = np.bincount(number, weights=np.concatenate(counts).astype(np.float64), minlength=len(distinct))
-            known = int((total > 0).sum()) if asked["n"] == 1 else 0
-            tokens = int(total.sum()) if asked["n"] == 1 else 0
+        for batch in batches:
+            sizes = np.cumsum([len(x.as_buffer() or b"") + 16 for x in batch.column(1)])
             at = 0
-            for k, (own, chunk) in enumerate(zip(lists, asked["chunk"])):
-                reply = total[number[at : at + len(own)]].astype(np.uint64)
-                at += len(own)
-                yield pa.record_batch(
-                    [pa.array([asked["n"]], pa.int64()), pa.array([asked["owner"]], pa.int64()), pa.array([chunk], pa.int64()), pa.array([_pack(reply)], pa.binary()), pa.array([known if k == 0 else 0], pa.int64()), pa.array([tokens if k == 0 else 0], pa.int64())],
-                    names=["n", "owner", "chunk", "totals", "known", "tokens"],
-                )
-
-    def _groups(batches: Iterator) -> Iterator[dict]:
-        held, key = None, None
+            while at < batch.num_rows:
+                before = int(sizes[at - 1]) if at else 0
+                to = min(batch.num_rows, int(np.searchsorted(sizes, before + chunk_bytes - size)) + 1)
+                part = batch.slice(at, to - at)
+                ids.append(part.column(0)), texts.extend(part.column(1).to_pylist()), out.extend(part.column(2).to_pylist())
+                size += int(sizes[to - 1]) - before
+                at = to
+                if size >= chunk_bytes:
+                    yield close()
+                    number, ids, texts, out, size = number + 1, [], [], [], 0
+        if texts:
+            yield close()
+
+    chunks = materialise(rows.mapInArrow(chunked, f"chunk long, ids array<{id_type}>, held array<boolean>, words binary, lengths binary, digests binary"), "chunks", "uncompressed")
+    n = max(1, chunks.count())
+    hops = max(1, math.ceil(math.log(n) / math.log(most_fan) - 1e-9))
+    fan = max(1, math.ceil(n ** (1 / hops) - 1e-9))
+    groups = -(-n // fan)
+
+    def restored(row: dict) -> Chunk:
+        return Chunk(_unpack(row["words"]).astype(np.int64), _unpack(row["lengths"]).astype(np.int64), _unpack(row["digests"]), order)
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
         for batch in batches:
-            for n, owner, chunk, digests, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if (n, owner) != key:
-                    if held:
-                        yield held
-                    key, held = (n, owner), {"n": n, "owner": owner, "chunk": [], "digests": [], "counts": []}
-                held["chunk"].append(chunk), held["digests"].append(digests), held["counts"].append(counts)
-        if held:
-            yield held
-
-    asked = keyed.sortWithinPartitions("chunk", "id").mapInArrow(ask, "n long, owner long, chunk long, digests binary, counts binary")
-    answered = asked.repartition(owners, "owner", "n").sortWithinPartitions("n", "owner", "chunk").mapInArrow(answer, "n long, owner long, chunk long, totals binary, known long, tokens long")
-    answered = materialise(answered, "ngram-counts")
-    vocabulary, train_tokens = answered.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-
-    def score(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        docs = docs.sort_values("id", kind="stable")
-        chunk = Chunk(docs["text"].tolist(), order)
-        totals = [np.zeros(len(d)) for d in chunk.digests]
-        packed = {(int(r.n), int(r.owner)): r.totals for r in replies.itertuples()}
-        for n, owner, part in _requests(chunk, owners):
-            totals[n - 1][part] = _unpack(packed[n, owner])
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                chunk = restored({c: row[c].as_buffer() for c in ("words", "lengths", "digests")})
+                keys, by = chunk.keys()
+                counts = np.concatenate(chunk.counts(~np.array(row["held"].as_py(), bool)))[by]
+                asked = _record(_asks(row["g"].as_py(), 0, row["chunk"].as_py(), keys, counts, fan, 0), [pa.int64()] * 3 + [pa.binary()] * 2, ["g", "s", "sender", "keys", "counts"])
+                yield from asked.to_batches()
+
+    asked = chunks.select("chunk", "held", "words", "lengths", "digests", F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("g")).mapInArrow(ask, ASK)
+    levels, width = [asked], groups
+    for level in range(1, hops):
+        below = levels[-1] = materialise(levels[-1], f"asked-{level}")
+
+        levels.append(below.groupBy("g", "s").applyInArrow(_gather(fan, level, width), ASK))
+        width = -(-width // fan)
+
+    def answer(key, table):
+        senders, lists, keys, number, total = _gathered(table)
+        words = (keys & np.uint64(ORDERS)) == 1
+        return _tells(senders, lists, number, total, key[1].as_py(), int((total[words] > 0).sum()), int(total[words].sum()))
+
+    told = materialise(levels[-1].groupBy("g", "s").applyInArrow(answer, TELL), "ngram-counts")
+    vocabulary, train_tokens = told.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    widths = [groups]
+    for _ in range(1, hops):
+        widths.append(-(-widths[-1] // fan))
+
+    def passed(key, table, replies):
+        senders, lists, keys, number, _ = _gathered(table)
+        by = np.argsort(replies.column("s").to_numpy(), kind="stable")
+        total = np.concatenate([_unpack(x.as_buffer()) for x in replies.column("totals").take(by)])
+        return _tells(senders, lists, number, total, key[1].as_py(), 0, 0)
+
+    for level in range(hops - 1, 0, -1):
+        width = widths[level - 1]
+        replies = told.select((F.col("receiver") % width).alias("g"), F.floor(F.col("receiver") / width).alias("node"), "s", "totals")
+        replies = replies.select("g", F.col("node").alias("own"), "s", "totals")
+        below = levels[level - 1].withColumn("own", F.col("s"))
+        told = materialise(below.groupBy("g", "own").cogroup(replies.groupBy("g", "own")).applyInArrow(passed, TELL), "ngram-counts")
+
+    def score(key, table, replies):
+        import pyarrow as pa
+
+        row = {c: table.column(c)[0] for c in table.column_names}
+        chunk = restored({c: row[c].as_buffer() for c in ("words", "lengths", "digests")})
+        keys, order_of = chunk.keys()
+        by = np.argsort(replies.column("s").to_numpy(), kind="stable")
+        every = np.empty(len(keys))
+        every[order_of] = np.concatenate([_unpack(x.as_buffer()) for x in replies.column("totals").take(by)])
+        totals = np.split(every, np.cumsum([len(d) for d in chunk.digests])[:-1])
         count = totals[0][chunk.words]
         base = np.log10((count + 1.0) / (train_tokens + 1.0 * (vocabulary + 1)))
         scores = Automaton(chunk, totals, train_tokens, vocabulary, strength).walk(chunk)
-        return pd.DataFrame({
-            "id": docs["id"].to_numpy(), "held_out": docs["held"].to_numpy(bool), "n_tokens": chunk.lengths, "n_known": np.add.reduceat((count > 0).astype(np.int64), chunk.starts),
-            "train_tokens": train_tokens, "base_score": np.add.reduceat(base, chunk.starts), "score": scores,
+        return pa.table({
+            "id": row["ids"].values, "held_out": row["held"].values, "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), chunk.starts)),
+            "train_tokens": pa.array(np.full(len(chunk.lengths), train_tokens, np.int64)), "base_score": pa.array(np.add.reduceat(base, chunk.starts)), "score": pa.array(scores),
         })
 
-    id_type = dict(df.dtypes)[id_col]
-    out = keyed.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInPandas(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = chunks.groupBy("chunk").cogroup(told.withColumnRenamed("receiver", "chunk").groupBy("chunk")).applyInArrow(score, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -271,17 +369,3 @@ class Automaton:
         out = np.empty(len(by))
         out[by] = score
         return out
-
-
-def _by_chunk(batches: Iterator) -> Iterator[tuple[int, list, np.ndarray, list]]:
-    """The documents of each chunk of a partition sorted by chunk."""
-    key, ids, texts, held = None, [], [], []
-    for batch in batches:
-        for c, i, t, h in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if c != key:
-                if texts:
-                    yield key, texts, ~np.array(held, bool), ids
-                key, ids, texts, held = c, [], [], []
-            ids.append(i), texts.append(t), held.append(h)
-    if texts:
-        yield key, texts, ~np.array(held, bool), ids

@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 from oracle import compare  # noqa: E402
 
 from tessera.llm import queries as Q  # noqa: E402
+from tessera.llm.common import materialise  # noqa: E402
 from tessera.llm.components import components  # noqa: E402
 from tessera.llm.decontamination import Index, contamination, decontaminate, edit_distance, nearest_passage  # noqa: E402
 from tessera.llm.files import shard_bounds, shard_of  # noqa: E402
@@ -560,11 +561,11 @@ def test_nearest_passage():
 # ---- language model
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores(spark, order):
+@pytest.mark.parametrize(("order", "fan"), [(1, 256), (2, 3), (3, 256), (4, 5)])
+def test_lm_scores(spark, order, fan):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()] + [(900, None), (901, ""), (None, "a b a b"), (902, "x x x"), (902, "x x x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(None)).withColumn("held", F.lit("a"))
-    got = lm_scores(df, held=held_out("doc_id"), order=order, chunk_bytes=20_000, owner_bytes=30_000).collect()
+    got = lm_scores(df, held=held_out("doc_id"), order=order, chunk_bytes=8000, most_fan=fan).collect()
     tokens = [[*(t or "").encode().lower().split(), "end"] for _, t in rows]
     held = [zlib.crc32(str(d if d is not None else "").encode()) % 7 == 2 for d, _ in rows]
     count = [Counter() for _ in range(order + 1)]
@@ -586,6 +587,37 @@ def test_lm_scores(spark, order):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6])
 
 
+def test_lm_repeated_rows(spark):
+    """Very many equal rows, of which some have no id, fall into many chunks."""
+    df = spark.range(100_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("doc_id"), F.lit("the same words again").alias("text"))
+    got = lm_scores(df, chunk_bytes=200_000).groupBy("held_out", "n_tokens").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("score"), 9).alias("lo"), F.round(F.max("score"), 9).alias("hi"), F.max("train_tokens").alias("t")).collect()
+    learned = sum(r.n for r in got if not r.held_out)
+    assert sum(r.n for r in got) == 100_000 and all(r.n_tokens == 5 and r.lo == r.hi and r.t == 5 * learned for r in got)
+
+
+def test_lm_long_document(spark):
+    rows = [(1, LONG * 40), (2, "w1x1 w2x2"), (3, None)]
+    got = {r.doc_id: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("g", F.lit("x"))).collect()}
+    assert got[1].n_tokens == len((LONG * 40).split()) + 1 and got[3].n_tokens == 1 and all(r.score < 0 for r in got.values())
+
+
+def test_lm_lists_grow_with_the_input(spark, monkeypatch):
+    """Lists sent for n chunks: at most n * fan on each of the few hops."""
+    from tessera.llm import lm_scoring
+
+    seen = {}
+
+    def spy(df, name, *more):
+        out = materialise(df, name, *more)
+        seen.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(lm_scoring, "materialise", spy)
+    df = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("common words"), F.col("id"), F.col("id") % 7).alias("text")).coalesce(2)
+    assert lm_scores(df, order=2, chunk_bytes=400, most_fan=4).count() == 600
+    assert seen["chunks"] > 16 and all(n <= seen["chunks"] * 4 * 1.5 for name, n in seen.items() if name.startswith("asked")) and "asked-2" in seen
+
+
 def test_lm_empty(spark):
     assert lm_scores(frame(spark, [])).count() == 0
 
