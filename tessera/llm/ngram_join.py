@@ -1,13 +1,18 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Exact copies (equal shingle sets) count as one text. MinHash bands put texts
-that may be similar into buckets, and buckets that hold different texts are
-joined into candidate clusters. Within a cluster texts are dealt to blocks, and
-each pair of blocks is one unit of work: MinHash values are compared a few at a
-time, a pair is dropped once the posterior probability of reaching the
-threshold falls below a tolerance, and what is left is verified exactly. A unit
-returns counts and a spanning set of links, never its pairs, so the output
-follows the number of documents however large a group is.
+Texts with equal shingle sets count as one. MinHash bands put texts that may be
+similar into buckets; the least text of a bucket leads it, and a text's pivot is
+the leader that it shares most buckets with. Each text is compared with its
+pivot exactly: from how many shingles it lacks and has besides, a cost follows,
+and two texts of one pivot whose costs add up to no more than a limit are linked
+whatever their shingles are. Such links are counted from sums over costs, so a
+group of near copies is not compared pair by pair.
+
+All other pairs that share a bucket meet at a leader of both: MinHash values are
+compared a few at a time, a pair is dropped once the posterior probability of
+reaching the threshold falls below a tolerance, and what is left is verified
+exactly. A leader's texts are dealt in blocks, and each pair of blocks returns
+counts and a spanning set of links, never its pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
@@ -27,8 +32,10 @@ from tessera.llm.components import components
 BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 STEP = 24
-#: Texts of a cluster that one block holds.
-BLOCK = 512
+#: Texts of one leader that one block holds.
+BLOCK = 192
+#: Costs are whole numbers of millionths of a shingle.
+COST = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,11 +45,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int = 5) -> np.ndarray:
-    """The sorted set of 64-bit digests of a text's word n-grams; one of all its words, if there are fewer than n."""
+def shingles(text: bytes, n: int = 5) -> np.ndarray:
+    """The sorted set of 64-bit digests of a UTF-8 text's word n-grams; one of all its words, if there are fewer than n."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     number: dict[bytes, int] = {}
@@ -98,8 +105,11 @@ def least_matches(threshold: float, tolerance: float) -> list[int]:
     return out
 
 
-def similar_pairs(rows: list[tuple], left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, js) of the pairs at or above the threshold; rows: (.., shingles, signature)."""
+def similar_pairs(rows: list[tuple], left: np.ndarray, right: np.ndarray, wanted, threshold: float, tolerance: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js) of the wanted pairs at or above the threshold; rows: (shingles, signature).
+
+    ``wanted`` is asked for a mask of pairs (a column and a row of numbers).
+    """
     need = least_matches(threshold, tolerance)
     values = np.stack([r[1] for r in rows])
     size = np.array([len(r[0]) for r in rows])
@@ -109,16 +119,15 @@ def similar_pairs(rows: list[tuple], left: np.ndarray, right: np.ndarray, thresh
     same_block = left is right or np.array_equal(left, right)
     for at in range(0, len(left), 32):
         part = left[at : at + 32]
-        match = (values[part, None, :STEP] == values[None, right, :STEP]).sum(axis=2)
-        keep = match >= need[STEP]
         # Similar sets have similar sizes: a bound that loses nothing.
-        keep &= np.minimum(size[part, None], size[None, right]) >= threshold * np.maximum(size[part, None], size[None, right]) - 1e-9
+        keep = np.minimum(size[part, None], size[None, right]) >= threshold * np.maximum(size[part, None], size[None, right]) - 1e-9
+        keep &= wanted(part[:, None], right[None, :])
         if same_block:
             keep &= part[:, None] < right[None, :]
         x, y = np.nonzero(keep)
-        got = match[x, y]
         i, j = part[x], right[y]
-        for n in range(STEP, HASHES, STEP):
+        got = np.zeros(len(i), np.int64)
+        for n in range(0, HASHES, STEP):
             if not len(i):
                 break
             got = got + (values[i, n : n + STEP] == values[j, n : n + STEP]).sum(axis=1)
@@ -137,11 +146,27 @@ def similar_pairs(rows: list[tuple], left: np.ndarray, right: np.ndarray, thresh
 
 def _unit(rows: list[dict], threshold: float, tolerance: float) -> list[tuple[int, int, int]]:
     """(text, links, a text of its group) of the texts of one pair of blocks that have links."""
+    leader = rows[0]["leader"]
     data = [(np.frombuffer(r["shingles"], np.uint64), np.frombuffer(r["values"], np.uint32)) for r in rows]
     low = np.array([i for i, r in enumerate(rows) if r["block"] == r["low"]], np.int64)
     high = low if rows[0]["low"] == rows[0]["high"] else np.array([i for i, r in enumerate(rows) if r["block"] == r["high"]], np.int64)
     links = np.zeros(len(rows), np.int64)
-    copies = np.array([r["copies"] for r in rows], np.int64)
+    copies, pivot, cost, limit = (np.array([r[c] for r in rows], np.int64) for c in ("copies", "pivot", "cost", "limit"))
+    # The leaders below this one: pairs of different pivots that share one of them meet there.
+    lower = sorted({x for r in rows for x in r["leaders"] if x < leader})
+    column = {x: k for k, x in enumerate(lower)}
+    shared = np.zeros((len(rows), max(1, len(lower))), np.float32)
+    for i, r in enumerate(rows):
+        for x in r["leaders"]:
+            if x < leader:
+                shared[i, column[x]] = 1
+
+    def wanted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        together = pivot[a] == pivot[b]
+        undecided = (pivot[a] == leader) & (cost[a] + cost[b] > limit[a])
+        elsewhere = shared[a[:, 0]] @ shared[b[0]].T > 0
+        return np.where(together, undecided, ~elsewhere)
+
     parent = list(range(len(rows)))
 
     def root(x: int) -> int:
@@ -151,7 +176,7 @@ def _unit(rows: list[dict], threshold: float, tolerance: float) -> list[tuple[in
         return x
 
     if len(low) and len(high):
-        for i, js in similar_pairs(data, low, high, threshold, tolerance):
+        for i, js in similar_pairs(data, low, high, wanted, threshold, tolerance):
             links[i] += copies[js].sum()
             links[js] += copies[i]
             for j in js:
@@ -159,89 +184,94 @@ def _unit(rows: list[dict], threshold: float, tolerance: float) -> list[tuple[in
     least: dict[int, int] = {}
     for i in np.flatnonzero(links):
         r = root(int(i))
-        least[r] = min(least.get(r, rows[i]["rep"]), rows[i]["rep"])
-    return [(rows[i]["rep"], int(links[i]), least[root(int(i))]) for i in np.flatnonzero(links)]
-
-
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """One row per input row: id, class_id (the least id of its group of links), n_links, copy_of.
+        least[r] = min(least.get(r, rows[i]["node"]), rows[i]["node"])
+    return [(rows[i]["node"], int(links[i]), least[root(int(i))]) for i in np.flatnonzero(links)]
 
-    n_links counts the other documents whose word n-gram sets have a Jaccard
-    similarity of ``threshold`` or more with the row's, exact copies included;
-    copy_of is the least id with an equal set. The columns are derived from
-    links between different texts; a copy's links are its text's.
-
-    Defined cases: words are ASCII-lower-cased runs between ASCII white space;
-    a text of 1 to n - 1 words is one shingle; texts without words (null,
-    empty) and rows without an id have no links and are classes of their own.
-    Rows that share an id are one document if their texts are equal, and one
-    class otherwise. An empty table gives no rows.
-    """
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+def _sign(n: int):
     def sign(batches: Iterator) -> Iterator:
+        import hashlib
+
         import pyarrow as pa
         import xxhash
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                digest, found = [], []
+                row, digest, found = [], [], []
                 for text in batch.column(1):
-                    own = shingles(text.as_py(), n)
+                    raw = (text.as_buffer() or b"") and text.as_buffer().to_pybytes()
+                    own = shingles(raw, n)
+                    row.append(hashlib.md5(raw, usedforsecurity=False).digest())
                     digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                     found.append(bands(signature(own)).tobytes() if len(own) else None)
-                yield pa.record_batch([batch.column(0), pa.array(digest, pa.binary()), pa.array(found, pa.binary())], names=["id", "digest", "bands"])
+                yield pa.record_batch([batch.column(0), *(pa.array(x, pa.binary()) for x in (row, digest, found))], names=["id", "row", "digest", "bands"])
 
-    signed = materialise(docs.mapInArrow(sign, "id long, digest binary, bands binary"), "signatures")
-    texts = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    reps = materialise(texts.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "texts")
+    return sign
 
-    def deal(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            found = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(2)]) if batch.num_rows else np.zeros(0, np.int64)
-            digest = np.array([int.from_bytes(x.as_py()[:8], "little", signed=True) for x in batch.column(1)], np.int64)
-            yield pa.record_batch([pa.array(found), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(digest, BANDS))], names=["bucket", "id", "digest"])
-
-    dealt = texts.mapInArrow(deal, "bucket long, id long, digest long")
-    # Buckets with different texts; partial aggregates keep a bucket of very many copies to one row per task.
-    shared = dealt.groupBy("bucket").agg(F.min("id").alias("least"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("bucket", "least")
-    shared = materialise(shared, "buckets")
-    clusters = components(dealt.join(shared, "bucket").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
-    members = materialise(reps.join(clusters, reps["rep"] == clusters["node"]).groupBy("rep").agg(F.sum("copies").alias("copies"), F.min("root").alias("cluster")), "members")
-    sizes = materialise(members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # A text is read once even if its row is repeated.
-    source = docs.join(placed, docs["id"] == placed["rep"]).groupBy("rep").agg(*[F.first(c).alias(c) for c in ("text", "copies", "cluster", "blocks", "block")])
+def _deal(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    for batch in batches:
+        found = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]) if batch.num_rows else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(found), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["bucket", "node"])
+
+
+def _shingled(n: int):
+    """Shingles and MinHash values of the texts that stand for their nodes; other texts under the same id are left out."""
 
     def shingle(batches: Iterator) -> Iterator:
+        import hashlib
+
         import pyarrow as pa
 
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                own = [shingles(x.as_py(), n) for x in batch.column(1)]
-                yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array([x.tobytes() for x in own], pa.binary()), pa.array([signature(x).tobytes() for x in own], pa.binary())], names=["rep", "copies", "cluster", "blocks", "block", "shingles", "values"])
+                keep, sets = [], []
+                for k, (row, text) in enumerate(zip(batch.column(1), batch.column(2))):
+                    raw = text.as_buffer().to_pybytes()
+                    if hashlib.md5(raw, usedforsecurity=False).digest() == row.as_py():
+                        keep.append(k)
+                        sets.append(shingles(raw, n))
+                yield pa.record_batch([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([signature(x).tobytes() for x in sets], pa.binary())], names=["node", "shingles", "values"])
 
-    ready = source.mapInArrow(shingle, "rep long, copies long, cluster long, blocks int, block int, shingles binary, values binary")
-    units = ready.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "shingles", "values"
-    )
+    return shingle
+
+
+def _measure(threshold: float):
+    """Each text against its pivot: its cost, and the limit of two costs."""
+
+    def measure(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                cost, limit = [], []
+                for own, pivot in zip(batch.column(1), batch.column(2)):
+                    own, pivot = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
+                    both = len(np.intersect1d(own, pivot, assume_unique=True))
+                    cost.append(round(COST * (len(pivot) - both + threshold * (len(own) - both))))
+                    limit.append(round(COST * (1 - threshold) * len(pivot)))
+                yield pa.record_batch([batch.column(0), pa.array(cost, pa.int64()), pa.array(limit, pa.int64())], names=["node", "cost", "limit"])
+
+    return measure
 
+
+def _verify(threshold: float, tolerance: float):
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         key, held = None, []
 
         def out(rows: list) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([],) * 3)], names=["rep", "links", "least"])
+            return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([],) * 3)], names=["node", "links", "least"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                own = row["cluster"], row["low"], row["high"]
+                own = row["leader"], row["low"], row["high"]
                 if own != key:
                     if len(held) > 1:
                         yield out(_unit(held, threshold, tolerance))
@@ -250,12 +280,99 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         if len(held) > 1:
             yield out(_unit(held, threshold, tolerance))
 
-    found = units.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "rep").mapInArrow(verify, "rep long, links long, least long")
+    return verify
+
+
+def _certain(measured: DataFrame) -> DataFrame:
+    """(node, certain, pivot) of the texts linked to their pivot: how many documents of the pivot's other texts their costs alone link them to.
+
+    Sums run over the costs of a pivot, whose number its length bounds, not over its texts.
+    """
+    near = measured.filter("cost <= limit")
+    sums = materialise(near.groupBy("pivot", "limit", "cost").agg(F.sum("copies").alias("w")), "costs")
+    nothing = F.lit(0).cast("long")
+    events = sums.select("pivot", F.col("cost").alias("x"), F.lit(0).alias("kind"), "w", nothing.alias("cost")).unionByName(
+        sums.select("pivot", (F.col("limit") - F.col("cost")).alias("x"), F.lit(1).alias("kind"), nothing.alias("w"), "cost")
+    )
+    upto = Window.partitionBy("pivot").orderBy("x", "kind", "cost").rowsBetween(Window.unboundedPreceding, 0)
+    reach = events.withColumn("reach", F.sum("w").over(upto)).filter("kind = 1").select("pivot", "cost", "reach")
+    own = F.when(2 * F.col("cost") <= F.col("limit"), F.col("copies")).otherwise(nothing)
+    return near.join(materialise(reach, "reach"), ["pivot", "cost"]).select("node", "pivot", (F.col("reach") - own).alias("certain"))
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
+    """One row per input row: id, class_id (the least id of its group of links), n_links, copy_of, text_md5, keeper.
+
+    A document is an id with a text. n_links counts the other documents whose
+    word n-gram sets have a Jaccard similarity of ``threshold`` or more with the
+    row's, exact copies included; copy_of is the least id with an equal set.
+    keeper marks one document of each class, that of the least id and then the
+    least text digest.
+
+    Defined cases: words are ASCII-lower-cased runs between ASCII white space;
+    a text of 1 to n - 1 words is one shingle; texts without words (null,
+    empty) and rows without an id have no links, are classes of their own and
+    keepers. Repeated rows are one document. Rows that share an id but not the
+    text are different documents, told apart by text_md5. Very long texts are
+    shingled whole. An empty table gives no rows. Other columns are ignored.
+    """
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = materialise(docs.mapInArrow(_sign(n), "id long, row binary, digest binary, bands binary"), "signatures")
+    texts = signed.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
+    # One node per different shingle set. Partial aggregates keep very many copies to one row per task.
+    documents = texts.groupBy("digest", "id", "row").agg(F.first("bands").alias("bands"))
+    reps = documents.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "digest", "rep", "copies", "bands"), "texts")
+
+    dealt = reps.select("node", "bands").mapInArrow(_deal, "bucket long, node long")
+    led = materialise(dealt.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").select("bucket", "leader"), "buckets")
+    stars = materialise(dealt.join(led, "bucket").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("buckets")), "stars")
+    chosen = stars.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("leaders"), F.max(F.struct("buckets", (-F.col("leader")).alias("m")))["m"].alias("m")).select("node", "leaders", (-F.col("m")).alias("pivot"))
+    chosen = materialise(chosen, "chosen")
+    pivots = materialise(chosen.select("pivot").distinct(), "pivots")
+    # A pivot is its own.
+    own = pivots.select(F.col("pivot").alias("self"))
+    chosen = chosen.join(own, chosen["node"] == own["self"], "left").select("node", "leaders", F.coalesce("self", "pivot").alias("pivot"))
+
+    members = chosen.join(reps.select("node", "rep", "copies"), "node")
+    wanted = members.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.row").alias("row"))
+    source = docs.join(wanted, docs["id"] == wanted["rep_id"]).select("node", "row", F.coalesce("text", F.lit("")).alias("text"))
+    # A text is read once even if its row is repeated.
+    ready = source.mapInArrow(_shingled(n), "node long, shingles binary, values binary").groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("values").alias("values"))
+    ready = materialise(ready, "shingles", "zstd")
+    of_pivot = ready.join(pivots, ready["node"] == pivots["pivot"]).select("pivot", F.col("shingles").alias("theirs"))
+    compared = ready.join(chosen.select("node", "pivot"), "node").join(of_pivot, "pivot").select("node", "shingles", "theirs")
+    costs = compared.mapInArrow(_measure(threshold), "node long, cost long, limit long")
+    measured = materialise(costs.join(members.select("node", "leaders", "pivot", "copies"), "node"), "measured")
+
+    certain = materialise(_certain(measured), "certain")
+
+    # The bulk of a leader's texts have one pivot and, if that is the leader, low costs: no two of them are compared here.
+    at = measured.select("node", "leaders", "pivot", "copies", "cost", "limit", F.explode("leaders").alias("leader"))
+    at = at.withColumn("alike", (F.col("pivot") != F.col("leader")) | (2 * F.col("cost") <= F.col("limit")))
+    sizes = at.groupBy("leader", "pivot", "alike").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("leader").agg(F.sum("n").alias("every"), F.max(F.when(F.col("alike"), F.struct("n", "pivot"))).alias("bulk"))
+    sizes = sizes.select("leader", F.coalesce("bulk.n", F.lit(0)).alias("alike_n"), (F.col("every") - F.coalesce("bulk.n", F.lit(0))).alias("rest"), F.col("bulk.pivot").alias("bulk"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = materialise(sizes.filter("rest > 0").select("leader", "bulk", blocks("rest").alias("first"), (blocks("rest") + blocks("alike_n")).alias("blocks")), "leaders")
+    placed = at.join(sizes, "leader").withColumn("__bulk", F.col("alike") & F.col("pivot").eqNullSafe(F.col("bulk")))
+    deal = F.pmod(F.xxhash64("node", "leader"), F.when(F.col("__bulk"), F.col("blocks") - F.col("first")).otherwise(F.col("first")))
+    placed = placed.withColumn("block", (F.when(F.col("__bulk"), F.col("first")).otherwise(F.lit(0)) + deal).cast("int"))
+    # The rest's blocks meet all blocks, the bulk's only the rest's.
+    others = F.sequence(F.lit(0), F.when(F.col("__bulk"), F.col("first")).otherwise(F.col("blocks")) - 1)
+    placed = placed.withColumn("other", F.explode(others)).select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "pivot", "cost", "limit", "leaders")
+    units = materialise(placed, "units").join(ready, "node")
+    found = units.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high", "node").mapInArrow(_verify(threshold, tolerance), "node long, links long, least long")
     found = materialise(found, "links")
-    groups = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = groups.withColumnRenamed("node", "rep").withColumnRenamed("root", "group")
-    known = materialise(reps.join(counts, "rep", "left").join(groups, "rep", "left").select("digest", "rep", F.coalesce("group", "rep").alias("group"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
-    linked = texts.select("id", "digest").join(known, "digest").select(F.col("id").alias(id_col), F.col("group").alias("class_id"), F.col("links").alias("n_links"), F.col("rep").alias("copy_of"))
-    alone = signed.filter(F.col("digest").isNull() | F.col("id").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("copy_of"))
+
+    edges = found.select(F.col("node").alias("a"), F.col("least").alias("b")).unionByName(certain.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    groups = components(edges)
+    counts = found.select("node", "links").unionByName(certain.select("node", F.col("certain").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
+    known = reps.select("node", "digest", "rep", "copies").join(counts, "node", "left").join(groups, "node", "left")
+    known = materialise(known.select("digest", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
+    heads = materialise(known.groupBy("root").agg(F.min("rep").alias("head")), "heads")
+    known = known.join(heads, "root").select("digest", F.col("rep.id").alias("copy_of"), F.col("head.id").alias("class_id"), F.col("head.row").alias("head"), "links")
+    md5 = F.lower(F.hex("row")).alias("text_md5")
+    linked = texts.select("id", "row", "digest").join(known, "digest").select(F.col("id").alias(id_col), "class_id", F.col("links").alias("n_links"), "copy_of", md5, ((F.col("id") == F.col("class_id")) & (F.col("row") == F.col("head"))).alias("keeper"))
+    alone = signed.filter(F.col("digest").isNull() | F.col("id").isNull()).select(F.col("id").alias(id_col), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("copy_of"), md5, F.lit(True).alias("keeper"))
     return linked.unionByName(alone)

@@ -144,6 +144,7 @@ def test_quality_odd(spark):
 
 
 def brute_links(rows):
+    """(id, class, links, text) of each document, by comparing all pairs; rows: different (id, text)."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
@@ -158,27 +159,85 @@ def brute_links(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            if both and rows[i][0] is not None and rows[j][0] is not None and both >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 links[i] += 1
                 links[j] += 1
-                a, b = sorted((root(i), root(j)))
-                parent[b] = a
-    return [(rows[i][0], rows[root(i)][0], links[i]) for i in range(len(rows))]
+                parent[root(i)] = root(j)
+    least = {}
+    for i in range(len(rows)):
+        if rows[i][0] is not None:
+            least[root(i)] = min(least.get(root(i), rows[i][0]), rows[i][0])
+    return [(rows[i][0], least.get(root(i)), links[i], hashlib.md5((rows[i][1] or "").encode()).hexdigest()) for i in range(len(rows))]
 
 
-def test_ngram_join(spark):
-    rng = random.Random(2)
+def joined(df):
+    got = ngram_join(df).collect()
+    key = lambda r: tuple((x is None, x or 0) if not isinstance(x, str) else x for x in r)
+    return got, sorted(((r.doc_id, r.class_id, r.n_links, r.text_md5) for r in got), key=key), key
+
+
+def near_copies(rng, bases, most, sizes, edits):
     rows = []
-    for _ in range(8):
-        base = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(4, 120))]
-        for _ in range(rng.randrange(1, 14)):
+    for _ in range(bases):
+        base = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(*sizes))]
+        for _ in range(rng.randrange(1, most)):
             own = base[:]
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(edits)):
                 own[rng.randrange(len(own))] = f"v{rng.randrange(500)}"
             rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_ngram_join(spark):
+    rng = random.Random(2)
+    rows = near_copies(rng, 8, 14, (4, 120), 4)
     rows += [(len(rows) + i, "a B") for i in range(3)]
-    got = sorted(tuple(r)[:3] for r in ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == sorted(brute_links(rows))
+    got, own, key = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert own == sorted(brute_links(rows), key=key)
+    assert Counter(r.class_id for r in got if r.keeper) == Counter({r.class_id for r in got})
+
+
+@pytest.mark.parametrize("block", [192, 7])
+def test_ngram_join_large_groups(spark, monkeypatch, block):
+    """Groups of many near copies, tight and loose, in one block and in many."""
+    from tessera.llm import ngram_join as module
+
+    monkeypatch.setattr(module, "BLOCK", block)
+    rng = random.Random(12)
+    rows = near_copies(rng, 3, 160, (60, 400), 4) + near_copies(rng, 2, 90, (60, 100), 9)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    _, own, key = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = sorted(brute_links(rows), key=key)
+    links = sum(r[2] for r in want)
+    assert links > 5000 and sum(abs(a[2] - b[2]) for a, b in zip(own, want)) <= 0.001 * links and all(a[2] <= b[2] for a, b in zip(own, want))
+
+
+def test_ngram_join_certain_links(spark):
+    """A tight group of m texts is linked by costs: no unit compares its pairs."""
+    from tessera.llm import ngram_join as module
+
+    base = [f"v{k}" for k in range(2000)]
+    rows = [(i, " ".join([*base[: 3 * i], f"new{i}", *base[3 * i + 1 :]])) for i in range(300)]
+    seen, before = [], module._verify
+    module._verify = lambda *a: seen.append(a) or (lambda batches: (b for b in batches if False))
+    try:
+        got = ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        module._verify = before
+    assert seen and all(r.n_links == 299 and r.class_id == 0 for r in got)
+
+
+def test_ngram_join_repeated_ids(spark):
+    """Two texts under one id, each with a near copy: both links are found, in either order of rows."""
+    rng = random.Random(3)
+    one, two = ([f"w{rng.randrange(900)}" for _ in range(80)] for _ in range(2))
+    near = lambda t: " ".join([*t[:40], "changed", *t[41:]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (None, " ".join(one)), (None, " ".join(one))]
+    for order in (rows, rows[::-1]):
+        got, own, key = joined(spark.createDataFrame(order, "doc_id long, text string").coalesce(1))
+        assert {(r.doc_id, r.n_links) for r in got} == {(1, 1), (2, 1), (3, 1), (None, 0)} and sum(r.n_links for r in got) == 4
+        assert sorted((r.doc_id, r.class_id) for r in got if r.doc_id) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+        assert sum(r.keeper for r in got if r.doc_id) == 2 and all(r.keeper for r in got if r.doc_id is None)
 
 
 def test_ngram_join_odd(spark):
