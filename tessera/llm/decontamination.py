@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Coordinates per LSH key, keys drawn from each walk, and the most walks.
-SAMPLE, KEYS_PER_WALK, MAX_WALKS = 6, 24, 24
+from tessera.llm.common import materialise
+
+#: Coordinates per LSH key, keys drawn from each walk, and the walks after which an index that misses its recall is refused.
+SAMPLE, KEYS_PER_WALK, MAX_WALKS = 6, 24, 96
 #: Items that one broadcast index holds; larger benchmarks are searched in blocks.
 BLOCK_ITEMS = 20_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -152,15 +154,22 @@ class Index:
                         key = _hash(key * _MIX + embedded[(u * 3 * lengths).astype(np.int64), every].astype(np.uint64), 7)
                 yield key
 
-    def _walks_for(self, recall: float, trials: int = 256) -> int:
-        """Walks until simulated pairs at the full distance meet in some key with probability ``recall``."""
-        if not self.by_length:
-            return 0
-        lengths = np.array(list(self.by_length))
-        middle = int(lengths[np.argmin(np.abs(lengths - np.median([len(r) for r in self.rows])))])
-        # Short and long items bear other shares of edits than the middle ones.
-        least = min((n for n in self.by_length if self.reach(n)), default=middle)
-        return max(self._walks_at(n, recall, trials) for n in {least, middle, max(self.by_length)})
+    def _walks_for(self, recall: float) -> int:
+        """Walks until simulated pairs at the full distance meet in some key with probability ``recall``, whatever the item's length.
+
+        Of the lengths that allow equally many edits the least bears the largest
+        share of them, so that one is simulated for each number of edits; of
+        large numbers, those about a quarter apart.
+        """
+        least: dict[int, int] = {}
+        for n in self.by_length:
+            least.setdefault(self.reach(n), n)
+        fitted, last = 0, 0
+        for k, n in least.items():
+            if k <= 8 or k >= 1.25 * last or k == max(least):
+                last = k
+                fitted = max(fitted, self._walks_at(n, recall, max(64, min(256, 2048 // (2 * k + 1)))))
+        return fitted
 
     def _walks_at(self, n: int, recall: float, trials: int) -> int:
         """The same for items of n words."""
@@ -186,11 +195,12 @@ class Index:
                 met |= (y.reshape(4, trials, 2 * k + 1) == x[:, None]).any(axis=2)
             if met.mean(axis=1).min() >= recall:
                 return walk + 1
-        return MAX_WALKS
+        raise ValueError(f"{MAX_WALKS} walks do not reach a recall of {recall} for items of {n} words; lower the recall or the distance")
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item, distance, first word, words) of the best passage of every row and item within reach."""
         windows: list[tuple[int, int, int]] = []
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         get, streams = self.vocabulary.get, []
         for i, text in enumerate(texts):
             own = words_of(text)
@@ -215,9 +225,11 @@ class Index:
                 for n in self.by_length:
                     if self.gram_size(n) == q:
                         windows += [(i, s, n) for s in self._starts(at[(which >> self.bit[n]) & np.uint64(1) > 0], n, q, len(stream))]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for at in range(0, len(windows), 10_000):
-            self._verify(windows[at : at + 10_000], streams, best)
+            while len(windows) >= 10_000:
+                self._verify(windows[:10_000], streams, best)
+                del windows[:10_000]
+        if windows:
+            self._verify(windows, streams, best)
         return [(i, j, *best[i, j]) for i, j in sorted(best)]
 
     def _starts(self, at: np.ndarray, n: int, q: int, size: int) -> list[int]:
@@ -286,8 +298,21 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterato
     yield held
 
 
-def _indexes(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, max_ratio: float, recall: float, block: int) -> list:
-    return [spark.sparkContext.broadcast(Index(part, max_ratio, recall)) for part in _blocks(items, id_col, text_col, block)]
+def _each_block(df: DataFrame, items: DataFrame, id_col: str, text_col: str, max_ratio: float, recall: float, block: int, search, after) -> list[DataFrame]:
+    """``search`` over a broadcast index of each block of items in turn. With several blocks each result is written, and its index given up, before the next."""
+    spark, out = df.sparkSession, []
+    blocks = _blocks(items, id_col, text_col, block)
+    held = next(blocks)
+    while held is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(Index(held, max_ratio, recall))
+        found = search(out[-1] if out and after else df, shared)
+        if following is not None or out:
+            found = materialise(found, "searched")
+            shared.destroy()
+        out.append(found)
+        held = following
+    return out
 
 
 def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.15, recall: float = 0.99, block_items: int = BLOCK_ITEMS) -> DataFrame:
@@ -295,16 +320,19 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
     An item of n words is found where a passage of any length is within
     ``max_ratio`` * n word edits of it; the nearest, then first and then longest
-    passage is named. Defined cases: null and empty texts and
-    items without words match nothing; repeated rows and items are each
-    reported; null ids are carried; an empty table on either side gives no rows.
+    passage is named. Defined cases: null and empty texts and items without
+    words match nothing; very long texts are searched whole; repeated rows and
+    items are each reported; null ids are carried; an empty table on either side
+    gives no rows. Other columns are ignored. A recall that the index cannot
+    reach for some length of item is refused with ValueError.
     """
-    spark = df.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
     id_type, item_type = dict(df.dtypes)[id_col], dict(items.dtypes)[item_id_col]
-    parts = []
-    for shared in _indexes(spark, items, item_id_col, item_text_col, max_ratio, recall, block_items):
+    item_arrow = to_arrow_type(items.schema[item_id_col].dataType)
 
-        def find(batches: Iterator, shared=shared) -> Iterator:
+    def search(rows: DataFrame, shared) -> DataFrame:
+        def find(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             index = shared.value
@@ -312,16 +340,15 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
                 for at in range(0, whole.num_rows, 4096):
                     batch = whole.slice(at, 4096)
                     hits = index.search(batch.column(1).to_pylist())
-                    rows, item, distance, start, n = zip(*hits) if hits else ([],) * 5
+                    own, item, distance, start, n = zip(*hits) if hits else ([],) * 5
                     yield pa.record_batch(
-                        [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([index.ids[j] for j in item], item_arrow), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())],
+                        [batch.column(0).take(pa.array(own, pa.int64())), pa.array([index.ids[j] for j in item], item_arrow), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32())],
                         names=[id_col, "item_id", "distance", "start_word", "n_words"],
                     )
 
-        from pyspark.sql.pandas.types import to_arrow_type
+        return rows.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {id_type}, item_id {item_type}, distance int, start_word long, n_words int")
 
-        item_arrow = to_arrow_type(items.schema[item_id_col].dataType)
-        parts.append(df.select(id_col, text_col).mapInArrow(find, f"`{id_col}` {id_type}, item_id {item_type}, distance int, start_word long, n_words int"))
+    parts = _each_block(df, items, item_id_col, item_text_col, max_ratio, recall, block_items, search, after=False)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -329,10 +356,16 @@ def contamination(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
 
 
 def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_ratio: float = 0.15, recall: float = 0.99, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The rows of ``df`` in which no item is found, all columns kept."""
-    for shared in _indexes(df.sparkSession, items, item_id_col, item_text_col, max_ratio, recall, block_items):
+    """The rows of ``df`` in which no item is found, all columns kept.
+
+    Defined cases: rows with a null or empty text stay, as do all rows where
+    the items are none or without words; repeated rows stay or go together; ids
+    play no part; very long texts are searched whole; an empty table gives none.
+    """
+    schema = df.schema
 
-        def clean(batches: Iterator, shared=shared) -> Iterator:
+    def search(rows: DataFrame, shared) -> DataFrame:
+        def clean(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
             index = shared.value
@@ -343,8 +376,9 @@ def decontaminate(df: DataFrame, items: DataFrame, text_col: str = "text", item_
                     mask[[h[0] for h in index.search(batch.column(batch.schema.get_field_index(text_col)).to_pylist())]] = False
                     yield batch.filter(pa.array(mask))
 
-        df = df.mapInArrow(clean, df.schema)
-    return df
+        return rows.mapInArrow(clean, schema)
+
+    return _each_block(df, items, item_id_col, item_text_col, max_ratio, recall, block_items, search, after=True)[-1]
 
 
 def contaminated_ids(df: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -125,10 +125,11 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
         e = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        parts = (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64))
+        for batch in parts:
             rows, piece, start, length, crc, local = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.concatenate([e.ids(text.as_py()).astype("<u4"), end])
+            for i, packed in enumerate(e.encode_many(batch.column(1).to_pylist())):
+                ids = np.concatenate([np.frombuffer(packed, e.dtype).astype("<u4"), end])
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     n = len(own)

@@ -222,9 +222,9 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
         e = encoder(tokenizer)
         end = np.array([end_id], dtype=e.dtype).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [e.encode(x.as_py()) + end for x in part.column(2)]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids = [x + end for x in e.encode_many(part.column(2).to_pylist())]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array([e.dtype.itemsize] * len(ids), pa.int32())], names=["shard", "id", "ids", "n", "width"])
 
     tokens = source.select(shard_of(F.col("id"), bounds).alias("shard"), "id", "text").mapInArrow(encode, "shard int, id long, ids binary, n long, width int")

@@ -108,34 +108,44 @@ class ChunkEncoder:
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of one whole text; null counts as empty."""
-        if not text:
-            return b""
-        chunks = self._chunks(text)
-        if chunks is None:
-            return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of whole texts. Their new chunks are learned together."""
+        chunked = [self._chunks(t) if t else [] for t in texts]
         if len(self.cache) > MAX_CHUNKS:
             self.old, self.cache = self.cache, {"": b""}
-        new = set(chunks).difference(self.cache)
+        new = set().union(*(c for c in chunked if c)).difference(self.cache)
         if new and self.old:
             for c in [c for c in new if c in self.old]:
                 self.cache[c] = self.old[c]
                 new.discard(c)
+        if new:
+            self._learn(new)
+        find = self.cache.__getitem__
+        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(find, c)) for t, c in zip(texts, chunked)]
+
+    def _learn(self, new: set[str]) -> None:
         if self.mode == "bare":
             words = [c for c in new if c.isalpha()]
         else:
             words = [c for c in new if c[0] == " " and c[1:].isalpha()]
+        # Words beyond Latin-1 must not keep the others from being learned together.
+        words = [w for w in words if not _WIDE.search(w)] if _WIDE.search("".join(words)) else words
         rest = list(new.difference(words)) if self._learn_words(words) else list(new)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[c] = self._pack(e.ids)
-        return b"".join(map(self.cache.__getitem__, chunks))
 
     def _learn_words(self, words: list[str]) -> bool:
         """Cache words of Latin letters from one encoding of them all; false, and nothing cached, if they don't come apart."""
         joined = (" " if self.mode == "bare" else "").join(words)
         if not words or _WIDE.search(joined):
             return False
+        if len(words) > 1024:
+            half = len(words) // 2
+            return self._learn_words(words[:half]) and self._learn_words(words[half:])
         ids = self._np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
         at = self._np.flatnonzero(self.edges[ids]) + (self.mode == "bare")
         if len(at) != len(words):

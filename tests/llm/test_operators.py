@@ -586,6 +586,33 @@ def test_exact_passages_are_found():
     assert {(r, i) for r, i, *_ in index.search(["x " + texts[0] + " y", texts[1], "nothing here"])} == {(0, 0), (1, 1)}
 
 
+def test_recall_at_every_length():
+    """Passages at the full distance, with words replaced, inserted and deleted, for items of many lengths."""
+    rng = random.Random(9)
+    sizes = [7, 8, 13, 14, 20, 27, 36, 47, 59, 80, 150]
+    items = [[f"i{k}w{rng.randrange(400)}" for x in range(n)] for k, n in enumerate(sizes)]
+    index = Index([(k, " ".join(own)) for k, own in enumerate(items)], 0.15, 0.99)
+    texts, want = [], set()
+    for trial in range(60 * len(sizes)):
+        k = trial % len(sizes)
+        own = list(items[k])
+        for _ in range(int(0.15 * sizes[k])):
+            at, kind = rng.randrange(max(1, len(own))), rng.randrange(3)
+            own[at : at + (kind != 1)] = [] if kind == 2 else [f"x{rng.randrange(9)}"]
+        texts.append(" ".join([f"b{x}" for x in range(30)] + own + [f"z{x}" for x in range(30)]))
+        want.add((trial, k))
+    got = Counter(k for i, k, *_ in index.search(texts) if (i, k) in want)
+    assert sum(got.values()) >= 0.98 * len(want) and min(got[k] for k in range(len(sizes))) >= 0.93 * 60
+
+
+def test_recall_out_of_reach_is_refused(monkeypatch):
+    from tessera.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "MAX_WALKS", 1)
+    with pytest.raises(ValueError, match="recall"):
+        Index([(1, " ".join(f"w{i}" for i in range(40)))], 0.3, 0.9999)
+
+
 def test_shifted_passages_are_found():
     rng = random.Random(3)
     sizes = [8, 13, 20, 40, 60]
