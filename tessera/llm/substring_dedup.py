@@ -7,7 +7,8 @@ windows have equal anchors at equal offsets. Consecutive windows with one
 anchor form a run, and the anchor is the run's key: runs with one key go to one
 shard. A run alone under its key holds no repeat and is left out. Of runs with
 equal bytes a shard gets one, twice if there are several, and what the array
-says of it holds for all of them. A key with more text than a shard holds is
+says of it holds for all of them. Neighbouring runs that have nothing but copies
+under their keys go to a shard as one stretch of text. A key with more text than a shard holds is
 divided: windows are split by the anchor's offset in them, and those of one half
 share more bytes around the anchor, which are digested into the new key. This
 goes on until every key fits; at the end a key would be one window.
@@ -33,6 +34,8 @@ SEGMENT = 1 << 19
 _PLACE = np.uint64(20)
 #: Bytes of one suffix array. A key with more is divided.
 SHARD = 1 << 20
+#: Bytes of a stretch of neighbouring runs.
+STRETCH = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -143,28 +146,50 @@ def _find(length: int):
 
 
 PIECE = "key long, digest long, copies int, low int, high int, place int, data binary"
+#: The runs of a stretch, one after another; null for a piece of one run.
+RUNS = "array<struct<anchor:long,digest:long,windows:long>>"
 
 
 def _cut(length: int):
-    """The bytes of the wanted runs of each text, as pieces."""
+    """The bytes of the wanted runs of each text, as pieces; neighbours with only copies under their keys as one."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
         import zstandard
 
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["key", "digest", "copies", "low", "high", "place", "data"]
+        own_runs = pa.list_(pa.struct([("anchor", pa.int64()), ("digest", pa.int64()), ("windows", pa.int64())]))
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), own_runs]
+        names = ["key", "digest", "copies", "low", "high", "place", "data", "runs"]
         unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             rows, size = [], 0
-            for zipped, cuts in zip(batch.column(0), batch.column(1)):
+            for row, zipped, cuts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data = unzip.decompress(zipped.as_buffer())
-                for c in cuts.as_py():
+                begin, end, held = 0, -1, []
+
+                def close():
+                    own = data[begin : end + length - 1]
+                    rows.append((_signed(xxhash.xxh3_64_intdigest(b"%d %d" % (row, begin))), 0, 2, 0, 0, 0, own, held))
+                    return len(own)
+
+                for c in sorted(cuts.as_py(), key=lambda c: c["at"]):
                     at = c["at"]
                     first, windows, place = at >> 24, at >> 12 & 4095, at & 4095
-                    own = data[first : first + windows + length - 1]
-                    rows.append((c["anchor"], c["digest"], c["copies"], 0, length - GRAM + 1, place, own))
-                    size += len(own)
+                    if c["sole"]:
+                        if held and (first != end or end - begin > STRETCH):
+                            size += close()
+                            held = []
+                        if not held:
+                            begin = first
+                        end = first + windows
+                        held.append({"anchor": c["anchor"], "digest": c["digest"], "windows": windows})
+                    else:
+                        own = data[first : first + windows + length - 1]
+                        rows.append((c["anchor"], c["digest"], c["copies"], 0, length - GRAM + 1, place, own, None))
+                        size += len(own)
+                if held:
+                    size += close()
                 if size > 4 << 20:
                     yield _batch(rows, types, names)
                     rows, size = [], 0
@@ -203,25 +228,30 @@ def _sort(length: int, shard: int):
 
         types, names = [pa.int64()] * 4, ["key", "digest", "first", "last"]
 
-        def array(pieces: list[tuple[int, int, int, bytes]]) -> list[tuple]:
+        def array(pieces: list[tuple]) -> list[tuple]:
             out = []
             starts = repeated_starts([x[3] for x in pieces for _ in range(x[2])], length)
             at = 0
-            for key, digest, copies, _ in pieces:
+            for key, digest, copies, data, runs in pieces:
                 own = starts[at]
                 at += copies
-                if len(own):
-                    edge = np.flatnonzero(np.diff(own) > 1)
-                    out += [(key, digest, a, b) for a, b in zip(own[np.concatenate([[0], edge + 1])].tolist(), own[np.concatenate([edge, [len(own) - 1]])].tolist())]
+                offset = 0
+                for r in runs or ({"anchor": key, "digest": digest, "windows": len(data) - length + 1},):
+                    to = offset + r["windows"]
+                    part = own[np.searchsorted(own, offset) : np.searchsorted(own, to)] - offset
+                    offset = to
+                    if len(part):
+                        edge = np.flatnonzero(np.diff(part) > 1)
+                        out += [(r["anchor"], r["digest"], a, b) for a, b in zip(part[np.concatenate([[0], edge + 1])].tolist(), part[np.concatenate([edge, [len(part) - 1]])].tolist())]
             return out
 
         held, size = [], 0
         for batch in batches:
-            for key, digest, copies, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for key, digest, copies, data, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4)):
                 if held and size > shard and key != held[-1][0]:
                     yield _batch(array(held), types, names)
                     held, size = [], 0
-                held.append((key, digest, copies, data.as_py()))
+                held.append((key, digest, copies, data.as_py(), runs.as_py()))
                 size += copies * len(held[-1][3])
         if held:
             yield _batch(array(held), types, names)
@@ -276,13 +306,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialise(docs.mapInArrow(_zip, "row long, id long, data binary"), "texts", "uncompressed")
 
     every = materialise(texts.select("row", "data").mapInArrow(_find(length), "row long, anchor long, digest long, at long"), "runs")
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("sole")).filter("n > 1").select("anchor", "sole")
     shared = materialise(every.join(materialise(anchors, "anchors"), "anchor"), "shared-runs")
     # One text of each different run, and whether there are several.
-    different = shared.groupBy("anchor", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("row", "at")).alias("one"))
-    different = materialise(different.select("anchor", "digest", "copies", "one.row", "one.at"), "different-runs")
-    wanted = different.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at")).alias("cuts"))
-    pieces = materialise(texts.join(wanted, "row").select("data", "cuts").mapInArrow(_cut(length), PIECE), "pieces", "zstd")
+    different = shared.groupBy("anchor", "digest", "sole").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("row", "at")).alias("one"))
+    different = materialise(different.select("anchor", "digest", "sole", "copies", "one.row", "one.at"), "different-runs")
+    wanted = different.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at", "sole")).alias("cuts"))
+    pieces = materialise(texts.join(wanted, "row").select("row", "data", "cuts").mapInArrow(_cut(length), f"{PIECE}, runs {RUNS}"), "pieces", "zstd")
 
     # Keys that are too large are divided by rounds; parts: which stretch of which run a piece is.
     todo, parts, fitting = pieces, None, []
@@ -293,8 +323,8 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             fitting.append((todo, parts))
             break
         fitting.append((todo.join(large, "key", "left_anti"), parts))
-        halves = materialise(todo.join(large, "key").select(todo.columns).mapInArrow(_divide(length), "old_key long, old_digest long, shift int, " + PIECE), "halves", "zstd")
-        todo = halves.groupBy("key", "digest").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), *[F.first(c).alias(c) for c in ("low", "high", "place", "data")])
+        halves = materialise(todo.join(large, "key").select("key", "digest", "copies", "low", "high", "place", "data").mapInArrow(_divide(length), "old_key long, old_digest long, shift int, " + PIECE), "halves", "zstd")
+        todo = halves.groupBy("key", "digest").agg(F.least(F.sum("copies"), F.lit(2)).cast("int").alias("copies"), *[F.first(c).alias(c) for c in ("low", "high", "place", "data")], F.lit(None).cast(RUNS).alias("runs"))
         todo = materialise(todo, "pieces", "zstd")
         links = halves.select("key", "digest", "old_key", "old_digest", "shift")
         if parts is None:
@@ -306,7 +336,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     stretches = None
     for own, links in fitting:
-        dealt = own.select("key", "digest", "copies", "data").repartition("key").sortWithinPartitions("key", "digest")
+        dealt = own.select("key", "digest", "copies", "data", "runs").repartition("key").sortWithinPartitions("key", "digest")
         found = dealt.mapInArrow(_sort(length, shard), "key long, digest long, first long, last long")
         if links is None:
             found = found.select(F.col("key").alias("anchor"), F.col("digest"), "first", "last")

@@ -10,73 +10,83 @@ from __future__ import annotations
 import numpy as np
 
 
-def _scan(s: np.ndarray, sa: np.ndarray, chosen: np.ndarray, begin: np.ndarray, stop: np.ndarray, front: np.ndarray) -> None:
-    """Induce the suffixes marked in ``chosen`` from those in ``sa``, by ascending rank.
+def _scan(sa: np.ndarray, leads: np.ndarray, begin: np.ndarray, stop: np.ndarray, front: np.ndarray) -> None:
+    """Induce suffixes from those in ``sa``, by ascending rank.
 
-    Bucket c is sa[begin[c]:stop[c]]; new suffixes are placed from front[c] on.
-    Unused places of ``sa`` hold -1. The descending scan is this one over
-    reversed arrays with complemented characters.
+    ``leads``: the bucket of each suffix's predecessor, or -1 where that is not
+    to be placed; its last entry, -1, is for the unused places of ``sa``, which
+    hold -1. Bucket c is sa[begin[c]:stop[c]]; new suffixes go from front[c] on.
+    The descending scan is this one over reversed arrays.
     """
     buckets, at, width = len(begin), 0, 64
+    starts, stops = begin.tolist(), stop.tolist()
+    narrow = np.uint16 if buckets <= 1 << 16 else np.int32  # short keys are sorted by their digits
     while at < buckets:
         # Suffixes of the bucket itself come first: each wave is the predecessors of the one before.
-        wave = sa[begin[at] : front[at]]
+        end = int(front[at])
+        wave = sa[starts[at] : end]
         while len(wave):
-            before = wave[wave > 0] - 1
-            before = before[chosen[before] & (s[before] == at)]
-            sa[front[at] : front[at] + len(before)] = before
-            front[at] += len(before)
-            wave = before
+            wave = wave[leads[wave] == at] - 1
+            sa[end : end + len(wave)] = wave
+            end += len(wave)
+        front[at] = end
         to = min(buckets, at + width)
-        own = sa[begin[at] : stop[to - 1]]
-        before = own[own > 0] - 1
-        before = before[chosen[before]]
-        target = s[before]
-        away = target > at
-        before, target = before[away], target[away]
-        if to > at + 1 and len(target) and (least := int(target.min())) < to:
-            # Buckets from the first one reached are not complete yet.
-            to = max(at + 1, least)
-            own = sa[begin[at] : stop[to - 1]]
-            before = own[own > 0] - 1
-            before = before[chosen[before]]
-            target = s[before]
-            away = target > at
-            before, target = before[away], target[away]
-        if len(before):
-            by = np.argsort(target, kind="stable")
-            target, before = target[by], before[by]
-            first = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
-            size = np.diff(np.concatenate([first, [len(target)]]))
-            sa[front[target] + np.arange(len(target)) - np.repeat(first, size)] = before
-            front[target[first]] += size
+        own = sa[starts[at] : stops[to - 1]]
+        target = leads[own]
+        if to > at + 1:
+            inside = target[(target > at) & (target < to)]
+            if len(inside):
+                # Buckets from the first one reached on are not complete yet.
+                to = max(at + 1, int(inside.min()))
+                own = own[: stops[to - 1] - starts[at]]
+                target = target[: len(own)]
+        kept = np.flatnonzero(target > at)
+        if len(kept):
+            target = target[kept]
+            by = np.argsort(target.astype(narrow), kind="stable")
+            target = target[by]
+            first = np.empty(len(target), bool)
+            first[0] = True
+            np.not_equal(target[1:], target[:-1], out=first[1:])
+            first = np.flatnonzero(first)
+            size = np.empty(len(first), np.int64)
+            size[:-1] = first[1:] - first[:-1]
+            size[-1] = len(target) - first[-1]
+            reached = target[first]
+            sa[np.repeat(front[reached] - first, size) + np.arange(len(target))] = own[kept[by]] - 1
+            front[reached] += size
         width = max(1, min(1 << 16, 2 * (to - at)))
         at = to
 
 
+def _leads(s: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    out = np.full(len(s) + 1, -1, np.int32)
+    out[1:-1] = s[:-1]
+    out[1:-1][~chosen[:-1]] = -1
+    return out
+
+
 def _induced(s: np.ndarray, k: int, small: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """The order of all suffixes that the order of the leftmost smaller ones, ``stars``, induces."""
     n = len(s)
     size = np.bincount(s, minlength=k)
     stop = np.cumsum(size)
     begin = stop - size
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     # The leftmost smaller suffixes at their buckets' ends, in order.
     chars = s[stars]
     by = np.argsort(chars, kind="stable")
     count = np.bincount(chars, minlength=k)
     first = np.cumsum(count) - count
     sa[(stop - count)[chars[by]] + np.arange(len(by)) - first[chars[by]]] = stars[by]
-    _scan(s, sa, ~small, begin, stop, begin.copy())
+    _scan(sa, _leads(s, ~small), begin, stop, begin.copy())
     # The larger ones are in place; the smaller ones are placed anew, from the largest down.
-    held = sa >= 0
-    sa[held & small[np.maximum(sa, 0)]] = -1
+    sa[np.append(small, False)[sa]] = -1
     sa[0] = n - 1  # the end mark is the one smaller suffix that nothing precedes
-    back = sa[::-1]
-    mirrored = k - 1 - s
     front = (n - stop)[::-1].copy()
     front[k - 1] += 1
-    _scan(mirrored, back, small, (n - stop)[::-1], (n - begin)[::-1], front)
+    down = _leads((k - 1 - s).astype(np.int32), small)
+    _scan(sa[::-1], down, (n - stop)[::-1], (n - begin)[::-1], front)
     return sa
 
 
@@ -102,10 +112,10 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     names repeat, the string of names is sorted recursively; one more induction
     from the sorted leftmost smaller suffixes places all others.
     """
-    s = np.asarray(s, np.int64)
+    s = np.asarray(s, np.uint16 if k <= 1 << 16 else np.int32)
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     # A suffix compares with its successor as its character does with the next different one.
     change = np.flatnonzero(s[1:] != s[:-1])
     up = np.concatenate([s[change] < s[change + 1], [True]])
@@ -118,10 +128,10 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     is_star = np.zeros(n, bool)
     is_star[stars] = True
     ordered = rough[is_star[rough]]
-    size = np.zeros(n, np.int64)
+    size = np.zeros(n, np.int32)
     size[stars] = np.diff(np.concatenate([stars, [n - 1]])) + 1
     new = ~_same_strings(s, ordered[:-1], ordered[1:], size[ordered[:-1]], size[ordered[1:]])
-    name = np.zeros(n, np.int64)
+    name = np.zeros(n, np.int32)
     name[ordered] = np.concatenate([[0], np.cumsum(new)])
     names = name[stars]
     different = int(names.max()) + 1
@@ -136,17 +146,15 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     therefore done at steps of 64, then 32 and so on, each starting from what
     the one before it guarantees.
     """
-    s = np.asarray(s, np.int64)
+    s = np.asarray(s)
     n = len(s)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     if n < 2:
         return out
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    # Eight characters as two words would need bytes; characters are compared in groups through a strided view.
-    wide = 8
-    padded = np.concatenate([s.astype(np.uint16), np.zeros(wide, np.uint16)]) if s.max(initial=0) < 1 << 16 else None
-    words = np.ndarray((n + wide - 3,), np.uint64, padded.tobytes(), strides=(2,)) if padded is not None else None
+    # Characters of 16 bits are compared four at a time, through a strided view.
+    words = np.ndarray((n,), np.uint64, np.concatenate([s.astype(np.uint16), np.zeros(4, np.uint16)]).tobytes(), strides=(2,)) if int(s.max()) < 1 << 16 else None
     step = 64
     while step:
         at = np.arange(0, n, step) if step == 64 else np.arange(step, n, 2 * step)
@@ -178,7 +186,7 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     """For each string, the ascending positions at which a string of ``length`` bytes begins that begins elsewhere too."""
     if not strings:
         return []
-    raw = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\0".join(strings) + b"\0\0", np.uint8).astype(np.uint16) + 2
     ends = np.cumsum([len(x) + 1 for x in strings])
     raw[ends - 1] = 1  # between strings
     raw[-1] = 0  # the end mark
