@@ -20,6 +20,7 @@ prefixes of ``length`` bytes or more tell the repeated windows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -221,18 +222,18 @@ def _divide(length: int):
 
 
 def _sort(length: int, shard: int):
-    """Suffix arrays of whole keys, up to ``shard`` bytes together: key, digest, first and last repeated window of each repeated stretch."""
+    """Suffix arrays of whole keys, up to ``shard`` bytes together: how often the piece was divided, key, digest, first and last window of each repeated stretch."""
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        types, names = [pa.int64()] * 4, ["key", "digest", "first", "last"]
+        types, names = [pa.int32(), *[pa.int64()] * 4], ["depth", "key", "digest", "first", "last"]
 
         def array(pieces: list[tuple]) -> list[tuple]:
             out = []
             starts = repeated_starts([x[3] for x in pieces for _ in range(x[2])], length)
             at = 0
-            for key, digest, copies, data, runs in pieces:
+            for key, digest, copies, data, runs, depth in pieces:
                 own = starts[at]
                 at += copies
                 offset = 0
@@ -242,16 +243,16 @@ def _sort(length: int, shard: int):
                     offset = to
                     if len(part):
                         edge = np.flatnonzero(np.diff(part) > 1)
-                        out += [(r["anchor"], r["digest"], a, b) for a, b in zip(part[np.concatenate([[0], edge + 1])].tolist(), part[np.concatenate([edge, [len(part) - 1]])].tolist())]
+                        out += [(depth, r["anchor"], r["digest"], a, b) for a, b in zip(part[np.concatenate([[0], edge + 1])].tolist(), part[np.concatenate([edge, [len(part) - 1]])].tolist())]
             return out
 
         held, size = [], 0
         for batch in batches:
-            for key, digest, copies, data, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4)):
+            for key, digest, copies, data, runs, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), batch.column(5).to_pylist()):
                 if held and size > shard and key != held[-1][0]:
                     yield _batch(array(held), types, names)
                     held, size = [], 0
-                held.append((key, digest, copies, data.as_py(), runs.as_py()))
+                held.append((key, digest, copies, data.as_py(), runs.as_py(), depth))
                 size += copies * len(held[-1][3])
         if held:
             yield _batch(array(held), types, names)
@@ -334,16 +335,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             parts = links.join(before, ["old_key", "old_digest"]).select("key", "digest", "anchor", "run", (F.col("shift") + F.col("more")).alias("shift"))
         parts = materialise(parts, "parts")
 
-    stretches = None
-    for own, links in fitting:
-        dealt = own.select("key", "digest", "copies", "data", "runs").repartition("key").sortWithinPartitions("key", "digest")
-        found = dealt.mapInArrow(_sort(length, shard), "key long, digest long, first long, last long")
-        if links is None:
-            found = found.select(F.col("key").alias("anchor"), F.col("digest"), "first", "last")
-        else:
-            found = materialise(found, "found").join(links, ["key", "digest"]).select("anchor", F.col("run").alias("digest"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last"))
-        stretches = found if stretches is None else stretches.unionByName(found)
-    stretches = materialise(stretches, "repeated")
+    every_piece = [own.select("key", "digest", "copies", "data", "runs", F.lit(k).alias("depth")) for k, (own, _) in enumerate(fitting)]
+    dealt = reduce(lambda a, b: a.unionByName(b), every_piece).repartition("key").sortWithinPartitions("key", "digest")
+    found = materialise(dealt.mapInArrow(_sort(length, shard), "depth int, key long, digest long, first long, last long"), "repeated")
+    stretches = found.filter("depth = 0").select(F.col("key").alias("anchor"), "digest", "first", "last")
+    for k, (_, links) in enumerate(fitting):
+        if k:
+            below = found.filter(F.col("depth") == k).join(links, ["key", "digest"])
+            stretches = stretches.unionByName(below.select("anchor", F.col("run").alias("digest"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")))
     holders = shared.join(stretches, ["anchor", "digest"]).select("row", (_first(F.col("at")) + F.col("first")).alias("a"), (_first(F.col("at")) + F.col("last") + length).alias("b"))
     spans = holders.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     joined = texts.join(spans, "row", "left").select("id", "data", "spans")
