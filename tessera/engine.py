@@ -17,6 +17,7 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from tessera.catalog import Catalog, Table
 from tessera.errors import QueryError
@@ -24,7 +25,7 @@ from tessera.functions.encode import item_json
 from tessera.functions.predicates import is_integer, item_expression
 from tessera.operators.forks import check_parent
 from tessera.operators.relations import comparable, related
-from tessera.operators.weights import block_weights, page, row_weight, size_columns
+from tessera.operators.weights import block_weights, fixed_weight, page, row_weight, size_columns
 from tessera.plans.planner import Plan, compile_query
 from tessera.plans.request import Query, parse_query
 from tessera.sources.chunks import TableSource
@@ -42,6 +43,7 @@ class Execution:
     budget: int | None = BUDGET
     _last: int | None = field(default=None, init=False)
     _paged: bool = field(default=False, init=False)
+    _keys: dict[str, DataFrame] = field(default_factory=dict, init=False)
 
     # ---- checks ---------------------------------------------------------
 
@@ -129,26 +131,62 @@ class Execution:
         out = reduce(lambda a, b: a.unionByName(b), parts)
         return out.dropDuplicates(list(table.key)) if len(parts) > 1 else out
 
+    def _selected(self, table: Table, last: int | None = None) -> DataFrame:
+        """A table's rows in the answer up to a block.
+
+        Rows that relations reach are selected once: their keys and weights are
+        kept, and later passes look the wide columns up by key. Rows that only
+        items take are found again by their filters, which reach the scan.
+        """
+        if not any(r.relation.target == table.name for p in self.plan.tables.values() for r in p.relations):
+            return self.items(table, last)
+        if table.name not in self._keys:
+            weight = row_weight(table, self.query.selected(table)).alias("__weight")
+            self._keys[table.name] = self.items(table).select(*[F.col(f"`{c}`") for c in table.key], weight).persist(StorageLevel.MEMORY_AND_DISK)
+        if last is None:
+            return self._keys[table.name]
+        keys = self._keys[table.name].filter(F.col(f"`{table.block}`") <= last)
+        keys = keys.select(*[F.col(f"`{c}`").alias(f"__s{i}") for i, c in enumerate(table.key)])
+        rows = self._in_range(table, last)
+        return rows.join(keys, [rows[f"`{c}`"].eqNullSafe(keys[f"__s{i}"]) for i, c in enumerate(table.key)], "left_semi")
+
+    def release(self) -> None:
+        """Give up the kept selection once the answer is written."""
+        for kept in self._keys.values():
+            kept.unpersist()
+        self._keys.clear()
+
+    def _ends(self) -> DataFrame:
+        """One row: the lowest and the highest block of the range that have headers."""
+        block = self.query.catalog.block_table
+        number = F.col(f"`{block.block}`")
+        return self.headers().agg(F.min(number).alias("__lo"), F.max(number).alias("__hi"))
+
+    def _bounded(self, rows: DataFrame, filled: Expr, number: str = "block") -> DataFrame:
+        """Rows whose blocks have items or bound the range; all of them if the request wants so."""
+        if self.query.include_all:
+            return rows
+        ends = F.broadcast(self._ends())  # one row
+        return rows.join(ends).filter(filled | (F.col(number) == F.col("__lo")) | (F.col(number) == F.col("__hi"))).drop("__lo", "__hi")
+
     def weights(self) -> DataFrame:
-        """(block, weight) of every candidate block."""
+        """(block, weight) of every candidate block, from one pass over headers and items."""
         block = self.query.catalog.block_table
         number = lambda t: F.col(f"`{t.block}`").alias("block")
         head = self.headers().select(number(block), row_weight(block, self.query.selected(block)).alias("weight"))
         own = []
         for t in self.plan.output_tables():
-            own.append(self.items(t).select(number(t), row_weight(t, self.query.selected(t)).alias("weight")))
-        total = block_weights([head, *own])
-        if self.query.include_all:
-            return total
-        ends = head.agg(F.min("block").alias("lo"), F.max("block").alias("hi")).select(F.explode(F.array("lo", "hi")).alias("block"))
-        wanted = reduce(lambda a, b: a.unionByName(b), [ends, *[o.select("block") for o in own]])
-        return total.join(wanted.distinct(), "block", "left_semi")
+            rows = self._selected(t) if self.budget is not None else self.items(t)
+            weight = F.col("__weight") if "__weight" in rows.columns else row_weight(t, self.query.selected(t))
+            own.append(rows.select(number(t), weight.alias("weight")))
+        total = block_weights(head, own)
+        # A block without a header row is no candidate's block unless it has items, as in the sum.
+        return self._bounded(total, F.col("filled")).select("block", "weight")
 
     def page(self) -> DataFrame:
-        """The blocks of the page: block, weight, total. At most budget / header weight rows."""
+        """The blocks of the page: block, weight, total. At most as many as the budget holds headers, at what a header is charged at least."""
         block = self.query.catalog.block_table
-        fixed = sum(c.weight if isinstance(c.weight, int) else 32 for c in [block.columns[block.block]])
-        return page(self.weights(), self.budget, fixed)
+        return page(self.weights(), self.budget, fixed_weight(block, self.query.selected(block)))
 
     def last_block(self) -> int | None:
         """The page's last block: where a client resumes after. None if the range is empty. One number comes to the driver."""
@@ -159,37 +197,27 @@ class Execution:
 
     # ---- answers --------------------------------------------------------
 
-    def _candidates(self, last: int) -> DataFrame:
-        """Header rows of the page's blocks. All candidates up to the last block belong to the page."""
-        block = self.query.catalog.block_table
-        head = self.headers(last)
-        if self.query.include_all:
-            return head
-        number = F.col(f"`{block.block}`")
-        whole = self.headers()  # the upper boundary is the range's, and may lie beyond the page
-        ends = whole.agg(F.min(number).alias("lo"), F.max(number).alias("hi")).select(F.explode(F.array("lo", "hi")).alias("__b"))
-        own = [df.select(F.col(f"`{t.block}`").alias("__b")) for t in self.plan.output_tables() if (df := self.items(t, last)) is not None]
-        wanted = reduce(lambda a, b: a.unionByName(b), [ends, *own]).distinct()
-        return head.join(wanted, number == wanted["__b"], "left_semi")
-
     def lines(self) -> DataFrame:
         """(block, line): one JSON object per block of the page; order by block to write them."""
         last = self.last_block() if self.budget is not None else None
         if self.budget is not None and last is None:
             return self.spark.createDataFrame([], "block long, line string")
         block = self.query.catalog.block_table
-        head = self._candidates(last) if last is not None else self._candidates(self.query.to_block)
-        out = head.select(F.col(f"`{block.block}`").alias("block"), item_json(block, self.query.selected(block), head.schema).alias("__header"))
-        text = [F.lit('{"header":'), F.col("__header")]
+        out = self.headers(last)
+        schema = out.schema
+        out = out.withColumn("__block", F.col(f"`{block.block}`"))
+        text, filled = [F.lit('{"header":'), item_json(block, self.query.selected(block), schema)], F.lit(False)
         for i, t in enumerate(self.plan.output_tables()):
-            rows = self.items(t, last)
+            rows = self._selected(t, last) if last is not None else self.items(t)
             keys = [comparable(rows, c) for c in t.key if c != t.block]
             entry = F.struct(*[k.alias(f"k{j}") for j, k in enumerate(keys)], item_json(t, self.query.selected(t), rows.schema).alias("json"))
             per_block = rows.select(F.col(f"`{t.block}`").alias("__b"), entry.alias("e")).groupBy("__b").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["json"]), ",").alias(f"__items{i}"))
-            out = out.join(per_block, out["block"] == per_block["__b"], "left").drop("__b")
+            out = out.join(per_block, F.col("__block") == F.col("__b"), "left").drop("__b")
             own = F.col(f"__items{i}")
+            filled = filled | own.isNotNull()
             text.append(F.when(own.isNotNull(), F.concat(F.lit(f',"{t.request}":['), own, F.lit("]"))).otherwise(F.lit("")))
-        return out.select("block", F.concat(*text, F.lit("}")).alias("line"))
+        # A block is a candidate if it has items, which the joins show: the tables are not read for it again.
+        return self._bounded(out, filled, "__block").select(F.col("__block").alias("block"), F.concat(*text, F.lit("}")).alias("line"))
 
     def json_lines(self) -> Iterator[str]:
         """The answer's lines in block order, each with its newline; nothing for an empty answer."""
@@ -206,8 +234,15 @@ class Execution:
         if self.budget is not None and last is None:
             return {}
         out = {}
-        for t in [self.query.catalog.block_table, *self.plan.output_tables()]:
-            rows = self._candidates(last) if t.is_block_table else self.items(t, last)
+        block = self.query.catalog.block_table
+        own = {t.name: self._selected(t, last) if self.budget is not None else self.items(t, last) for t in self.plan.output_tables()}
+        head = self.headers(last)
+        if not self.query.include_all:
+            filled = [df.select(F.col(f"`{self.query.catalog.tables[n].block}`").alias("__b")) for n, df in own.items()]
+            ends = self._ends().select(F.explode(F.array("__lo", "__hi")).alias("__b"))
+            head = head.join(reduce(lambda a, b: a.unionByName(b), [ends, *filled]).distinct(), F.col(f"`{block.block}`") == F.col("__b"), "left_semi")
+        for t in [block, *self.plan.output_tables()]:
+            rows = head if t.is_block_table else own[t.name]
             names = dict.fromkeys([t.block, *(c for f in self.query.selected(t) for c in t.fields()[f])])
             order = [F.col(f"`{c}`") for c in t.key]
             out[t.name] = rows.orderBy(*order).select(*[F.col(f"`{c}`") for c in names])
@@ -217,6 +252,8 @@ class Execution:
         """Flat tables as framed Arrow streams: name length, name, stream length, stream. Bounded by the page."""
         import pyarrow as pa
 
+        if self.budget is None:
+            raise ValueError("framed streams are built on the driver, so they need a page budget; tables() has no such bound")
         out = io.BytesIO()
         options = pa.ipc.IpcWriteOptions(compression="zstd" if compress else None)
         for name, df in self.tables().items():

@@ -1,18 +1,24 @@
-"""Registered queries of the block engine, each a request over chunks made of the driver's tables, with its SQL."""
+"""Registered queries of the block engine, each a request over Parquet chunks made of the driver's tables, with its SQL.
+
+A chunk is written once for a session and folder of tables, and read by every
+query; its tables are derived from whole driver tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import Catalog, parse
-from tessera.engine import Execution, execute
+from tessera.engine import Execution, execute, read_frames
 from tessera.errors import QueryError
 from tessera.functions.hashing import Fuse8, bloom_build
-from tessera.sources.chunks import FrameSource
+from tessera.sources.chunks import FrameSource, ParquetSource, shared_folder, write_chunk
 
 SHOP = """
 version: 1
@@ -116,6 +122,39 @@ tables:
 """
 
 
+LAB = """
+version: 1
+dataset: lab
+tables:
+  sizes:
+    request: sizes
+    output: size
+    block: number
+    columns: {number: uint64}
+  things:
+    request: things
+    output: thing
+    block: size
+    order: [part]
+    columns:
+      size: uint64
+      part: uint64
+      price: float64
+      raw: string/hex_bytes
+      hash: string/hex_bytes
+      token: string/base58
+      version: int16/solana_tx_version
+      digits: list_uint32
+      words: list_string
+      dims: "struct members={'big_number': {'encoding': 'decimal_string'}}"
+      boxes: list_struct
+      delta: int16
+      code: fixed_binary_4 sys
+      flag: boolean
+    filters: {delta: in, code: in, flag: equals, part: in, raw: in}
+"""
+
+
 def _parties(supplier: Column, part: Column) -> Column:
     """A bloom filter of each line's supplier and part, as an archive's writer would store it."""
 
@@ -127,7 +166,7 @@ def _parties(supplier: Column, part: Column) -> Column:
 
 
 def catalogs() -> dict[str, Catalog]:
-    return {"shop": parse(SHOP), "tree": parse(TREE)}
+    return {"shop": parse(SHOP), "tree": parse(TREE), "lab": parse(LAB)}
 
 
 def shop(spark: SparkSession, sf_dir: str) -> FrameSource:
@@ -155,24 +194,44 @@ def tree(spark: SparkSession, sf_dir: str) -> FrameSource:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     digits = F.transform(F.split(F.col("p_partkey").cast("string"), ""), lambda x: x.cast("int"))
     nodes = p.select(F.col("p_size").alias("size"), F.col("p_partkey").alias("part"), digits.alias("path"), F.col("p_brand").alias("brand"))
-    marks = p.filter(F.col("p_partkey") % 3 == 0).select(F.col("p_size").alias("size"), F.col("p_partkey").alias("id"), digits.alias("spot"))
+    marks = nodes.select("size", F.col("part").alias("id"), F.col("path").alias("spot"))
     return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "nodes": nodes, "marks": marks})
 
 
-def whole_tree(spark: SparkSession, sf_dir: str) -> FrameSource:
-    """The same with a mark for every part."""
-    source = tree(spark, sf_dir)
-    nodes = source.table("nodes")
-    return FrameSource({"sizes": source.table("sizes"), "nodes": nodes, "marks": nodes.select("size", F.col("part").alias("id"), F.col("path").alias("spot"))})
+def lab(spark: SparkSession, sf_dir: str) -> FrameSource:
+    """Parts as rows of every kind of value: floats with gaps, binaries, signed numbers, lists, structs and lists of structs."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, name = F.col("p_partkey"), F.col("p_name")
+    wide = F.lpad(F.hex(key + 16777216), 8, "0")
+    box = lambda i, label: F.struct(F.lit(i).alias("box_number"), label.alias("label"))
+    things = p.select(
+        F.col("p_size").alias("size"), key.alias("part"), F.when(key % 11 == 0, F.lit(float("nan"))).when(key % 7 > 0, F.col("p_retailprice")).alias("price"),
+        name.cast("binary").alias("raw"), F.concat(F.lit("0x"), F.lower(F.hex(name))).alias("hash"), F.unhex(wide).alias("token"), (key % 3 - 1).cast("short").alias("version"),
+        F.transform(F.split(key.cast("string"), ""), lambda x: x.cast("int")).alias("digits"), F.split(name, " ").alias("words"),
+        F.struct(F.col("p_size").alias("size_mm"), (key * 1000003).alias("big_number")).alias("dims"),
+        F.when(key % 5 > 0, F.array(box(1, F.col("p_brand")), box(2, F.lit(None).cast("string")))).alias("boxes"),
+        (key % 9 - 4).cast("short").alias("delta"), F.unhex(F.lpad(F.hex(key % 50), 8, "0")).alias("code"), (key % 4).cast("int").alias("flag"),
+    )
+    return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "things": things})
 
 
-#: Datasets to their (catalog, source).
-_SOURCES = {"shop": ("shop", shop), "tree": ("tree", tree), "whole_tree": ("tree", whole_tree)}
+#: Datasets' tables as they are derived, and the chunks written of them by session and folder.
+_DERIVED = {"shop": shop, "tree": tree, "lab": lab}
+_chunks: dict[tuple[str, str, str], ParquetSource] = {}
+
+
+def chunk(spark: SparkSession, sf_dir: str, dataset: str) -> ParquetSource:
+    """The dataset's Parquet chunk, laid out for skipping, written at its first use."""
+    at = (spark.sparkContext.applicationId, sf_dir, dataset)
+    if at not in _chunks:
+        path = f"{shared_folder(spark)}/chunk-{dataset}-{uuid.uuid4().hex}"
+        write_chunk(_DERIVED[dataset](spark, sf_dir).tables, catalogs()[dataset], path)
+        _chunks[at] = ParquetSource(spark, path)
+    return _chunks[at]
 
 
 def _run(spark: SparkSession, sf_dir: str, dataset: str, budget: int | None = None, **request) -> Execution:
-    catalog, source = _SOURCES[dataset]
-    return execute(spark, {"type": catalog, **request}, catalogs()[catalog], source(spark, sf_dir), budget)
+    return execute(spark, {"type": dataset, **request}, catalogs()[dataset], chunk(spark, sf_dir, dataset), budget)
 
 
 def _rows(e: Execution, table: str, *columns: str) -> DataFrame:
@@ -192,7 +251,7 @@ li AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_
   CAST(l_quantity AS INTEGER) AS quantity, CAST(trunc(l_extendedprice) AS BIGINT) AS price_size, l_returnflag AS t0, nullif(l_linestatus, 'O') AS t1, l_shipdate FROM lineitem),
 pay AS (SELECT DISTINCT l_orderkey AS p_order, l_linenumber AS p_line, l_suppkey AS p_supplier, CASE WHEN l_suppkey % 2 = 0 THEN 'cash' ELSE 'card' END AS mode FROM lineitem WHERE l_linenumber <> 2)
 """
-NODES_SQL = "nodes AS (SELECT p_size AS size, p_partkey AS part, CAST(p_partkey AS VARCHAR) AS path, p_brand AS brand FROM part), marks AS (SELECT p_size AS size, p_partkey AS id, CAST(p_partkey AS VARCHAR) AS spot FROM part WHERE p_partkey % 3 = 0)"
+NODES_SQL = "nodes AS (SELECT p_size AS size, p_partkey AS part, CAST(p_partkey AS VARCHAR) AS path, p_brand AS brand FROM part), marks AS (SELECT size, part AS id, path AS spot FROM nodes)"
 
 
 def _lines_query(name: str, where: str, **request) -> None:
@@ -235,38 +294,28 @@ _REACH = "EXISTS (SELECT 1 FROM li WHERE {} AND l_orderkey = p_order AND l_linen
 _payments("relation_join", _REACH.format("flag = 'r'"), lines=[{"flag": ["r"], "payments": True}])
 _payments("items_dedup", _REACH.format("big") + " OR mode = 'cash'", lines=[{"big": True, "payments": True}], payments=[{"mode": ["cash"]}])
 _payments("relation_one_hop", _REACH.format("l_linenumber = 1"), lines=[{"lLinenumber": [1], "payments": True, "siblings": True}], payments=[])
+_payments("relation_merged", _REACH.format("(flag = 'r' OR l_linenumber = 5)"), lines=[{"flag": ["r"], "payments": True}, {"lLinenumber": [5], "payments": True}])
+_payments("relation_empty_source", "false", lines=[{"status": ["none"], "payments": True}])
+_payments("relation_range", _REACH.format("flag = 'r'") + " AND p_order BETWEEN 100 AND 2000", lines=[{"flag": ["r"], "payments": True}], fromBlock=100, toBlock=2000)
 _payments("relation_alias", _REACH.format("flag = 'r' AND l_suppkey = 3"), returnedLines=[{"supplier": [3], "payments": True}])
 
 
-def _nodes(name: str, table: str, column: str, where: str, **request) -> None:
-    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "tree", **request), table, "size", column), f"WITH {NODES_SQL} SELECT size, {column} FROM {table} t WHERE {where}")
-
-
-_FROM = "EXISTS (SELECT 1 FROM nodes s WHERE s.part < 100 AND s.size = t.size AND {})"
-_SMALL = list(range(100))
-_nodes("relation_children", "nodes", "part", "part < 100 OR " + _FROM.format("starts_with(t.path, s.path) AND length(t.path) > length(s.path)"), nodes=[{"part": _SMALL, "below": True}])
-_nodes("relation_parents", "nodes", "part", "t.part BETWEEN 100 AND 1000 OR EXISTS (SELECT 1 FROM nodes s WHERE s.part BETWEEN 100 AND 1000 AND s.size = t.size AND starts_with(s.path, t.path) AND length(s.path) > length(t.path))", nodes=[{"part": list(range(100, 1001)), "above": True}])
-_nodes("relation_cross_children", "marks", "id", _FROM.format("starts_with(t.spot, s.path)"), nodes=[{"part": _SMALL, "marks": True}])
-_nodes("relation_cross_parents", "marks", "id", "EXISTS (SELECT 1 FROM nodes s WHERE s.part BETWEEN 100 AND 1000 AND s.size = t.size AND starts_with(s.path, t.spot))", nodes=[{"part": list(range(100, 1001)), "roots": True}])
-_nodes("relation_list_key", "marks", "id", _FROM.format("s.path = t.spot"), nodes=[{"part": _SMALL, "exact": True}])
-
-# The same relations over whole tables: sources of half the brands, whatever their ids, and a mark for every part.
+#: Half the brands, whatever the parts' ids, are the sources of the hierarchies.
 _BRANDS = [f"Brand#{k}" for k in range(1, 26, 2)]
-_WHOLE_SQL = "nodes AS (SELECT p_size AS size, p_partkey AS part, CAST(p_partkey AS VARCHAR) AS path, p_brand AS brand FROM part), marks AS (SELECT size, part AS id, path AS spot FROM nodes)"
 _BRAND = f"brand IN ({', '.join(map(repr, _BRANDS))})"
+_FROM = f"EXISTS (SELECT 1 FROM nodes s WHERE s.{_BRAND} AND s.size = t.size AND {{}})"
 
 
-def _whole_nodes(name: str, table: str, column: str, where: str, **relation) -> None:
-    sql = f"WITH {_WHOLE_SQL} SELECT size, {column} FROM {table} t WHERE {where}"
-    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "whole_tree", nodes=[{"brand": _BRANDS, **relation}]), table, "size", column), sql)
+def _nodes(name: str, table: str, column: str, where: str, **relation) -> None:
+    sql = f"WITH {NODES_SQL} SELECT size, {column} FROM {table} t WHERE {where}"
+    _REGISTRY[name] = (lambda s, d: _rows(_run(s, d, "tree", nodes=[{"brand": _BRANDS, **relation}]), table, "size", column), sql)
 
 
-_WHOLE = f"EXISTS (SELECT 1 FROM nodes s WHERE s.{_BRAND} AND s.size = t.size AND {{}})"
-_whole_nodes("relation_children_whole", "nodes", "part", f"{_BRAND} OR " + _WHOLE.format("starts_with(t.path, s.path) AND length(t.path) > length(s.path)"), below=True)
-_whole_nodes("relation_parents_whole", "nodes", "part", f"{_BRAND} OR " + _WHOLE.format("starts_with(s.path, t.path) AND length(s.path) > length(t.path)"), above=True)
-_whole_nodes("relation_cross_children_whole", "marks", "id", _WHOLE.format("starts_with(t.spot, s.path)"), marks=True)
-_whole_nodes("relation_cross_parents_whole", "marks", "id", _WHOLE.format("starts_with(s.path, t.spot)"), roots=True)
-_whole_nodes("relation_list_key_whole", "marks", "id", _WHOLE.format("s.path = t.spot"), exact=True)
+_nodes("relation_children", "nodes", "part", f"{_BRAND} OR " + _FROM.format("starts_with(t.path, s.path) AND length(t.path) > length(s.path)"), below=True)
+_nodes("relation_parents", "nodes", "part", f"{_BRAND} OR " + _FROM.format("starts_with(s.path, t.path) AND length(s.path) > length(t.path)"), above=True)
+_nodes("relation_cross_children", "marks", "id", _FROM.format("starts_with(t.spot, s.path)"), marks=True)
+_nodes("relation_cross_parents", "marks", "id", _FROM.format("starts_with(s.path, t.spot)"), roots=True)
+_nodes("relation_list_key", "marks", "id", _FROM.format("s.path = t.spot"), exact=True)
 
 _HEAVY = {"fields": {"line": {"paid": True, "status": True}, "order": {"oOrderpriority": True}}, "lines": [{"flag": ["r"]}]}
 _WEIGHTS = f"""WITH {LINES_SQL}, w AS (
@@ -306,30 +355,15 @@ _REGISTRY["page_resume"] = (
 
 
 def _boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, "shop", fromBlock=100, toBlock=900, lines=[{"lLinenumber": [7], "big": True}]).weights().select("block")
-
-
-def _all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, "shop", fromBlock=100, toBlock=900, includeAllBlocks=True, lines=[{"lLinenumber": [7]}]).weights().select("block")
-
-
-_REGISTRY["boundary_blocks"] = (
-    _boundary,
-    f"WITH {LINES_SQL} SELECT DISTINCT l_orderkey AS block FROM li WHERE l_orderkey BETWEEN 100 AND 900 AND l_linenumber = 7 AND big UNION SELECT min(o_orderkey) FROM orders WHERE o_orderkey BETWEEN 100 AND 900 UNION SELECT max(o_orderkey) FROM orders WHERE o_orderkey BETWEEN 100 AND 900",
-)
-_REGISTRY["include_all_blocks"] = (_all_blocks, "SELECT o_orderkey AS block FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
-
-
-def _whole_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "shop", lines=[{"lLinenumber": [7], "big": True}]).weights().select("block")
 
 
-def _whole_all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, "shop", includeAllBlocks=True, lines=[{"lLinenumber": [7]}]).weights().select("block")
 
 
-_REGISTRY["boundary_blocks_whole"] = (_whole_boundary, f"WITH {LINES_SQL} SELECT l_orderkey AS block FROM li WHERE l_linenumber = 7 AND big UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders")
-_REGISTRY["include_all_blocks_whole"] = (_whole_all_blocks, "SELECT o_orderkey AS block FROM orders")
+_REGISTRY["boundary_blocks"] = (_boundary, f"WITH {LINES_SQL} SELECT l_orderkey AS block FROM li WHERE l_linenumber = 7 AND big UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders")
+_REGISTRY["include_all_blocks"] = (_all_blocks, "SELECT o_orderkey AS block FROM orders")
 
 
 def _lines_of(name: str, sql: str, budget: int | None = None, **request) -> None:
@@ -360,6 +394,109 @@ _lines_of(
 _lines_of("empty_items", _blocks_sql("'{}'", where="l_linenumber = 2"), lines=[{"lLinenumber": [2]}])
 
 
+_lines_of(
+    "two_tables",
+    f"""WITH {LINES_SQL}, own AS (SELECT l_orderkey AS block, string_agg('{{"seq":' || seq || '}}', ',' ORDER BY seq) AS items FROM li WHERE flag = 'r' GROUP BY 1),
+  paid AS (SELECT p_order AS block, string_agg('{{"pLine":' || p_line || ',"mode":"' || mode || '"}}', ',' ORDER BY p_line, p_supplier) AS items FROM pay
+    WHERE EXISTS (SELECT 1 FROM li WHERE flag = 'r' AND l_orderkey = p_order AND l_linenumber = p_line) GROUP BY 1),
+  cand AS (SELECT block FROM own UNION SELECT block FROM paid UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders)
+  SELECT o_orderkey AS block, '{{"header":{{"oOrderkey":' || o_orderkey || '}}' || coalesce(',"lines":[' || own.items || ']', '') || coalesce(',"payments":[' || paid.items || ']', '') || '}}' AS line
+  FROM orders JOIN cand ON cand.block = o_orderkey LEFT JOIN own ON own.block = o_orderkey LEFT JOIN paid ON paid.block = o_orderkey""",
+    fields={"order": {"oOrderkey": True}, "line": {"seq": True}, "payment": {"pLine": True, "mode": True}},
+    lines=[{"flag": ["r"], "payments": True}],
+)
+
+
+def _things(name: str, field: str, sql: str, where: str = "true", **tests) -> None:
+    """A field of the lab's things as it is rendered, one line per block."""
+    sql = f"""WITH t AS (SELECT p_size AS block, p_partkey AS part, string_agg('{{"{field}":' || {sql} || '}}', ',' ORDER BY p_partkey) OVER (PARTITION BY p_size ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS items FROM part WHERE {where}),
+  own AS (SELECT DISTINCT block, items FROM t), cand AS (SELECT block FROM own UNION SELECT min(p_size) FROM part UNION SELECT max(p_size) FROM part)
+  SELECT cand.block AS block, '{{"header":{{}}' || coalesce(',"things":[' || items || ']', '') || '}}' AS line FROM cand LEFT JOIN own ON own.block = cand.block"""
+    _REGISTRY[name] = (lambda s, d: _run(s, d, "lab", fields={"thing": {field: True}}, things=[tests]).lines(), sql)
+
+
+_BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_DIGIT58 = " || ".join(f"substr('{_BASE58}', CAST(((p_partkey + 16777216) // {58**k}) % 58 AS INTEGER) + 1, 1)" for k in (4, 3, 2, 1, 0))
+_things("encode_float", "price", "CASE WHEN p_partkey % 11 = 0 OR p_partkey % 7 = 0 THEN 'null' ELSE CAST(p_retailprice AS VARCHAR) END")
+_things("encode_hex_binary", "raw", """'"0x' || lower(hex(p_name)) || '"'""")
+_things("encode_hex_text", "hash", """'"0x' || lower(hex(p_name)) || '"'""")
+_things("encode_base58", "token", f"""'"' || {_DIGIT58} || '"'""")
+_things("encode_version", "version", """CASE p_partkey % 3 WHEN 0 THEN '"legacy"' ELSE CAST(p_partkey % 3 - 1 AS VARCHAR) END""")
+_things("encode_list_numbers", "digits", "'[' || array_to_string(string_split(CAST(p_partkey AS VARCHAR), ''), ',') || ']'")
+_things("encode_list_texts", "words", """'["' || replace(p_name, ' ', '","') || '"]'""")
+_things("encode_struct", "dims", """'{"sizeMm":' || p_size || ',"bigNumber":"' || p_partkey * 1000003 || '"}'""")
+_things("encode_list_struct", "boxes", """CASE WHEN p_partkey % 5 = 0 THEN 'null' ELSE '[{"boxNumber":1,"label":"' || p_brand || '"},{"boxNumber":2,"label":null}]' END""")
+_things("filter_signed", "part", "p_partkey", "p_partkey % 9 - 4 IN (-4, -1, 2)", delta=[-4, -1, 2])
+_things("filter_fixed_binary", "part", "p_partkey", "p_partkey % 50 IN (7, 31)", code=["0x00000007", "0x0000001f"])
+_things("filter_number_flag", "part", "p_partkey", "p_partkey % 4 = 1", flag=True)
+_things("filter_number_flag_false", "part", "p_partkey", "p_partkey % 4 <> 1", flag=False)
+
+
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the first page as they are rendered: wide columns are read up to its last block only."""
+    return _run(spark, sf_dir, "shop", _BUDGET, **_HEAVY).lines()
+
+
+_PAGE = f"{_WEIGHTS}, page AS (SELECT block FROM ({_SUMMED.format('blocks')}) WHERE total <= {_BUDGET} OR total = weight)"
+_REGISTRY["page_lines"] = (
+    _page_lines,
+    f"""{_PAGE}, own AS (SELECT l_orderkey AS block, string_agg('{{"status":"' || status || '"' || CASE status WHEN 'F' THEN ',"result":{{"amount":"' || price_size || '"}}' ELSE '' END || '}}', ',' ORDER BY seq) AS items FROM li WHERE flag = 'r' GROUP BY 1)
+  SELECT o_orderkey AS block, '{{"header":{{"oOrderpriority":"' || o_orderpriority || '"}}' || coalesce(',"lines":[' || items || ']', '') || '}}' AS line
+  FROM orders JOIN page ON page.block = o_orderkey LEFT JOIN own ON own.block = o_orderkey""",
+)
+
+
+def _arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and columns of each framed Arrow stream of a page with related tables, in the streams' order."""
+    e = _run(spark, sf_dir, "shop", _BUDGET, fields={"line": {"seq": True}, "payment": {"mode": True}}, lines=[{"flag": ["r"], "payments": True}])
+    frames = read_frames(e.arrow_frames(compress=True))
+    return spark.createDataFrame([(i, n, len(t), ",".join(t.column_names)) for i, (n, t) in enumerate(frames.items())], "place long, name string, n long, columns string")
+
+
+_REGISTRY["arrow_frames"] = (
+    _arrow,
+    f"""WITH {LINES_SQL}, reach AS (SELECT * FROM pay WHERE EXISTS (SELECT 1 FROM li WHERE flag = 'r' AND l_orderkey = p_order AND l_linenumber = p_line)),
+  w AS (SELECT o_orderkey AS block, 32 AS weight FROM orders UNION ALL SELECT l_orderkey, 64 FROM li WHERE flag = 'r' UNION ALL SELECT p_order, 128 FROM reach),
+  cand AS (SELECT l_orderkey AS block FROM li WHERE flag = 'r' UNION SELECT min(o_orderkey) FROM orders UNION SELECT max(o_orderkey) FROM orders),
+  blocks AS (SELECT block, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE block IN (SELECT block FROM cand) GROUP BY block),
+  page AS (SELECT block FROM ({_SUMMED.format("blocks")}) WHERE total <= {_BUDGET} OR total = weight)
+  SELECT 0 AS place, 'orders' AS name, count(*) AS n, 'o_orderkey' AS columns FROM page
+  UNION ALL SELECT 1, 'lineitem', count(*), 'l_orderkey,seq' FROM li JOIN page ON l_orderkey = block WHERE flag = 'r'
+  UNION ALL SELECT 2, 'payments', count(*), 'p_order,mode' FROM reach JOIN page ON p_order = block""",
+)
+
+
+def _arrow_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hex texts as bytes in a framed Arrow stream."""
+    e = _run(spark, sf_dir, "lab", 1 << 40, fields={"thing": {"part": True, "hash": True}}, things=[{}])
+    found = read_frames(e.arrow_frames(binary_hex=True))["things"]
+    return spark.createDataFrame(found.select(["part", "hash"])).select("part", F.hex("hash").alias("hex"))
+
+
+_REGISTRY["arrow_hex_to_binary"] = (_arrow_hex, "SELECT p_partkey AS part, hex(p_name) AS hex FROM part")
+
+#: Requests that are refused, with the kind of error that says so.
+_REFUSED = [
+    ("UnknownTable", "shop", {"nothing": [{}]}), ("UnknownFilter", "shop", {"lines": [{"nothing": [1]}]}), ("UnknownField", "shop", {"fields": {"line": {"nothing": True}}, "lines": [{}]}),
+    ("InvalidBlockRange", "shop", {"fromBlock": 9, "toBlock": 3, "lines": [{}]}), ("InvalidFilterValue", "shop", {"lines": [{"big": "yes"}]}), ("TooManyItemRequests", "shop", {"lines": [{}] * 101}),
+    ("UnexpectedBaseBlock", "shop", {"fromBlock": 500, "parentBlockHash": "stale", "lines": [{}]}), ("InvalidFilterValue", "lab", {"things": [{"delta": ["x"]}]}),
+]
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = []
+    for i, (_, dataset, request) in enumerate(_REFUSED):
+        try:
+            _run(spark, sf_dir, dataset, **request)
+            found.append((i, "accepted"))
+        except QueryError as e:
+            found.append((i, e.kind))
+    return spark.createDataFrame(found, "number long, kind string")
+
+
+_REGISTRY["refused_requests"] = (_refused, "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{k}')" for i, (k, _, _) in enumerate(_REFUSED)) + ") t(number, kind)")
+
+
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columnar rendering of the same rows."""
     e = _run(spark, sf_dir, "shop", fields={"line": {"paid": True, "topics": True}}, lines=[{"lLinenumber": [3]}])

@@ -29,5 +29,5 @@ def check_parent(query: Query, source: TableSource) -> None:
         return
     behind = df.filter(number.between(max(0, query.from_block - WINDOW), query.from_block)).select(*columns).orderBy(F.desc("n")).limit(WINDOW).collect()
     pairs = sorted({(int(r["pn"] if table.parent_number else r["n"] - 1), r["p"]) for r in [row, *behind] if r["p"] is not None and (r["n"] > 0)})
-    newest = f"{pairs[-1][0]}#{pairs[-1][1]}" if pairs else "empty prev_blocks"
-    raise QueryError("UnexpectedBaseBlock", f"unexpected base block: expected {query.parent_hash}, but got {newest}", "parentBlockHash", pairs)
+    newest = f"{pairs[-1][1]} (block {pairs[-1][0]})" if pairs else "unknown"
+    raise QueryError("UnexpectedBaseBlock", f"block {row['n']} does not follow {query.parent_hash}; the newest known parent is {newest}", "parentBlockHash", pairs)

@@ -48,14 +48,16 @@ def related(source: DataFrame, source_table: Table, target: DataFrame, target_ta
     strict = source_table.name == target_table.name
     own, theirs = comparable(source, source_table.address), comparable(target, target_table.address)
     keys = source.select(*_keys(source, tuple(a for a, _ in pairs), "__k"), own.alias("__at")).filter("__at IS NOT NULL").distinct()
-    match = [comparable(target, b) == keys[f"__k{i}"] for i, (_, b) in enumerate(pairs)]
     if relation.kind == "parents":
         # Ancestors: every prefix of a source address, as a plain equi-join.
         keys = keys.select(*[f"__k{i}" for i in range(len(pairs))], F.explode(prefixes(F.col("__at"), strict)).alias("__at")).distinct()
         return target.join(keys, [*match_on(target, keys, pairs), theirs == keys["__at"]], "left_semi")
-    deeper = F.size(theirs) > F.size(keys["__at"]) if strict else F.size(theirs) >= F.size(keys["__at"])
-    under = F.slice(theirs, F.lit(1), F.size(keys["__at"])) == keys["__at"]
-    return target.join(keys, [*match, theirs.isNotNull(), deeper, under], "left_semi")
+    # Descendants: the prefixes of a target address, as an equi-join that names the keys of the rows reached.
+    names = list(dict.fromkeys([*target_table.key, *(b for _, b in pairs)]))
+    rows = target.filter(theirs.isNotNull()).select(*[target[f"`{c}`"] for c in names], F.explode(prefixes(theirs, strict)).alias("__prefix"))
+    under = rows.join(keys, [*match_on(rows, keys, pairs), rows["__prefix"] == keys["__at"]], "left_semi").select(*names).distinct()
+    under = under.select(*[F.col(f"`{c}`").alias(f"__r{i}") for i, c in enumerate(names)])
+    return target.join(under, [target[f"`{c}`"].eqNullSafe(under[f"__r{i}"]) for i, c in enumerate(names)], "left_semi")
 
 
 def match_on(target: DataFrame, keys: DataFrame, pairs: list[tuple[str, str]]) -> list[Expr]:

@@ -22,27 +22,30 @@ def size_columns(table: Table, shown: list[str]) -> list[str]:
     return list(dict.fromkeys(w for c in weighed_columns(table, shown) if isinstance(w := table.columns[c].weight, str)))
 
 
+def fixed_weight(table: Table, shown: list[str]) -> int:
+    """What every row is charged at least: the columns whose weight is no size column."""
+    own = [table.columns[c].weight for c in weighed_columns(table, shown)]
+    return sum(DEFAULT_WEIGHT if w is None else w for w in own if not isinstance(w, str))
+
+
 def row_weight(table: Table, shown: list[str]) -> Expr:
-    fixed, out = 0, []
-    for c in weighed_columns(table, shown):
-        w = table.columns[c].weight
+    total = F.lit(fixed_weight(table, shown)).cast("decimal(38,0)")
+    for w in (table.columns[c].weight for c in weighed_columns(table, shown)):
         if isinstance(w, str):
-            out.append(F.greatest(F.coalesce(F.col(f"`{w}`").cast("decimal(38,0)"), F.lit(0)), F.lit(0)))
-        else:
-            fixed += DEFAULT_WEIGHT if w is None else w
-    total = F.lit(fixed).cast("decimal(38,0)")
-    for c in out:
-        total = total + c
+            total = total + F.greatest(F.coalesce(F.col(f"`{w}`").cast("decimal(38,0)"), F.lit(0)), F.lit(0))
     return total.cast("decimal(38,0)")
 
 
-def block_weights(parts: list[DataFrame]) -> DataFrame:
-    """(block, weight) from frames of (block, weight) rows, saturating at the largest long."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+def block_weights(head: DataFrame, own: list[DataFrame]) -> DataFrame:
+    """(block, weight, filled) from rows of (block, weight) of headers and of items, in one pass; filled: the block has items.
+
+    Weights saturate at the largest long.
+    """
+    rows = head.withColumn("filled", F.lit(False))
+    for p in own:
+        rows = rows.unionByName(p.withColumn("filled", F.lit(True)))
     total = F.least(F.coalesce(F.try_sum("weight"), F.lit(LONG_MAX).cast("decimal(38,0)")), F.lit(LONG_MAX).cast("decimal(38,0)"))
-    return rows.groupBy("block").agg(total.alias("weight"))
+    return rows.groupBy("block").agg(total.alias("weight"), F.max("filled").alias("filled"))
 
 
 def page(weights: DataFrame, budget: int, least_weight: int) -> DataFrame:
@@ -52,7 +55,7 @@ def page(weights: DataFrame, budget: int, least_weight: int) -> DataFrame:
     the lowest blocks are ordered in one place.
     """
     most = budget // max(1, least_weight) + 1
-    first = weights.orderBy("block").limit(most)
+    first = weights.orderBy("block").limit(most) if most < 1 << 31 else weights
     order = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     summed = first.withColumn("total", F.sum("weight").over(order)).withColumn("__n", F.row_number().over(Window.orderBy("block")))
     return summed.filter((F.col("total") <= budget) | (F.col("__n") == 1)).drop("__n")

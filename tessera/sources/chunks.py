@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 from typing import Protocol
 
@@ -34,6 +35,7 @@ class ParquetSource:
         self.spark = spark
         self.directories = [directories] if isinstance(directories, str) else list(directories)
         self._read: dict[str, DataFrame | None] = {}
+        self._nulls: dict[tuple[str, str], bool] = {}
 
     def _open(self, name: str) -> DataFrame | None:
         if name not in self._read:
@@ -52,10 +54,11 @@ class ParquetSource:
             raise QueryError("TableNotFound", f"the chunk has no table {name}", name)
         return df
 
-
     def holds_null(self, name: str, column: str) -> bool:
-        # Row groups whose footer counts no nulls are skipped, so this reads footers where writers keep counts.
-        return not self.table(name).filter(F.col(f"`{column}`").isNull()).select(column).isEmpty()
+        # Row groups whose footer counts no nulls are skipped, so this reads footers where writers keep counts. Chunks don't change, so it is asked once.
+        if (name, column) not in self._nulls:
+            self._nulls[name, column] = not self.table(name).filter(F.col(f"`{column}`").isNull()).select(column).isEmpty()
+        return self._nulls[name, column]
 
 
 class FrameSource:
@@ -76,6 +79,19 @@ class FrameSource:
         return not self.vouched and not self.table(name).filter(F.col(f"`{column}`").isNull()).isEmpty()
 
 
+_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and the master is local."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessera-chunks-"))
+
+
 def write_chunk(tables: dict[str, DataFrame], catalog: Catalog, directory: str, mode: str = "error") -> None:
     """Write a chunk laid out for skipping: block numbers signed, rows sorted by each table's sort key."""
     for name, df in tables.items():
