@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import materialise, table
 from tessera.llm.decontamination import contamination
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.lm_scoring import held_out, lm_scores
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import LADDERS, quality_rules
-from tessera.llm.secret_scan import labelled_findings, secret_scan, train
+from tessera.llm.secret_scan import dictionary, labelled_findings, secret_scan, train
 from tessera.llm.substring_dedup import substring_dedup
 from tessera.llm.token_files import read_token_files, write_token_files
 from tessera.llm.warc import read_warc, write_warc
@@ -40,7 +40,9 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    words = materialise(dictionary(docs), "dictionary")
+    found = secret_scan(docs, train(labelled_findings(spark, words), words), words)
     return found.select("doc_id", "start", "length", F.sha2("secret", 256).alias("secret_sha256"), "score", "is_secret", "times")
 
 

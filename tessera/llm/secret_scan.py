@@ -2,8 +2,9 @@
 
 Candidates are cut out of whole texts with their neighbourhood; a forest over
 length, character transitions, dictionary coverage, path and neighbouring
-words, trained from labelled findings, scores each. All steps are DataFrame
-expressions and the JVM's own forest.
+words, trained from labelled findings, scores each. The dictionary is counted
+from the corpus itself. All steps are DataFrame expressions and the JVM's own
+forest.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ CANDIDATE = (
 )
 #: Characters of context kept on either side.
 CONTEXT = 80
-WORDS = ["access", "admin", "and", "change", "code", "data", "default", "demo", "dummy", "example", "file", "fake", "foo", "here", "hello", "image", "insert", "key", "name", "none", "null", "page", "pass", "placeholder", "redacted", "sample", "secret", "test", "the", "token", "user", "value", "version", "word", "world", "xxx", "your"]
+#: Words of placeholders and examples. Fixed values.
+PLACEHOLDERS = ["access", "admin", "and", "change", "code", "data", "default", "demo", "dummy", "example", "file", "fake", "foo", "here", "hello", "image", "insert", "key", "name", "none", "null", "page", "pass", "placeholder", "redacted", "sample", "secret", "test", "the", "token", "user", "value", "version", "word", "world", "xxx", "your"]
 TEST_PATH = r"(?i)(test|example|sample|fixture|mock|docs?/|readme|spec)"
 NOT_SECRET = r"(?i)\b(sha\d*|md5|commit|checksum|digest|hash|uuid|guid|build|revision|etag|id|example|sample)\b"
-FEATURES = ["length", "transitions", "digits", "uppers", "distinct", "longest_run", "coverage", "test_path", "keyword_before", "assigned", "quoted", "harmless_near", "known_prefix"]
+FEATURES = ["length", "transitions", "digits", "uppers", "distinct", "longest_run", "coverage", "placeholder", "test_path", "keyword_before", "assigned", "quoted", "harmless_near", "known_prefix"]
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -60,12 +62,31 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     return placed.filter(F.col("secret").isNotNull())
 
 
+def dictionary(df: DataFrame, text_col: str = "text", min_count: int = 20, shortest: int = 4, longest: int = 16) -> DataFrame:
+    """The corpus's own words: lower-cased runs of ASCII letters that occur ``min_count`` times or more in all texts together."""
+    words = df.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z]+")).alias("word"))
+    return words.filter(F.length("word").between(shortest, longest)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).select("word")
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0)).cast("double")
 
 
-def features(found: DataFrame) -> DataFrame:
+def _pieces(secret: Column) -> Column:
+    """The letter runs of a value that may be words: camel humps, lower-case and upper-case runs."""
+    return F.transform(F.regexp_extract_all(secret, F.lit(r"([A-Z]?[a-z]{3,}|[A-Z]{4,})"), F.lit(1)), F.lower)
+
+
+def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(secret, covered): the letters of each different value that dictionary words cover, by a join on the words."""
+    each = found.select("secret").distinct().select("secret", F.explode(_pieces(F.col("secret"))).alias("word"))
+    return each.join(words, "word").groupBy("secret").agg(F.sum(F.length("word")).alias("covered")).withColumnRenamed("secret", "__secret")
+
+
+def features(found: DataFrame, words: DataFrame) -> DataFrame:
     """The forest's columns for rows of secret, before, after and path."""
+    covered = coverage(found, words)
+    found = found.join(covered, F.col("secret") == F.col("__secret"), "left").drop("__secret")
     s = F.col("secret")
     n = F.length(s)
     kinds = F.regexp_replace(F.translate(s, _LOWER + _UPPER + _DIGIT, "a" * 26 + "A" * 26 + "0" * 10), "[^aA0]", "-")
@@ -74,14 +95,15 @@ def features(found: DataFrame) -> DataFrame:
     longest = F.array_max(F.transform(F.regexp_extract_all(s, F.lit(r"((.)\2*)"), F.lit(1)), lambda x: F.length(x)))
     flag = lambda c: c.cast("double")
     return found.select(
-        "*",
+        *[c for c in found.columns if c != "covered"],
         n.cast("double").alias("length"),
         _share(runs - 1, n - 1).alias("transitions"),
         _share(n - F.length(F.translate(s, _DIGIT, "")), n).alias("digits"),
         _share(n - F.length(F.translate(s, _UPPER, "")), n).alias("uppers"),
         _share(F.size(F.array_distinct(F.split(s, ""))), n).alias("distinct"),
         _share(F.coalesce(longest, F.lit(0)), n).alias("longest_run"),
-        _share(n - F.length(F.regexp_replace(folded, "(" + "|".join(WORDS) + ")", "")), n).alias("coverage"),
+        _share(F.coalesce("covered", F.lit(0)), n).alias("coverage"),
+        _share(n - F.length(F.regexp_replace(folded, "(" + "|".join(PLACEHOLDERS) + ")", "")), n).alias("placeholder"),
         flag(F.rlike("path", F.lit(TEST_PATH))).alias("test_path"),
         flag(F.rlike("before", F.lit(rf"(?i)({KEYWORDS})\b\W{{0,20}}$"))).alias("keyword_before"),
         flag(F.rlike("before", F.lit(r"[=:]>?\s*[\"']?$"))).alias("assigned"),
@@ -91,70 +113,94 @@ def features(found: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, rows: int = 4000, seed: int = 11) -> DataFrame:
+#: Words drawn from the dictionary for findings' prose and harmless values.
+DRAWN = 400
+
+
+def labelled_findings(spark: SparkSession, words: DataFrame, rows: int = 4000, seed: int = 11) -> DataFrame:
     """Labelled findings for training where a team has none of its own: secret, before, after, path, label.
 
-    Made from seeded digests: real-looking random values where secrets stand,
-    against digests under harmless names, placeholders, word lists, numbers and
-    test fixtures. ``rows`` bounds the training set.
+    Values are seeded digests, prose and harmless values are made of the
+    corpus's own words: real-looking random values where secrets stand, against
+    digests under harmless names, identifiers, paths, placeholders, numbers and
+    fixtures. ``rows`` bounds the training set; ``DRAWN`` words come to the driver.
     """
+    own = [r["word"] for r in words.orderBy(F.xxhash64("word"), "word").limit(DRAWN).collect()] or PLACEHOLDERS
     draw = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30))
-    pick = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (draw(k) % len(values) + 1).cast("int"))
+    pick = lambda k, values: F.element_at(F.split(F.lit("\x01".join(values)), "\x01", -1), (draw(k) % len(values) + 1).cast("int"))
     random_hex = F.sha2(F.concat_ws("-", F.lit(seed), F.col("id")), 256)
     random_64 = F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat_ws("+", F.lit(seed), F.col("id")), 512))), "[+/=\\s]", "")
     random_letters = F.translate(random_64, _DIGIT, "qZkVxWjYhP")
-    name = pick(1, ["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "TOKEN", "API_KEY", "passwd"])
-    assign = pick(2, [' = "', '="', ": '", ' = ', "=", ': "'])
-    word = lambda k: pick(k, WORDS)
+    name = pick(1, ["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "TOKEN", "API_KEY", "passwd", "credential", "private_key"])
+    assign = pick(2, [' = "', '="', ": '", " = ", "=", ': "', ": ", '": "', " => "])
+    word, holder = (lambda k: pick(k, own)), (lambda k: pick(k, PLACEHOLDERS))
     prose = F.concat_ws(" ", word(21), word(22), word(23), word(24))
+    named = F.concat(prose, F.lit(" "), pick(30, ["", "", "DB_", "app.", "aws_"]), name, assign)
+    loose = F.concat(prose, F.lit(" "))
     good = [
-        (F.left(random_hex, F.lit(40)), F.concat(prose, F.lit(" "), name, assign)),
-        (F.left(random_hex, F.lit(32)), F.concat(prose, F.lit(" "), name, assign)),
-        (F.upper(F.left(random_hex, F.lit(40))), F.concat(F.upper(prose), F.lit(" "), F.upper(name), assign)),
-        (F.left(random_64, 20 + draw(3) % 44), F.concat(prose, F.lit(" "), name, assign)),
-        (F.concat(F.lit("AKIA"), F.upper(F.left(random_hex, F.lit(16)))), F.concat(prose, F.lit(" "))),
-        (F.concat(F.lit("ghp_"), F.left(random_64, F.lit(36))), F.concat(prose, F.lit(" "), pick(23, ["", "GH=", "export KEY="]))),
-        (F.left(random_letters, 16 + draw(3) % 40), F.concat(prose, F.lit(" "), name, assign)),
-        (F.left(random_64, 8 + draw(3) % 12), F.concat(prose, F.lit(" "), pick(22, ["", "DB_", "APP_"]), name, assign)),
+        (F.left(random_hex, pick(31, ["32", "40", "48", "64"]).cast("int")), named),
+        (F.upper(F.left(random_hex, F.lit(40))), named),
+        (F.left(random_64, 20 + draw(3) % 44), named),
+        (F.left(random_64, 8 + draw(3) % 12), named),
+        (F.left(random_letters, 16 + draw(3) % 40), named),
+        (F.concat(F.left(random_64, 6 + draw(3) % 8), pick(32, ["!", "#", "@9", "$x", "%"]), F.left(random_hex, F.lit(4))), named),
+        (F.concat(F.lit("AKIA"), F.upper(F.left(random_hex, F.lit(16)))), loose),
+        (F.concat(F.lit("ghp_"), F.left(random_64, F.lit(36))), F.concat(loose, pick(33, ["", "GH=", "export KEY=", '"']))),
+        (F.concat(pick(42, ["ghp_", "gho_", "xoxb-", "sk_test_"]), F.left(F.lower(random_64), F.lit(32))), F.concat(loose, pick(43, ["", "GH=", "token ", '"']))),
+        (F.concat(F.lit("eyJ"), F.left(random_64, F.lit(60))), F.concat(loose, pick(34, ["Bearer ", "Authorization: ", ""]))),
+        (F.concat(F.lit("sk_live_"), F.left(random_64, F.lit(24))), F.concat(loose, pick(35, ["", '"', "key="]))),
     ]
+    harmless = pick(4, ["commit ", "sha1: ", "revision ", "checksum = ", "etag: ", "build ", "md5 ", "uuid: ", "hash=", "digest ", "id = ", "sha256:"])
     bad = [
-        (F.left(random_hex, F.lit(40)), F.concat(prose, F.lit(" "), pick(4, ["commit ", "sha1: ", "revision ", "checksum = ", "etag: ", "build "]))),
-        (F.left(random_hex, F.lit(32)), F.concat(prose, F.lit(" "), pick(5, ["md5 ", "uuid: ", "hash=", "digest ", "id = "]))),
-        (F.concat(word(6), F.lit("-"), word(7), F.lit("-"), word(8), F.lit("-"), (draw(9) % 100).cast("string")), F.concat(prose, F.lit(" "), name, assign)),
-        (F.concat(F.lit("your_"), word(6), F.lit("_"), word(7), F.lit("_here1")), F.concat(prose, F.lit(" "), name, assign)),
-        (F.repeat(pick(10, ["x", "0", "1", "ab", "12"]), (12 + draw(11) % 10).cast("int")), F.concat(prose, F.lit(" "), name, assign)),
-        (F.concat(draw(12).cast("string"), F.lpad(draw(13).cast("string"), 10, "0")), F.concat(prose, F.lit(" "))),
-        (F.concat(word(14), word(15), word(16), word(17), (draw(18) % 10).cast("string")), F.concat(prose, F.lit(" "))),
-        (F.concat(word(14), pick(24, ["", "-", "/", "_"]), word(15), pick(24, ["", "-", "/", "_"]), word(16), word(17)), F.concat(prose, F.lit(" "))),
-        (F.upper(F.concat(word(14), F.lit("_"), word(15), F.lit("_"), word(16), F.lit("_"), pick(25, ["token", "secret", "access_key"]))), F.concat(prose, F.lit(" "))),
-        (F.concat(word(14), word(15)), F.concat(prose, F.lit(" "), name, pick(26, [": ", "=", " = "]))),
+        (F.left(random_hex, pick(31, ["32", "40", "64"]).cast("int")), F.concat(loose, harmless)),
+        (F.concat_ws("-", *[F.substring(random_hex, a, b) for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.concat(loose, pick(36, ["uuid ", "id: ", "", "guid=", "request id "]))),
+        (F.concat(word(6), F.lit("-"), word(7), F.lit("-"), word(8), F.lit("-"), (draw(9) % 100).cast("string")), pick(37, ["", "see "])),
+        (F.concat(word(6), F.initcap(word(7)), F.initcap(word(8)), F.initcap(word(14))), F.concat(loose, pick(38, ["", "call ", "= ", "return "]))),
+        (F.concat(word(6), F.lit("/"), word(7), F.lit("/"), word(8), F.lit("/"), word(14)), F.concat(loose, pick(39, ["", "path: ", "in "]))),
+        (F.concat(pick(40, ["your_", "my_", "<", "${", "%"]), holder(6), F.lit("_"), holder(7), F.lit("_here1")), named),
+        (F.concat(holder(14), F.lit("_"), holder(15), F.lit("_"), word(16)), named),
+        (F.concat(word(14), word(15)), named),
+        (F.upper(F.concat(word(14), F.lit("_"), word(15), F.lit("_"), word(16), F.lit("_"), pick(25, ["token", "secret", "access_key"]))), loose),
+        (F.repeat(pick(10, ["x", "0", "1", "ab", "12", "*"]), (12 + draw(11) % 10).cast("int")), named),
+        (F.concat(draw(12).cast("string"), F.lpad(draw(13).cast("string"), 10, "0")), F.concat(loose, pick(41, ["", "id ", "order ", "phone: "]))),
+        (F.concat(word(14), word(15), word(16), (draw(18) % 10).cast("string")), loose),
         (F.repeat(pick(27, ["-", "_", "/", "+"]), (16 + draw(11) % 60).cast("int")), prose),
     ]
-    half = lambda options, at: F.element_at(F.array(*[F.struct(a.cast("string").alias("secret"), b.alias("before")) for a, b in options]), (draw(19) % len(options) + 1).cast("int"))[at]
+    one = lambda options: F.element_at(F.array(*[F.struct(a.cast("string").alias("secret"), b.alias("before")) for a, b in options]), (draw(19) % len(options) + 1).cast("int"))
     label = (F.col("id") % 2).cast("double")
-    both = lambda at: F.when(label == 1, half(good, at)).otherwise(half(bad, at))
-    after = F.when(both("before").rlike("\"$"), F.lit('" ')).when(both("before").rlike("'$"), F.lit("' ")).otherwise(F.lit(" "))
-    path = F.when(label == 1, pick(20, ["src/main.py", "config/app.env", "src7", "", "deploy/run.sh"])).otherwise(pick(20, ["tests/fixture.py", "docs/readme.md", "src7", "", "src/main.py"]))
-    return spark.range(rows).select(both("secret").alias("secret"), both("before").alias("before"), F.concat(after, prose).alias("after"), path.alias("path"), label.alias("label"))
+    path = F.when(label == 1, pick(20, ["src/main.py", "config/app.env", "src7", "", "deploy/run.sh"])).otherwise(pick(20, ["tests/fixture.py", "docs/readme.md", "src7", "", "src/main.py", "lib/util.js"]))
+    # Secrets and harmless findings are made apart, which keeps the generated code small.
+    parts = [spark.range(rows).filter(F.col("id") % 2 == k).select(one(options).alias("f"), prose.alias("prose"), path.alias("path"), label.alias("label")) for k, options in ((1, good), (0, bad))]
+    found = parts[0].unionByName(parts[1]).select("f.secret", "f.before", "prose", "path", "label")
+    quote = F.when(F.col("before").rlike('"$'), F.lit('" ')).when(F.col("before").rlike("'$"), F.lit("' ")).otherwise(F.lit(" "))
+    return found.select("secret", "before", F.concat(quote, "prose").alias("after"), "path", "label")
 
 
-def train(labelled: DataFrame, trees: int = 20, depth: int = 8, max_rows: int = 20_000, seed: int = 7) -> RandomForestClassificationModel:
-    """Fit the forest on at most ``max_rows`` labelled findings (the documented bound), chosen by digest."""
+def train(labelled: DataFrame, words: DataFrame, trees: int = 20, depth: int = 8, max_rows: int = 20_000, seed: int = 7) -> RandomForestClassificationModel:
+    """Fit the forest on at most ``max_rows`` labelled findings (the documented bound), chosen by digest.
+
+    ``labelled``: secret, before, after, path, label (1 for a secret). Rows with
+    a null secret or label are left out; other nulls are empty.
+    """
     rows = labelled.filter(F.col("secret").isNotNull() & F.col("label").isNotNull()).select("secret", *[F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after", "path")], "label")
     rows = rows.orderBy(F.xxhash64("secret", "before", "after", "path"), "label").limit(max_rows)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, words))
+    # In one partition and one order, for the trees' draws depend on both; the rows are bounded.
+    vectors = vectors.coalesce(1).sortWithinPartitions(F.xxhash64("secret", "before", "after", "path"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(vectors)
 
 
-def secret_scan(df: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
+def secret_scan(df: DataFrame, model: RandomForestClassificationModel, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", threshold: float = 0.5) -> DataFrame:
     """Every candidate with its score: id, start, length, secret, score, is_secret, times.
 
     Defined cases: null and empty texts have no candidates. Repeated rows (equal
     id and text) give each finding once, with the number of rows in ``times``.
     Null ids and paths are carried as null and empty. The control characters
-    U+0001 and U+0002 are read as U+001A. Other columns are ignored.
+    U+0001 and U+0002 are read as U+001A. Very long texts are searched whole,
+    and a run may be as long as its text. An empty table gives no rows. Other
+    columns are ignored. ``words``: the dictionary, of one column ``word``.
     """
-    found = features(candidates(df, id_col, text_col, path_col))
+    found = features(candidates(df, id_col, text_col, path_col), words)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found))
     score = vector_to_array("probability")[1]
     return scored.select(F.col("id").alias(id_col), "start", F.length("secret").cast("long").alias("length"), "secret", score.alias("score"), (score >= threshold).alias("is_secret"), "times")

@@ -222,7 +222,7 @@ def _divide(length: int):
 
 
 def _sort(length: int, shard: int):
-    """Suffix arrays of whole keys, up to ``shard`` bytes together: how often the piece was divided, key, digest, first and last window of each repeated stretch."""
+    """Suffix arrays of whole keys, a few times ``shard`` bytes together: how often the piece was divided, key, digest, first and last window of each repeated stretch."""
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -249,7 +249,7 @@ def _sort(length: int, shard: int):
         held, size = [], 0
         for batch in batches:
             for key, digest, copies, data, runs, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), batch.column(5).to_pylist()):
-                if held and size > shard and key != held[-1][0]:
+                if held and size > 4 * shard and key != held[-1][0]:
                     yield _batch(array(held), types, names)
                     held, size = [], 0
                 held.append((key, digest, copies, data.as_py(), runs.as_py(), depth))
