@@ -195,6 +195,21 @@ class Execution:
             self._last, self._paged = (lambda v: None if v is None else int(v))(frame.agg(F.max("block")).first()[0]), True
         return self._last
 
+    def read_through(self) -> int | None:
+        """How far a page was read if it stopped before the range's last candidate block; None if the answer is whole."""
+        last = self.last_block()
+        if self.budget is None or last is None:
+            return None
+        beyond = self.weights().filter(F.col("block") > last)
+        return None if beyond.isEmpty() else last
+
+    def estimated_bytes(self, name: str) -> int:
+        """What the planner expects a table's rows of the range to take in memory, from file sizes and the columns that the answer needs."""
+        table = self.query.catalog.tables[name]
+        need = dict.fromkeys([*table.key, *(c for f in self.query.selected(table) for c in table.fields()[f])])
+        df = self._in_range(table).select(*[F.col(f"`{c}`") for c in need])
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     # ---- answers --------------------------------------------------------
 
     def lines(self) -> DataFrame:

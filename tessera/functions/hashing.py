@@ -97,6 +97,20 @@ class Fuse8:
         body = self.fingerprints
         return f == body[a] ^ body[b] ^ body[c]
 
+    def holds_all(self, digests: np.ndarray) -> np.ndarray:
+        """``holds`` for the XXH3-64 digests of many values at once."""
+        with np.errstate(over="ignore"):
+            h = digests + np.uint64(self.seed)
+            for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ (h >> np.uint64(33))) * np.uint64(k)
+            h ^= h >> np.uint64(33)
+            # The upper 64 bits of h * span, whose second factor has 32 bits.
+            span, half = np.uint64(self.span), np.uint64(32)
+            first = ((h >> half) * span + ((h & np.uint64(0xFFFFFFFF)) * span >> half)) >> half
+        mask, segment, body = np.uint64(self.segment - 1), np.uint64(self.segment), np.frombuffer(self.fingerprints, np.uint8)
+        found = body[first] ^ body[(first + segment) ^ (h >> np.uint64(18) & mask)] ^ body[(first + segment + segment) ^ (h & mask)]
+        return found == ((h ^ h >> half) & np.uint64(0xFF)).astype(np.uint8)
+
     @staticmethod
     def build(values: list[str], tries: int = 100) -> "Fuse8":
         """A filter for distinct values, by peeling; for clients and tests."""
@@ -137,8 +151,12 @@ def set_test(text: Column, sets: list[Fuse8]) -> Column:
 
     @F.pandas_udf("boolean")
     def look(s: pd.Series) -> pd.Series:
-        known = {v: any(f.holds(v) for f in sets) for v in s.dropna().unique()}
-        return s.map(known).fillna(False).astype(bool)
+        values = s.dropna().unique()
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(v.encode()) for v in values), np.uint64, len(values))
+        held = np.zeros(len(values), bool)
+        for f in sets:
+            held |= f.holds_all(digests)
+        return s.isin(values[held])
 
     return look(text)
 

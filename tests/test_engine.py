@@ -3,7 +3,9 @@
 import json
 from decimal import Decimal
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,7 +65,8 @@ def test_paging_is_exact(spark):
     split = [x for p in pages(spark, request, EVM, source, budget=3000) for x in lines(p)]
     assert [x for x in split if "logs" in x] == [x for x in whole if "logs" in x]
     tiny = execute(spark, request, EVM, source, budget=1)
-    assert len(lines(tiny)) == 1 and tiny.last_block() == 100
+    assert len(lines(tiny)) == 1 and tiny.last_block() == 100 and tiny.read_through() == 100
+    assert execute(spark, request, EVM, source).read_through() is None and tiny.estimated_bytes("logs") > 0
 
 
 def test_widths_do_not_matter(spark):
@@ -115,6 +118,8 @@ def test_fuse8(spark):
     values = [f"0x{i:040x}" for i in range(2000)]
     f = Fuse8.decode(Fuse8.build(values).encode())
     assert all(map(f.holds, values)) and sum(f.holds(f"no{i}") for i in range(20000)) < 200
+    mixed = [*values, *(f"no{i}" for i in range(20000))]
+    assert f.holds_all(np.array([xxhash.xxh3_64_intdigest(v.encode()) for v in mixed], np.uint64)).tolist() == [f.holds(v) for v in mixed]
     source = FrameSource(evm_chunk(spark))
     held = ["0x" + "0" * 39 + "1", *values[5:40]]
     request = {"type": "evm", "fields": {"log": {"logIndex": True, "address": True}}, "sets": {"s": {"fuse8": Fuse8.build(held).encode(), "canaries": held[:1]}}, "logs": [{"address": [{"set": "s"}]}], "toBlock": 100}
