@@ -297,7 +297,7 @@ def _certain(measured: DataFrame) -> DataFrame:
     upto = Window.partitionBy("pivot").orderBy("x", "kind", "cost").rowsBetween(Window.unboundedPreceding, 0)
     reach = events.withColumn("reach", F.sum("w").over(upto)).filter("kind = 1").select("pivot", "cost", "reach")
     own = F.when(2 * F.col("cost") <= F.col("limit"), F.col("copies")).otherwise(nothing)
-    return near.join(materialise(reach, "reach"), ["pivot", "cost"]).select("node", "pivot", (F.col("reach") - own).alias("certain"))
+    return near.join(reach, ["pivot", "cost"]).select("node", "pivot", (F.col("reach") - own).alias("certain"))
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
@@ -354,14 +354,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     sizes = sizes.groupBy("leader").agg(F.sum("n").alias("every"), F.max(F.when(F.col("alike"), F.struct("n", "pivot"))).alias("bulk"))
     sizes = sizes.select("leader", F.coalesce("bulk.n", F.lit(0)).alias("alike_n"), (F.col("every") - F.coalesce("bulk.n", F.lit(0))).alias("rest"), F.col("bulk.pivot").alias("bulk"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = materialise(sizes.filter("rest > 0").select("leader", "bulk", blocks("rest").alias("first"), (blocks("rest") + blocks("alike_n")).alias("blocks")), "leaders")
+    sizes = sizes.filter("rest > 0").select("leader", "bulk", blocks("rest").alias("first"), (blocks("rest") + blocks("alike_n")).alias("blocks"))
     placed = at.join(sizes, "leader").withColumn("__bulk", F.col("alike") & F.col("pivot").eqNullSafe(F.col("bulk")))
     deal = F.pmod(F.xxhash64("node", "leader"), F.when(F.col("__bulk"), F.col("blocks") - F.col("first")).otherwise(F.col("first")))
     placed = placed.withColumn("block", (F.when(F.col("__bulk"), F.col("first")).otherwise(F.lit(0)) + deal).cast("int"))
     # The rest's blocks meet all blocks, the bulk's only the rest's.
     others = F.sequence(F.lit(0), F.when(F.col("__bulk"), F.col("first")).otherwise(F.col("blocks")) - 1)
     placed = placed.withColumn("other", F.explode(others)).select("leader", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "copies", "pivot", "cost", "limit", "leaders")
-    units = materialise(placed, "units").join(ready, "node")
+    units = placed.join(ready, "node")
     found = units.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high", "node").mapInArrow(_verify(threshold, tolerance), "node long, links long, least long")
     found = materialise(found, "links")
 
@@ -370,7 +370,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     counts = found.select("node", "links").unionByName(certain.select("node", F.col("certain").alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("node", "digest", "rep", "copies").join(counts, "node", "left").join(groups, "node", "left")
     known = materialise(known.select("digest", "rep", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "classes")
-    heads = materialise(known.groupBy("root").agg(F.min("rep").alias("head")), "heads")
+    heads = known.groupBy("root").agg(F.min("rep").alias("head"))
     known = known.join(heads, "root").select("digest", F.col("rep.id").alias("copy_of"), F.col("head.id").alias("class_id"), F.col("head.row").alias("head"), "links")
     md5 = F.lower(F.hex("row")).alias("text_md5")
     linked = texts.select("id", "row", "digest").join(known, "digest").select(F.col("id").alias(id_col), "class_id", F.col("links").alias("n_links"), "copy_of", md5, ((F.col("id") == F.col("class_id")) & (F.col("row") == F.col("head"))).alias("keeper"))
