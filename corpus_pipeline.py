@@ -47,8 +47,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = ["doc_id", "__text_md5"]
     # Counted on narrow rows with partial sums, so that a row repeated very often meets as one row per task.
     repeated = materialise(kept.filter("doc_id IS NOT NULL").groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(*key), "repeated-rows")
-    once = kept.join(repeated, key, "left_semi").dropDuplicates(key)
-    return kept.join(repeated, key, "left_anti").unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not repeated.isEmpty():
+        once = kept.join(repeated, key, "left_semi").dropDuplicates(key)
+        kept = kept.join(repeated, key, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
