@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column as Expr
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,27 @@ def _epoch(value: Expr, kind: T.DataType, unit: str, stored_seconds: bool) -> Ex
     return F.when(micros < 0, -F.floor(-micros / F.lit(step).cast("decimal(38,0)"))).otherwise(F.floor(micros / F.lit(step).cast("decimal(38,0)"))).cast("string")
 
 
+def shortest(x: float) -> str:
+    """The shortest digits that read back as ``x``: plain from 1e-5 up to 1e16, with an exponent beyond."""
+    mantissa, _, exponent = repr(x).partition("e")
+    if not exponent:
+        return mantissa
+    if int(exponent) != -5:
+        return f"{mantissa}e{int(exponent)}"
+    sign, digits = ("-", mantissa[1:]) if mantissa[0] == "-" else ("", mantissa)
+    return f"{sign}0.0000{digits.replace('.', '')}"
+
+
+def float_json(value: Expr) -> Expr:
+    """A double's JSON text; null where it is no number. The JVM's own digits are not always the shortest, so this is an Arrow function."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return pd.Series([shortest(v) if math.isfinite(v) else None for v in x.astype("float64").tolist()], dtype=object)
+
+    return F.when(value.isNotNull(), text(value))
+
+
 def raw_json(value: Expr, kind: T.DataType, name: str, encoding: str = "", declared: str = "", members: dict[str, str] | None = None) -> Expr:
     """JSON text of a value, null where it is null (or renders as null)."""
     if encoding == "json_verbatim":
@@ -120,6 +144,8 @@ def column_json(c: Column, schema: T.StructType) -> Expr:
     nested = T.ArrayType if c.type.startswith("list_") else T.StructType if c.type == "struct" else None
     if nested and not isinstance(kind, nested) or not nested and isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
         raise _unrenderable(c.name, kind)
+    if isinstance(kind, T.DoubleType) and not c.encoding:
+        return float_json(F.col(f"`{c.name}`"))
     return raw_json(F.col(f"`{c.name}`"), schema[c.name].dataType, c.name, c.encoding, c.type, dict(c.members))
 
 

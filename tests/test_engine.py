@@ -139,6 +139,16 @@ def test_encodings(spark):
     assert base58(b"\0\0\1") == "112"
 
 
+def test_floats(spark):
+    values = {163491654908.9593: "163491654908.9593", 1e15: "1000000000000000.0", 1e16: "1e16", 1.5e300: "1.5e300", 1e-5: "0.00001", -2.5e-5: "-0.000025", 1e-6: "1e-6", 0.1: "0.1", -0.0: "-0.0", 2.0**-44: "5.684341886080802e-14", 3.0: "3.0", float("inf"): "null", float("nan"): "null", None: "null"}
+    catalog = parse("version: 1\ndataset: x\ntables:\n  b: {block: n, columns: {n: uint64, f: float64}}")
+    df = spark.createDataFrame(list(enumerate(values)), "n long, f double")
+    got = lines(execute(spark, {"type": "x", "includeAllBlocks": True, "fields": {"b": {"f": True}}}, catalog, FrameSource({"b": df})))
+    text = list(execute(spark, {"type": "x", "includeAllBlocks": True, "fields": {"b": {"f": True}}}, catalog, FrameSource({"b": df})).json_lines())
+    assert text == ['{"header":{"f":' + t + "}}\n" for t in values.values()]
+    assert [x["header"]["f"] for x in got][:9] == list(values)[:9]
+
+
 def test_frames_and_files(spark, tmp_path):
     write_chunk(evm_chunk(spark), EVM, f"{tmp_path}/a")
     write_chunk(evm_chunk(spark, 116, 120), EVM, f"{tmp_path}/b")
