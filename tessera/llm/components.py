@@ -21,7 +21,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """(node, root) of every node with an edge; root is the least node of its component.
 
     Only columns of ids move, each round is written to the shared folder, and
-    no component is ever gathered in one place. Null ids and loops are ignored.
+    no component is ever gathered in one place. Null ids and loops are ignored,
+    repeated edges count once, and no edges give no rows. The rounds grow with
+    the logarithm of the longest path; should ``max_rounds`` not do, it raises.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
     e = materialise(e, "edges")
