@@ -6,9 +6,10 @@ the text to shards so that equal strings meet in one. Every window of
 windows have equal anchors at equal offsets. Consecutive windows with one
 anchor form a run, and the anchor is the run's key: runs with one key go to one
 shard. A run alone under its key holds no repeat and is left out. Of runs with
-equal bytes a shard gets one, twice if there are several, and what the array
-says of it holds for all of them. Neighbouring runs that have nothing but copies
-under their keys go to a shard as one stretch of text. A key with more text than a shard holds is
+equal bytes one is sorted, and what the arrays say of it holds for all of them.
+Runs that occur several times go to a shard together with their neighbours of
+that kind, as one stretch of text, twice; under their keys they stand once, and
+only where a run that occurs once has to be compared with them. A key with more text than a shard holds is
 divided: windows are split by the anchor's offset in them, and those of one half
 share more bytes around the anchor, which are digested into the new key. This
 goes on until every key fits; at the end a key would be one window.
@@ -147,12 +148,12 @@ def _find(length: int):
 
 
 PIECE = "key long, digest long, copies int, low int, high int, place int, data binary"
-#: The runs of a stretch, one after another; null for a piece of one run.
+#: The runs of a stretch, one after another; null for a piece of one run, empty for one that is settled.
 RUNS = "array<struct<anchor:long,digest:long,windows:long>>"
 
 
 def _cut(length: int):
-    """The bytes of the wanted runs of each text, as pieces; neighbours with only copies under their keys as one."""
+    """The bytes of the wanted runs of each text, as pieces; neighbours that occur several times as one."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -177,7 +178,7 @@ def _cut(length: int):
                 for c in sorted(cuts.as_py(), key=lambda c: c["at"]):
                     at = c["at"]
                     first, windows, place = at >> 24, at >> 12 & 4095, at & 4095
-                    if c["sole"]:
+                    if c["copies"] > 1:
                         if held and (first != end or end - begin > STRETCH):
                             size += close()
                             held = []
@@ -185,9 +186,10 @@ def _cut(length: int):
                             begin = first
                         end = first + windows
                         held.append({"anchor": c["anchor"], "digest": c["digest"], "windows": windows})
-                    else:
+                    if c["open"]:
+                        # Runs that occur several times are there for the others to meet: no stretch of theirs is reported again.
                         own = data[first : first + windows + length - 1]
-                        rows.append((c["anchor"], c["digest"], c["copies"], 0, length - GRAM + 1, place, own, None))
+                        rows.append((c["anchor"], c["digest"], 1, 0, length - GRAM + 1, place, own, [] if c["copies"] > 1 else None))
                         size += len(own)
                 if held:
                     size += close()
@@ -237,7 +239,7 @@ def _sort(length: int, shard: int):
                 own = starts[at]
                 at += copies
                 offset = 0
-                for r in runs or ({"anchor": key, "digest": digest, "windows": len(data) - length + 1},):
+                for r in ({"anchor": key, "digest": digest, "windows": len(data) - length + 1},) if runs is None else runs:
                     to = offset + r["windows"]
                     part = own[np.searchsorted(own, offset) : np.searchsorted(own, to)] - offset
                     offset = to
@@ -307,12 +309,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = materialise(docs.mapInArrow(_zip, "row long, id long, data binary"), "texts", "uncompressed")
 
     every = materialise(texts.select("row", "data").mapInArrow(_find(length), "row long, anchor long, digest long, at long"), "runs")
-    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("digest") == F.max("digest")).alias("sole")).filter("n > 1").select("anchor", "sole")
+    anchors = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     shared = materialise(every.join(materialise(anchors, "anchors"), "anchor"), "shared-runs")
     # One text of each different run, and whether there are several.
-    different = shared.groupBy("anchor", "digest", "sole").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("row", "at")).alias("one"))
-    different = materialise(different.select("anchor", "digest", "sole", "copies", "one.row", "one.at"), "different-runs")
-    wanted = different.groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at", "sole")).alias("cuts"))
+    different = shared.groupBy("anchor", "digest").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"), F.min(F.struct("row", "at")).alias("one"))
+    different = materialise(different.select("anchor", "digest", "copies", "one.row", "one.at"), "different-runs")
+    # A key is open if a run under it occurs once: only then is there something to find out.
+    open_keys = different.groupBy("anchor").agg((F.min("copies") == 1).alias("open"))
+    wanted = different.join(open_keys, "anchor").groupBy("row").agg(F.collect_list(F.struct("anchor", "digest", "copies", "at", "open")).alias("cuts"))
     pieces = materialise(texts.join(wanted, "row").select("row", "data", "cuts").mapInArrow(_cut(length), f"{PIECE}, runs {RUNS}"), "pieces", "zstd")
 
     # Keys that are too large are divided by rounds; parts: which stretch of which run a piece is.
