@@ -34,8 +34,8 @@ GRAM = 32
 #: Windows digested at a time, which bounds memory for very long texts; the anchor's place takes the low 20 bits.
 SEGMENT = 1 << 19
 _PLACE = np.uint64(20)
-#: Bytes of one suffix array. A key with more is divided.
-SHARD = 1 << 20
+#: Bytes of one key's text; a key with more is divided. Whole keys make up arrays of sixteen times as much.
+SHARD = 1 << 18
 #: Bytes of a stretch of neighbouring runs.
 STRETCH = 1 << 16
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -251,7 +251,7 @@ def _sort(length: int, shard: int):
         held, size = [], 0
         for batch in batches:
             for key, digest, copies, data, runs, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), batch.column(5).to_pylist()):
-                if held and size > 4 * shard and key != held[-1][0]:
+                if held and size > 16 * shard and key != held[-1][0]:
                     yield _batch(array(held), types, names)
                     held, size = [], 0
                 held.append((key, digest, copies, data.as_py(), runs.as_py(), depth))
