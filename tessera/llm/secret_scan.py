@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialise
+
 KEYWORDS = "token|secret|passwd|password|pwd|api[_-]?key|apikey|access[_-]?key|auth|credential|private[_-]?key"
 #: Between a keyword and its value: the key's closing quote, '=', ':', ':=', '==' or '=>', with blanks.
 _SEP = r"[\"']?[ \t]{0,8}[=:]{1,2}>?[ \t]{0,8}"
@@ -184,7 +186,9 @@ def train(labelled: DataFrame, words: DataFrame, trees: int = 20, depth: int = 8
     """
     rows = labelled.filter(F.col("secret").isNotNull() & F.col("label").isNotNull()).select("secret", *[F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after", "path")], "label")
     rows = rows.orderBy(F.xxhash64("secret", "before", "after", "path"), "label").limit(max_rows)
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(rows, words))
+    # Written twice, so that the forest's many passes read a small table instead of making the findings and their features again.
+    measured = materialise(features(materialise(rows, "findings"), words), "finding-features")
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(measured)
     # In one partition and one order, for the trees' draws depend on both; the rows are bounded.
     vectors = vectors.coalesce(1).sortWithinPartitions(F.xxhash64("secret", "before", "after", "path"), "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(vectors)
