@@ -354,7 +354,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     sizes = sizes.groupBy("leader").agg(F.sum("n").alias("every"), F.max(F.when(F.col("alike"), F.struct("n", "pivot"))).alias("bulk"))
     sizes = sizes.select("leader", F.coalesce("bulk.n", F.lit(0)).alias("alike_n"), (F.col("every") - F.coalesce("bulk.n", F.lit(0))).alias("rest"), F.col("bulk.pivot").alias("bulk"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = sizes.filter("rest > 0").select("leader", "bulk", blocks("rest").alias("first"), (blocks("rest") + blocks("alike_n")).alias("blocks"))
+    # Written, so that the join below does not share its stage with the sums and a large leader can be split or its row broadcast.
+    sizes = materialise(sizes.filter("rest > 0").select("leader", "bulk", blocks("rest").alias("first"), (blocks("rest") + blocks("alike_n")).alias("blocks")), "leaders")
     placed = at.join(sizes, "leader").withColumn("__bulk", F.col("alike") & F.col("pivot").eqNullSafe(F.col("bulk")))
     deal = F.pmod(F.xxhash64("node", "leader"), F.when(F.col("__bulk"), F.col("blocks") - F.col("first")).otherwise(F.col("first")))
     placed = placed.withColumn("block", (F.when(F.col("__bulk"), F.col("first")).otherwise(F.lit(0)) + deal).cast("int"))
