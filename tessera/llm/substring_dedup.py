@@ -12,7 +12,9 @@ that kind, as one stretch of text, twice; under their keys they stand once, and
 only where a run that occurs once has to be compared with them. A key with more text than a shard holds is
 divided: windows are split by the anchor's offset in them, and those of one half
 share more bytes around the anchor, which are digested into the new key. This
-goes on until every key fits; at the end a key would be one window.
+goes on until every key fits; at the end a key would be one window. Of the runs
+under one key, only windows that share more bytes around the anchor with another
+run's are sorted.
 
 A shard is sorted as one suffix array by induced sorting, and permuted common
 prefixes of ``length`` bytes or more tell the repeated windows.
@@ -38,6 +40,8 @@ _PLACE = np.uint64(20)
 SHARD = 1 << 18
 #: Bytes of a stretch of neighbouring runs.
 STRETCH = 1 << 16
+#: Parts of a piece's windows, by the anchor's offset in them, that are left out alone.
+PARTS = 8
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -223,6 +227,37 @@ def _divide(length: int):
     return divide
 
 
+def met(pieces: list[tuple], length: int) -> Iterator[tuple[tuple, int, bytes]]:
+    """Pieces of one key with the windows that can be repeated: (piece, windows left out before them, bytes).
+
+    A piece is (copies, runs, low, high, place, data, ...). All its windows with
+    an anchor's offset from lo to hi - 1 share the bytes ``context``; if these
+    occur in no other piece, neither do the windows. Nor is there anything to
+    find out where only settled pieces hold them.
+    """
+    parts, seen, unsettled = [], {}, set()
+    for copies, runs, low, high, place, data, *_ in pieces:
+        own, last, width = [], len(data) - length, -(-(high - low) // PARTS)
+        for lo in range(low, high, width or 1):
+            hi = min(lo + width, high)
+            first, to = max(0, place - hi + 1), min(last, place - lo)
+            if first <= to:
+                context = data[place - lo : place - hi + 1 + length]
+                seen[context] = seen.get(context, 0) + copies
+                if runs is None:
+                    unsettled.add(context)
+                own.append((first, to, context))
+        parts.append(own)
+    for piece, own in zip(pieces, parts):
+        if piece[0] > 1:
+            yield piece, 0, piece[5]
+        else:
+            kept = [(first, to) for first, to, context in own if seen[context] > 1 and context in unsettled]
+            if kept:
+                first, to = kept[-1][0], kept[0][1]  # parts go from the last windows to the first
+                yield piece, first, piece[5][first : to + length]
+
+
 def _sort(length: int, shard: int):
     """Suffix arrays of whole keys, a few times ``shard`` bytes together: how often the piece was divided, key, digest, first and last window of each repeated stretch."""
 
@@ -233,29 +268,34 @@ def _sort(length: int, shard: int):
 
         def array(pieces: list[tuple]) -> list[tuple]:
             out = []
-            starts = repeated_starts([x[3] for x in pieces for _ in range(x[2])], length)
+            starts = repeated_starts([data for piece, _, data in pieces for _ in range(piece[0])], length)
             at = 0
-            for key, digest, copies, data, runs, depth in pieces:
+            for (copies, runs, _, _, _, _, key, digest, depth), shift, data in pieces:
                 own = starts[at]
                 at += copies
                 offset = 0
                 for r in ({"anchor": key, "digest": digest, "windows": len(data) - length + 1},) if runs is None else runs:
                     to = offset + r["windows"]
-                    part = own[np.searchsorted(own, offset) : np.searchsorted(own, to)] - offset
+                    part = own[np.searchsorted(own, offset) : np.searchsorted(own, to)] - offset + shift
                     offset = to
                     if len(part):
                         edge = np.flatnonzero(np.diff(part) > 1)
                         out += [(depth, r["anchor"], r["digest"], a, b) for a, b in zip(part[np.concatenate([[0], edge + 1])].tolist(), part[np.concatenate([edge, [len(part) - 1]])].tolist())]
             return out
 
-        held, size = [], 0
+        group, held, size = [], [], 0
         for batch in batches:
-            for key, digest, copies, data, runs, depth in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), batch.column(5).to_pylist()):
-                if held and size > 16 * shard and key != held[-1][0]:
-                    yield _batch(array(held), types, names)
-                    held, size = [], 0
-                held.append((key, digest, copies, data.as_py(), runs.as_py(), depth))
-                size += copies * len(held[-1][3])
+            for key, digest, depth, copies, low, high, place, data, runs in zip(*(batch.column(k).to_pylist() for k in range(7)), batch.column(7), batch.column(8)):
+                if group and key != group[-1][6]:
+                    for own in met(group, length):
+                        held.append(own)
+                        size += own[0][0] * len(own[2])
+                    group = []
+                    if size > 16 * shard:
+                        yield _batch(array(held), types, names)
+                        held, size = [], 0
+                group.append((copies, runs.as_py(), low, high, place, data.as_py(), key, digest, depth))
+        held += met(group, length)
         if held:
             yield _batch(array(held), types, names)
 
@@ -339,7 +379,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             parts = links.join(before, ["old_key", "old_digest"]).select("key", "digest", "anchor", "run", (F.col("shift") + F.col("more")).alias("shift"))
         parts = materialise(parts, "parts")
 
-    every_piece = [own.select("key", "digest", "copies", "data", "runs", F.lit(k).alias("depth")) for k, (own, _) in enumerate(fitting)]
+    every_piece = [own.select("key", "digest", F.lit(k).alias("depth"), "copies", "low", "high", "place", "data", "runs") for k, (own, _) in enumerate(fitting)]
     dealt = reduce(lambda a, b: a.unionByName(b), every_piece).repartition("key").sortWithinPartitions("key", "digest")
     found = materialise(dealt.mapInArrow(_sort(length, shard), "depth int, key long, digest long, first long, last long"), "repeated")
     stretches = found.filter("depth = 0").select(F.col("key").alias("anchor"), "digest", "first", "last")

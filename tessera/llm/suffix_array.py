@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Values of the longest substring that is sorted by its words.
+LONG = 1 << 11
+
 
 def _scan(sa: np.ndarray, leads: np.ndarray, begin: np.ndarray, stop: np.ndarray, front: np.ndarray) -> None:
     """Induce suffixes from those in ``sa``, by ascending rank.
@@ -104,15 +107,63 @@ def _same_strings(s: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarra
     return same
 
 
+def _words(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """At every position the eight bytes from it on, as one number in reading order, and how many values they are."""
+    top = int(values.max())
+    values = values.astype(">u1" if top < 1 << 8 else ">u2" if top < 1 << 16 else ">u4")
+    wide = values.itemsize
+    return np.ndarray((len(values),), ">u8", values.tobytes() + bytes(8), strides=(wide,)), 8 // wide
+
+
+def _sorted_stars(s: np.ndarray, k: int, stars: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The leftmost smaller suffixes by the substrings they begin, and where these differ; None if one is too long for it.
+
+    A substring ends with the next leftmost smaller suffix's character, which
+    counts as more than the same character elsewhere. So none is the beginning
+    of another, and words of eight bytes decide, zero where a substring is over.
+    """
+    used = np.cumsum(np.bincount(s, minlength=k) > 0) - 1
+    words, each = _words((2 * used)[s])
+    size = np.diff(np.append(stars, len(s) - 1)) + 1
+    if int(size.max()) > LONG:
+        return None
+    bits = 64 // each
+
+    def word(at: np.ndarray, done: int) -> np.ndarray:
+        left = size[at] - done
+        over = (np.maximum(each - left, 0) * bits).astype(np.uint64)
+        own = words[stars[at] + done].astype(np.uint64)
+        return ((own >> over) << over) | ((left <= each).astype(np.uint64) << over)
+
+    own = word(np.arange(len(stars)), 0)
+    order = np.argsort(own)
+    own = own[order]
+    new = np.append(True, own[1:] != own[:-1])
+    open_, done = np.arange(len(stars)), each
+    while True:
+        # A group that is equal so far goes on as a whole or not at all, and keeps its places.
+        first = new[open_]
+        open_ = open_[~(first & np.append(first[1:], True)) & (size[order[open_]] > done)]
+        if not len(open_):
+            return stars[order], new[1:]
+        group, own = np.cumsum(new[open_]), word(order[open_], done)
+        by = np.lexsort((own, group))
+        order[open_] = order[open_][by]
+        own = own[by]
+        new[open_[1:]] |= own[1:] != own[:-1]
+        done += each
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of ``s`` (values 0..k-1; its last value is 0 and occurs nowhere else).
 
     Suffixes are classified as smaller or larger than their successor; leftmost
-    smaller ones delimit substrings, which are sorted by induction and named; if
-    names repeat, the string of names is sorted recursively; one more induction
-    from the sorted leftmost smaller suffixes places all others.
+    smaller ones delimit substrings, which are sorted (by their words, or by
+    induction where they are long) and named; if names repeat, the string of
+    names is sorted recursively; one more induction from the sorted leftmost
+    smaller suffixes places all others.
     """
-    s = np.asarray(s, np.uint16 if k <= 1 << 16 else np.int32)
+    s = np.asarray(s, np.uint8 if k <= 1 << 8 else np.uint16 if k <= 1 << 16 else np.int32)
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int32)
@@ -124,13 +175,17 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     if len(stars) == 1:
         return _induced(s, k, small, stars)
-    rough = _induced(s, k, small, stars)
-    is_star = np.zeros(n, bool)
-    is_star[stars] = True
-    ordered = rough[is_star[rough]]
-    size = np.zeros(n, np.int32)
-    size[stars] = np.diff(np.concatenate([stars, [n - 1]])) + 1
-    new = ~_same_strings(s, ordered[:-1], ordered[1:], size[ordered[:-1]], size[ordered[1:]])
+    found = _sorted_stars(s, k, stars)
+    if found is None:
+        rough = _induced(s, k, small, stars)
+        is_star = np.zeros(n, bool)
+        is_star[stars] = True
+        ordered = rough[is_star[rough]]
+        size = np.zeros(n, np.int32)
+        size[stars] = np.diff(np.concatenate([stars, [n - 1]])) + 1
+        new = ~_same_strings(s, ordered[:-1], ordered[1:], size[ordered[:-1]], size[ordered[1:]])
+    else:
+        ordered, new = found
     name = np.zeros(n, np.int32)
     name[ordered] = np.concatenate([[0], np.cumsum(new)])
     names = name[stars]
@@ -142,44 +197,41 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, its common prefix with the suffix before it in the array, counted up to ``most``.
 
-    A position's value is at least its left neighbour's less one. Positions are
-    therefore done at steps of 64, then 32 and so on, each starting from what
-    the one before it guarantees.
+    Where a position and its right neighbour are paired with neighbours and
+    agree in their first value, the position's prefix is longer by one. So only
+    the last position of such a chain is compared.
     """
     s = np.asarray(s)
     n = len(s)
     out = np.zeros(n, np.int32)
     if n < 2:
         return out
-    before = np.full(n, -1, np.int32)
+    before = np.full(n, -2, np.int32)
     before[sa[1:]] = sa[:-1]
-    # Characters of 16 bits are compared four at a time, through a strided view.
-    words = np.ndarray((n,), np.uint64, np.concatenate([s.astype(np.uint16), np.zeros(4, np.uint16)]).tobytes(), strides=(2,)) if int(s.max()) < 1 << 16 else None
-    step = 64
-    while step:
-        at = np.arange(0, n, step) if step == 64 else np.arange(step, n, 2 * step)
-        if step != 64:
-            out[at] = np.maximum(out[at - step] - step, 0)
-        live = at[(before[at] >= 0) & (out[at] < most)]
-        if words is not None:
-            # Four characters at a time while they agree and none is past the end.
-            fast = live
-            while len(fast):
-                x, y = fast + out[fast], before[fast] + out[fast]
-                ok = np.maximum(x, y) < n - 4
-                fast, x, y = fast[ok], x[ok], y[ok]
-                fast = fast[words[x] == words[y]]
-                out[fast] += 4
-                fast = fast[out[fast] < most]
-        while len(live):
-            x, y = live + out[live], before[live] + out[live]
-            ok = np.maximum(x, y) < n
-            live, x, y = live[ok], x[ok], y[ok]
-            live = live[s[x] == s[y]]
-            out[live] += 1
-            live = live[out[live] < most]
-        step //= 2
-    return np.minimum(out, most)
+    linked = before[1:] == before[:-1] + 1
+    linked &= s[:-1] == s[before[:-1]]
+    ends = np.append(np.flatnonzero(~linked), n - 1)
+    words, each = _words(s)
+    live = ends[before[ends] >= 0]
+    # Eight bytes at a time while they agree and none is past the end.
+    fast = live
+    while len(fast):
+        x, y = fast + out[fast], before[fast] + out[fast]
+        ok = np.maximum(x, y) < n - each
+        fast, x, y = fast[ok], x[ok], y[ok]
+        fast = fast[words[x] == words[y]]
+        out[fast] += each
+        fast = fast[out[fast] < most]
+    live = live[out[live] < most]
+    while len(live):
+        x, y = live + out[live], before[live] + out[live]
+        ok = np.maximum(x, y) < n
+        live, x, y = live[ok], x[ok], y[ok]
+        live = live[s[x] == s[y]]
+        out[live] += 1
+        live = live[out[live] < most]
+    size = np.diff(ends, prepend=-1)
+    return np.minimum(np.repeat(out[ends] + ends, size) - np.arange(n), most).astype(np.int32)
 
 
 def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
@@ -190,7 +242,9 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     ends = np.cumsum([len(x) + 1 for x in strings])
     raw[ends - 1] = 1  # between strings
     raw[-1] = 0  # the end mark
-    sa = suffix_array(raw, 258)
+    used = np.bincount(raw, minlength=258) > 0
+    raw = (np.cumsum(used) - 1)[raw].astype(np.uint8 if used.sum() <= 1 << 8 else np.uint16)
+    sa = suffix_array(raw, int(used.sum()))
     lcp = permuted_lcp(raw, sa, length)
     hit = np.zeros(len(raw), bool)
     long_ = lcp[sa[1:]] >= length
