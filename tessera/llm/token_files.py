@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh_path, materialise
-from tessera.llm.files import committed, read_stream, shard_bounds, shard_of
+from tessera.llm.files import committed, read_stream, shard_bounds
 
 SCALE = 20
 LANES = 1024
@@ -64,7 +64,7 @@ class Coder:
         self.np, self.scale = np, scale
         self.freq = np.asarray(freq, dtype=np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.lookup = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        self.lookup = np.repeat(np.arange(len(self.freq), dtype=np.uint16 if len(self.freq) <= 1 << 16 else np.uint32), self.freq.astype(np.int64))
 
     def encode(self, ids, first: int, lanes: int = LANES) -> bytes:
         np = self.np
@@ -72,17 +72,22 @@ class Coder:
         steps = -(-n // lanes)
         state = np.full(lanes, _LOW, dtype=np.uint64)
         words = []
-        shift = np.uint64(63 - self.scale)
         scale, half = np.uint64(self.scale), np.uint64(32)
+        # What the table says of every symbol is looked up for the whole block; a step divides and adds.
+        every, starts = self.freq.take(ids), self.start.take(ids)
+        limits, factors = every << np.uint64(63 - self.scale), (np.uint64(1) << scale) - every
         for t in range(steps - 1, -1, -1):
-            s = ids[t * lanes : (t + 1) * lanes]
-            f, x = self.freq[s], state[: len(s)]
-            full = x >= (f << shift)
-            if full.any():
-                words.append(x[full].astype(np.uint32))
-                x[full] >>= half
-            q = x // f
-            x[:] = (q << scale) + (x - q * f) + self.start[s]
+            own = slice(t * lanes, min(n, (t + 1) * lanes))
+            x = state[: own.stop - own.start]
+            full = (x >= limits[own]).nonzero()[0]
+            if len(full):
+                high = x.take(full)
+                words.append(high.astype(np.uint32))
+                x[full] = high >> half
+            q = x // every[own]
+            q *= factors[own]  # q << scale takes the place of q * f
+            x += q
+            x += starts[own]
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
         payload = state.astype("<u8").tobytes() + stream.astype("<u4").tobytes()
         return _HEAD.pack(n, lanes, len(stream), first, zlib.crc32(payload), zlib.crc32(np.ascontiguousarray(ids, "<u4"))) + payload
@@ -92,20 +97,25 @@ class Coder:
         n, lanes, count, _, payload_crc, ids_crc = head
         if zlib.crc32(payload) != payload_crc:
             raise ValueError("a block's payload does not match its checksum")
-        state = np.frombuffer(payload, "<u8", lanes).astype(np.uint64)
-        stream = np.frombuffer(payload, "<u4", count, lanes * 8).astype(np.uint64)
+        # States are below 2**63; signed ones are indices without a copy.
+        state = np.frombuffer(payload, "<u8", lanes).astype(np.int64)
+        stream = np.frombuffer(payload, "<u4", count, lanes * 8).astype(np.int64)
+        freq, start = self.freq.astype(np.int64), self.start.astype(np.int64)
         out = np.empty(n, dtype=np.uint32)
-        mask, scale, half, low = np.uint64((1 << self.scale) - 1), np.uint64(self.scale), np.uint64(32), np.uint64(_LOW)
+        mask = (1 << self.scale) - 1
         at = 0
         for t in range(0, n, lanes):
             x = state[: min(lanes, n - t)]
             slot = x & mask
-            s = self.lookup[slot]
+            s = self.lookup.take(slot)
             out[t : t + len(x)] = s
-            x[:] = self.freq[s] * (x >> scale) + slot - self.start[s]
-            need = np.flatnonzero(x < low)
+            x >>= self.scale
+            x *= freq.take(s)
+            x += slot
+            x -= start.take(s)
+            need = (x < _LOW).nonzero()[0]
             if len(need):
-                x[need] = (x[need] << half) | stream[at : at + len(need)]
+                x[need] = (x.take(need) << 32) | stream[at : at + len(need)]
                 at += len(need)
         if zlib.crc32(np.ascontiguousarray(out, "<u4")) != ids_crc:
             raise ValueError("a block's ids do not match their checksum")
@@ -219,15 +229,16 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
 
         from tessera.llm.tokens import encoder
 
-        e = encoder(tokenizer)
+        e, tops = encoder(tokenizer), np.array(bounds, dtype=np.int64)
         end = np.array([end_id], dtype=e.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = [x + end for x in e.encode_many(part.column(2).to_pylist())]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array([e.dtype.itemsize] * len(ids), pa.int32())], names=["shard", "id", "ids", "n", "width"])
+                ids = [x + end for x in e.encode_many(part.column(1).to_pylist())]
+                shard = np.searchsorted(tops, part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")  # null ids go to the first
+                yield pa.record_batch([pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array([e.dtype.itemsize] * len(ids), pa.int32())], names=["shard", "id", "ids", "n", "width"])
 
-    tokens = source.select(shard_of(F.col("id"), bounds).alias("shard"), "id", "text").mapInArrow(encode, "shard int, id long, ids binary, n long, width int")
+    tokens = source.select("id", "text").mapInArrow(encode, "shard int, id long, ids binary, n long, width int")
     tokens = materialise(tokens, "token-ids")
 
     def count(batches: Iterator) -> Iterator:

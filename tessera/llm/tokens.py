@@ -17,6 +17,8 @@ _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
 _WIDE = re.compile("[^\x00-\xff]")
 #: A full stop or comma after another mark, which may belong to a longer run.
 _MARKS = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
+#: One space or newline and what it leads: any such chunks, one after another, are a text that is cut between them.
+_SPACED = re.compile("[ \n][^ \n]+")
 _LED = re.compile("[ \n]*[^ \n]+|[ \n]+")
 #: Chunks of one generation of a worker's cache. When a generation is full it becomes the
 #: old one, from which chunks in use are taken over. Bounds memory, never results.
@@ -54,9 +56,9 @@ class ChunkEncoder:
         added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.added_head = os.path.commonprefix(added)
-        # Tokens at which a word of letters ends (bare) or begins (leading), to take joined words apart.
+        # Tokens at which a word of letters ends (bare) or a chunk begins (leading: space, newline), to take joined ones apart.
         edge = str.endswith if self.mode == "bare" else str.startswith
-        mark = {"bare": "</w>", "leading": "\u0120"}.get(self.mode)
+        mark = {"bare": "</w>", "leading": ("\u0120", "\u010a")}.get(self.mode)
         self.edges = np.zeros(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)), bool)
         if mark:
             self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t, mark)]] = True
@@ -112,26 +114,31 @@ class ChunkEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of whole texts. Their new chunks are learned together."""
-        chunked = [self._chunks(t) if t else [] for t in texts]
         if len(self.cache) > MAX_CHUNKS:
             self.old, self.cache = self.cache, {"": b""}
-        new = set().union(*(c for c in chunked if c)).difference(self.cache)
+        chunked = [self._chunks(t) if t else [] for t in texts]
+        # Every chunk is looked up once; only the gaps are filled after learning.
+        found = [list(map(self.cache.get, c)) if c else [] for c in chunked]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        new = {c[i] for c, g in zip(chunked, gaps) for i in g}
         if new and self.old:
             for c in [c for c in new if c in self.old]:
                 self.cache[c] = self.old[c]
                 new.discard(c)
         if new:
             self._learn(new)
-        find = self.cache.__getitem__
-        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(map(find, c)) for t, c in zip(texts, chunked)]
+        for c, f, g in zip(chunked, found, gaps):
+            for i in g:
+                f[i] = self.cache[c[i]]
+        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(f) for t, c, f in zip(texts, chunked, found)]
 
     def _learn(self, new: set[str]) -> None:
         if self.mode == "bare":
             words = [c for c in new if c.isalpha()]
+            # Words beyond Latin-1 must not keep the others from being learned together.
+            words = [w for w in words if not _WIDE.search(w)] if _WIDE.search("".join(words)) else words
         else:
-            words = [c for c in new if c[0] == " " and c[1:].isalpha()]
-        # Words beyond Latin-1 must not keep the others from being learned together.
-        words = [w for w in words if not _WIDE.search(w)] if _WIDE.search("".join(words)) else words
+            words = list(filter(_SPACED.fullmatch, new)) if self.mode == "leading" else []
         rest = list(new.difference(words)) if self._learn_words(words) else list(new)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
@@ -139,13 +146,13 @@ class ChunkEncoder:
                 self.cache[c] = self._pack(e.ids)
 
     def _learn_words(self, words: list[str]) -> bool:
-        """Cache words of Latin letters from one encoding of them all; false, and nothing cached, if they don't come apart."""
-        joined = (" " if self.mode == "bare" else "").join(words)
-        if not words or _WIDE.search(joined):
-            return False
+        """Cache words (bare: of Latin letters) from one encoding of them all; false if they don't come apart."""
         if len(words) > 1024:
             half = len(words) // 2
             return self._learn_words(words[:half]) and self._learn_words(words[half:])
+        joined = (" " if self.mode == "bare" else "").join(words)
+        if not words or (self.mode == "bare" and _WIDE.search(joined)) or self._holds_added(joined):
+            return False
         ids = self._np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
         at = self._np.flatnonzero(self.edges[ids]) + (self.mode == "bare")
         if len(at) != len(words):

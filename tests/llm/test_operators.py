@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import struct
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -553,6 +554,54 @@ def test_token_files(spark, tmp_path):
     assert read_token_files(write_token_files(df.limit(0), path, f"file://{tmp_path}/e")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_learned_together(name):
+    """New chunks that a space or newline leads go to the library as a few texts, whatever marks and letters they hold."""
+    e, library, sent = ChunkEncoder(Q.tokenizer_path(name)), whole_encoder(name), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return whole.encode_batch_fast(texts, **kw)
+
+        def __getattr__(self, at):
+            return getattr(whole, at)
+
+    whole, e.tokenizer = e.tokenizer, Counted()
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgXYZ0é\u0120\u010aß'") for _ in range(rng.randint(1, 6))) + rng.choice(["", "$$$", ",", "!!", "'s", ".%%%", "\u00e9."])
+    texts = ["".join(rng.choice([" ", " ", "\n", "\n "] if k % 3 else " \n") + word() for _ in range(90)) for k in range(30)]
+    for at in range(0, 30, 10):
+        for t, raw in zip(texts[at : at + 10], e.encode_many([*texts[at : at + 10], None, ""])):
+            assert np.frombuffer(raw, e.dtype).tolist() == library(t).tolist()
+    assert e.encode_many([None, "", texts[0]])[:2] == [b"", b""]
+    if e.mode == "leading":
+        assert len(sent) < 700  # of some 2700 words
+
+
+def test_range_coder_one_symbol():
+    """A table of one symbol, whose frequency is the whole scale, and lanes that do not fill."""
+    coder = Coder(frequencies([0, 0, 9]))
+    head = struct.Struct("<IHIQII")
+    for n in (1, 7, 5000):
+        raw = coder.encode(np.full(n, 2, np.uint16), 3)
+        assert coder.decode(head.unpack(raw[: head.size]), raw[head.size :]).tolist() == [2] * n
+
+
+def test_token_files_one_python_step(spark, tmp_path, monkeypatch):
+    """Texts pass one Python worker on their way to ids: shards are dealt where texts are encoded."""
+    from tessera.llm import token_files
+
+    plans = []
+    written = token_files.materialise
+    monkeypatch.setattr(token_files, "materialise", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), written(df, *a))[1])
+    df = spark.createDataFrame([(i if i % 9 else None, f"text {i} " * 9) for i in range(-60, 60)], "doc_id long, text string")
+    manifest = write_token_files(df, Q.tokenizer_path("byte_bpe_50k.json"), f"file://{tmp_path}/t", shard_bytes=2000)
+    assert "MapInArrow" in plans[0] and "EvalPython" not in plans[0]
+    got = [r[0] for r in read_token_files(manifest).orderBy("start").collect()]
+    assert manifest.count() > 1 and got == sorted((r[0] for r in df.collect()), key=lambda d: (d is not None, d or 0))
+
+
 def test_range_coder(tmp_path):
     rng = np.random.default_rng(1)
     ids = np.minimum(rng.geometric(0.01, 300_000), 50_000).astype(np.uint32)
