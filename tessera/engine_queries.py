@@ -1,7 +1,9 @@
 """Registered queries of the block engine, each a request over Parquet chunks made of the driver's tables, with its SQL.
 
-A chunk is written once for a session and folder of tables, and read by every
-query; its tables are derived from whole driver tables.
+A chunk's tables are written once for a session and folder of tables, each at
+its first use, and read by every query; they are derived from whole driver
+tables. Driver tables are dealt by blocks while they are narrow, once, and wide
+columns are derived where the rows are written.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from tessera.catalog import Catalog, parse
 from tessera.engine import Execution, execute, read_frames
 from tessera.errors import QueryError
 from tessera.functions.hashing import Fuse8, bloom_build
-from tessera.sources.chunks import FrameSource, ParquetSource, shared_folder, write_chunk
+from tessera.sources.chunks import DerivedSource, FrameSource, ranged, shared_folder
 
 SHOP = """
 version: 1
@@ -160,9 +162,9 @@ def _parties(supplier: Column, part: Column) -> Column:
 
     @F.pandas_udf("binary")
     def build(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bloom_build([f"s{x}", f"p{y}"], 64, 7) for x, y in zip(a, b)])
+        return pd.Series([bloom_build([v for v in pair if v is not None], 64, 7) for pair in zip(a, b)], dtype=object)
 
-    return build(supplier, part)
+    return build(F.concat(F.lit("s"), supplier), F.concat(F.lit("p"), part))
 
 
 def catalogs() -> dict[str, Catalog]:
@@ -172,12 +174,16 @@ def catalogs() -> dict[str, Catalog]:
 def shop(spark: SparkSession, sf_dir: str) -> FrameSource:
     """Orders as blocks, line items and payments as items; nulls, lists and sizes derived."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    orders = o.withColumn("parent_hash", F.concat(F.lit("h"), F.col("o_orderkey") - 1))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    orders = ranged(o, "o_orderkey", o.count()).sortWithinPartitions("o_orderkey").withColumn("parent_hash", F.concat(F.lit("h"), F.col("o_orderkey") - 1))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows = li.count()
+    own = ranged(li.select("l_orderkey", *order, "l_returnflag", "l_linestatus"), "l_orderkey", rows).sortWithinPartitions("l_orderkey", *order)
+    # Numbered before anything else is derived: behind an Arrow function the rows' ranges would be unknown, and dealt again.
+    own = own.withColumn("seq", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
     quantity = F.col("l_quantity").cast("int")
-    lines = li.select(
-        "l_orderkey", F.row_number().over(order).alias("seq"), "l_linenumber", "l_partkey", "l_suppkey",
+    lines = own.select(
+        "l_orderkey", "seq", "l_linenumber", "l_partkey", "l_suppkey",
         F.lower("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_quantity") > 25).alias("big"),
         F.nullif("l_returnflag", F.lit("N")).alias("note"), F.concat(F.lit("0x"), F.lower(F.hex(quantity))).alias("hexed"),
         F.array("l_returnflag", "l_linestatus").alias("tags"), F.col("l_returnflag").alias("t0"), F.nullif("l_linestatus", F.lit("O")).alias("t1"), F.lit("x").alias("t2"), F.array(F.lit("y"), F.lit("z")).alias("rest"),
@@ -185,22 +191,33 @@ def shop(spark: SparkSession, sf_dir: str) -> FrameSource:
         F.col("l_shipdate").alias("shipped"), F.col("l_extendedprice").cast("bigint").cast("string").alias("paid"), F.col("l_extendedprice").cast("bigint").alias("price_size"),
         F.when(quantity % 2 == 0, F.concat(F.lit('{"q":'), quantity, F.lit("}"))).otherwise(F.lit("")).alias("doc"), _parties(F.col("l_suppkey"), F.col("l_partkey")).alias("parties"),
     )
-    pay = li.filter(F.col("l_linenumber") != 2).select(F.col("l_orderkey").alias("p_order"), F.col("l_linenumber").alias("p_line"), F.col("l_suppkey").alias("p_supplier"), F.when(F.col("l_suppkey") % 2 == 0, "cash").otherwise("card").alias("mode")).distinct()
-    return FrameSource({"orders": orders, "lineitem": lines, "payments": pay})
+    pay = li.filter(F.col("l_linenumber") != 2).select(F.col("l_orderkey").alias("p_order"), F.col("l_linenumber").alias("p_line"), F.col("l_suppkey").alias("p_supplier"))
+    pay = ranged(pay, "p_order", rows).distinct().sortWithinPartitions("p_order", "p_line", "p_supplier").withColumn("mode", F.when(F.col("p_supplier") % 2 == 0, "cash").otherwise("card"))
+    return FrameSource({"orders": orders, "lineitem": lines, "payments": pay}, laid_out=("orders", "lineitem", "payments"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in ranges of their sizes, which are blocks, ordered by key."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return ranged(p, "p_size", p.count()).sortWithinPartitions("p_size", "p_partkey")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("number")).distinct()
 
 
 def tree(spark: SparkSession, sf_dir: str) -> FrameSource:
     """Parts as nodes of digit paths: a part is below another of its size if its number extends the other's."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = _parts(spark, sf_dir)
     digits = F.transform(F.split(F.col("p_partkey").cast("string"), ""), lambda x: x.cast("int"))
     nodes = p.select(F.col("p_size").alias("size"), F.col("p_partkey").alias("part"), digits.alias("path"), F.col("p_brand").alias("brand"))
     marks = nodes.select("size", F.col("part").alias("id"), F.col("path").alias("spot"))
-    return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "nodes": nodes, "marks": marks})
+    return FrameSource({"sizes": _sizes(spark, sf_dir), "nodes": nodes, "marks": marks}, laid_out=("nodes", "marks"))
 
 
 def lab(spark: SparkSession, sf_dir: str) -> FrameSource:
     """Parts as rows of every kind of value: floats with gaps, binaries, signed numbers, lists, structs and lists of structs."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = _parts(spark, sf_dir)
     key, name = F.col("p_partkey"), F.col("p_name")
     wide = F.lpad(F.hex(key + 16777216), 8, "0")
     box = lambda i, label: F.struct(F.lit(i).alias("box_number"), label.alias("label"))
@@ -212,21 +229,20 @@ def lab(spark: SparkSession, sf_dir: str) -> FrameSource:
         F.when(key % 5 > 0, F.array(box(1, F.col("p_brand")), box(2, F.lit(None).cast("string")))).alias("boxes"),
         (key % 9 - 4).cast("short").alias("delta"), F.unhex(F.lpad(F.hex(key % 50), 8, "0")).alias("code"), (key % 4).cast("int").alias("flag"),
     )
-    return FrameSource({"sizes": p.select(F.col("p_size").alias("number")).distinct(), "things": things})
+    return FrameSource({"sizes": _sizes(spark, sf_dir), "things": things}, laid_out=("things",))
 
 
 #: Datasets' tables as they are derived, and the chunks written of them by session and folder.
 _DERIVED = {"shop": shop, "tree": tree, "lab": lab}
-_chunks: dict[tuple[str, str, str], ParquetSource] = {}
+_chunks: dict[tuple[str, str, str], DerivedSource] = {}
 
 
-def chunk(spark: SparkSession, sf_dir: str, dataset: str) -> ParquetSource:
-    """The dataset's Parquet chunk, laid out for skipping, written at its first use."""
+def chunk(spark: SparkSession, sf_dir: str, dataset: str) -> DerivedSource:
+    """The dataset's Parquet chunk, laid out for skipping, its tables written at their first use."""
     at = (spark.sparkContext.applicationId, sf_dir, dataset)
     if at not in _chunks:
         path = f"{shared_folder(spark)}/chunk-{dataset}-{uuid.uuid4().hex}"
-        write_chunk(_DERIVED[dataset](spark, sf_dir).tables, catalogs()[dataset], path)
-        _chunks[at] = ParquetSource(spark, path)
+        _chunks[at] = DerivedSource(spark, path, _DERIVED[dataset](spark, sf_dir), catalogs()[dataset])
     return _chunks[at]
 
 

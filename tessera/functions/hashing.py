@@ -6,6 +6,7 @@ import base64
 import binascii
 import struct
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,13 +22,18 @@ def bloom_bits(value: str, n_bytes: int, hashes: int) -> list[int]:
     return [xxhash.xxh3_64_intdigest(value.encode() + b"\xff", seed=k) % (n_bytes * 8) for k in range(hashes)]
 
 
+@lru_cache(maxsize=1 << 16)
+def _bloom_mask(value: str, n_bytes: int, hashes: int) -> int:
+    """The bits that a value sets, as a number: bit b of a filter is bit b % 8 of its byte b // 8."""
+    return sum(1 << b for b in set(bloom_bits(value, n_bytes, hashes)))
+
+
 def bloom_build(values: list[str], n_bytes: int, hashes: int) -> bytes:
     """A filter that holds the values."""
-    out = bytearray(n_bytes)
+    out = 0
     for v in values:
-        for b in bloom_bits(v, n_bytes, hashes):
-            out[b // 8] |= 1 << (b % 8)
-    return bytes(out)
+        out |= _bloom_mask(v, n_bytes, hashes)
+    return out.to_bytes(n_bytes, "little")
 
 
 def bloom_test(stored: Column, needles: list[str], n_bytes: int, hashes: int) -> Column:

@@ -62,10 +62,14 @@ class ParquetSource:
 
 
 class FrameSource:
-    """Tables held as DataFrames: in-memory or derived chunks. ``vouched``: their block numbers are known to be set."""
+    """Tables held as DataFrames: in-memory or derived chunks.
 
-    def __init__(self, tables: dict[str, DataFrame], vouched: bool = True):
-        self.tables, self.vouched = tables, vouched
+    ``vouched``: their block numbers are known to be set. ``laid_out``: names of
+    tables that come in ranges of their blocks (``ranged``) and in key order.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], vouched: bool = True, laid_out: Iterable[str] = ()):
+        self.tables, self.vouched, self.laid_out = tables, vouched, frozenset(laid_out)
 
     def has_table(self, name: str) -> bool:
         return name in self.tables
@@ -92,12 +96,41 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tessera-chunks-"))
 
 
-def write_chunk(tables: dict[str, DataFrame], catalog: Catalog, directory: str, mode: str = "error") -> None:
-    """Write a chunk laid out for skipping: block numbers signed, rows sorted by each table's sort key."""
+#: Rows that one task of a written chunk takes, about: few enough to be sorted in memory.
+TASK_ROWS = 1 << 19
+
+
+def ranged(df: DataFrame, block: str, rows: int) -> DataFrame:
+    """Rows dealt by ranges of block numbers, in tasks of a bounded size. ``rows``: how many there are, about.
+
+    All rows of a block come to one task, so what is grouped or ordered within
+    blocks afterwards needs no other shuffle. Ranges are sampled by a run of
+    ``df``: derive wide columns afterwards.
+    """
+    return df.repartitionByRange(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), block)
+
+
+def write_chunk(tables: dict[str, DataFrame], catalog: Catalog, directory: str, mode: str = "error", laid_out: Iterable[str] = ()) -> None:
+    """Write a chunk laid out for skipping: block numbers signed, rows sorted by each table's sort key. Tables ``laid_out`` are so already."""
     for name, df in tables.items():
         t = catalog.tables[name]
         kind = dict(df.dtypes)[t.block]
         if kind.startswith("decimal"):
             df = df.withColumn(t.block, df[t.block].cast("long"))
-        keys = [k for k in (t.sort_key or t.key) if k in df.columns]
-        df.repartitionByRange(t.block).sortWithinPartitions(*keys).write.mode(mode).parquet(f"{directory.rstrip('/')}/{name}.parquet")
+        if name not in laid_out:
+            keys = [k for k in (t.sort_key or t.key) if k in df.columns]
+            df = df.repartitionByRange(t.block).sortWithinPartitions(*keys)
+        df.write.mode(mode).option("compression", "zstd").parquet(f"{directory.rstrip('/')}/{name}.parquet")
+
+
+class DerivedSource(ParquetSource):
+    """A Parquet chunk of derived tables, each written at its first use."""
+
+    def __init__(self, spark: SparkSession, directory: str, tables: FrameSource, catalog: Catalog):
+        super().__init__(spark, directory)
+        self.derived, self.catalog = tables, catalog
+
+    def _open(self, name: str) -> DataFrame | None:
+        if name not in self._read and self.derived.has_table(name):
+            write_chunk({name: self.derived.table(name)}, self.catalog, self.directories[0], laid_out=self.derived.laid_out)
+        return super()._open(name)
