@@ -20,6 +20,8 @@ _MARKS = re.compile("[.,](?<![0-9A-Za-zÀ-ÖØ-öø-ÿ][.,])")
 #: One space or newline and what it leads: any such chunks, one after another, are a text that is cut between them.
 _SPACED = re.compile("[ \n][^ \n]+")
 _LED = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: A led word of Latin letters and the marks behind it, between which byte-level splitters always cut.
+_MARKED = re.compile("([ \n][A-Za-zÀ-ÖØ-öø-ÿ]+)([#$%&*|<>.,!?;:]+)")
 #: Chunks of one generation of a worker's cache. When a generation is full it becomes the
 #: old one, from which chunks in use are taken over. Bounds memory, never results.
 MAX_CHUNKS = 320_000
@@ -60,9 +62,25 @@ class ChunkEncoder:
         edge = str.endswith if self.mode == "bare" else str.startswith
         mark = {"bare": "</w>", "leading": ("\u0120", "\u010a")}.get(self.mode)
         self.edges = np.zeros(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)), bool)
+        self.letters, self.table = None, {}
+        if self.mode == "leading":
+            self._letters()
         if mark:
             self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t, mark)]] = True
 
+    def _letters(self) -> None:
+        """The same model behind a plain cut at NUL, for words that need no splitter, and what bytes up to Latin-1 are written as in its vocabulary."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x00")
+        # The model's own cache holds a few thousand words and would be asked for chunks that are new by definition.
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        as_text = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+        self.table = {c: "".join(as_text[b] for b in chr(c).encode()) for c in range(1, 256)}
+
     @staticmethod
     def _mode(spec: dict) -> str:
         """leading: chunks keep the white space before them; bare: white space only separates; whole: anything else."""
@@ -137,23 +155,50 @@ class ChunkEncoder:
             words = [c for c in new if c.isalpha()]
             # Words beyond Latin-1 must not keep the others from being learned together.
             words = [w for w in words if not _WIDE.search(w)] if _WIDE.search("".join(words)) else words
+        elif self.mode == "leading":
+            new, marked = self._parted(new)
+            plain = [c for c in new if c[0] == " " and c[1:].isalpha()]
+            plain = [w for w in plain if not _WIDE.search(w)] if _WIDE.search("".join(plain)) else plain
+            if self._learn_words(plain, letters=True):
+                new = new.difference(plain)
+            words = list(filter(_SPACED.fullmatch, new))
         else:
-            words = list(filter(_SPACED.fullmatch, new)) if self.mode == "leading" else []
+            words = []
         rest = list(new.difference(words)) if self._learn_words(words) else list(new)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.cache[c] = self._pack(e.ids)
-
-    def _learn_words(self, words: list[str]) -> bool:
-        """Cache words (bare: of Latin letters) from one encoding of them all; false if they don't come apart."""
+        if self.mode == "leading":
+            for c, word, marks in marked:
+                self.cache[c] = self.cache[word] + self.cache[marks]
+
+    def _parted(self, new: set[str]) -> tuple[set[str], list[tuple[str, str, str]]]:
+        """New chunks that are a word and marks as such, and what has to be learned for them and the others."""
+        marked = [(c, m[1], m[2]) for c in new if not c[-1].isalpha() and (m := _MARKED.fullmatch(c))]
+        if not marked:
+            return new, marked
+        need = new.difference(c for c, _, _ in marked)
+        for part in {x for _, word, marks in marked for x in (word, marks)}:
+            if part not in self.cache:
+                if part in self.old:
+                    self.cache[part] = self.old[part]
+                else:
+                    need.add(part)
+        return need, marked
+
+    def _learn_words(self, words: list[str], letters: bool = False) -> bool:
+        """Cache words (bare, letters: of Latin letters) from one encoding of them all; false if they don't come apart."""
         if len(words) > 1024:
             half = len(words) // 2
-            return self._learn_words(words[:half]) and self._learn_words(words[half:])
+            return self._learn_words(words[:half], letters) and self._learn_words(words[half:], letters)
         joined = (" " if self.mode == "bare" else "").join(words)
         if not words or (self.mode == "bare" and _WIDE.search(joined)) or self._holds_added(joined):
             return False
-        ids = self._np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        if letters:
+            joined = "\x00".join(words).translate(self.table)
+        library = self.letters if letters else self.tokenizer
+        ids = self._np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
         at = self._np.flatnonzero(self.edges[ids]) + (self.mode == "bare")
         if len(at) != len(words):
             return False
