@@ -120,13 +120,12 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str, text_col: str, capa
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from tessera.llm.tokens import encoder
+        from tessera.llm.tokens import encoder, together
 
         e = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4")
         part, seen = TaskContext.get().partitionId(), {}
-        parts = (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64))
-        for batch in parts:
+        for batch in together(batches):
             rows, piece, start, length, crc, local = [], [], [], [], [], []
             for i, packed in enumerate(e.encode_many(batch.column(1).to_pylist())):
                 ids = np.concatenate([np.frombuffer(packed, e.dtype).astype("<u4"), end])

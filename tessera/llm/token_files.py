@@ -227,16 +227,14 @@ def write_token_files(df: DataFrame, tokenizer: str, path: str | None = None, id
         import numpy as np
         import pyarrow as pa
 
-        from tessera.llm.tokens import encoder
+        from tessera.llm.tokens import encoder, together
 
         e, tops = encoder(tokenizer), np.array(bounds, dtype=np.int64)
         end = np.array([end_id], dtype=e.dtype).tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids = [x + end for x in e.encode_many(part.column(1).to_pylist())]
-                shard = np.searchsorted(tops, part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")  # null ids go to the first
-                yield pa.record_batch([pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array([e.dtype.itemsize] * len(ids), pa.int32())], names=["shard", "id", "ids", "n", "width"])
+        for part in together(batches):
+            ids = [x + end for x in e.encode_many(part.column(1).to_pylist())]
+            shard = np.searchsorted(tops, part.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="left")  # null ids go to the first
+            yield pa.record_batch([pa.array(shard.astype(np.int32)), part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // e.dtype.itemsize for x in ids], pa.int64()), pa.array([e.dtype.itemsize] * len(ids), pa.int32())], names=["shard", "id", "ids", "n", "width"])
 
     tokens = source.select("id", "text").mapInArrow(encode, "shard int, id long, ids binary, n long, width int")
     tokens = materialise(tokens, "token-ids")

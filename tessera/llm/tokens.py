@@ -7,10 +7,13 @@ from the cache. The result equals encoding each whole text.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 
+from tessera.llm.merges import Merges
+
 #: White space other than space and newline; texts that hold it are encoded whole in "leading" mode.
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 #: Letters beyond Latin-1, whose case and composition are left to the library.
@@ -26,9 +29,30 @@ _MARKED = re.compile("([ \n][A-Za-zÀ-ÖØ-öø-ÿ]+)([#$%&*|<>.,!?;:]+)")
 #: old one, from which chunks in use are taken over. Bounds memory, never results.
 MAX_CHUNKS = 320_000
 
+#: Words of so many letters at most are merged together.
+MERGED = 48
+
+#: Texts that are encoded together hold so many bytes, about.
+TOGETHER = 1 << 22
+
 _encoders: dict[str, "ChunkEncoder"] = {}
 
 
+def together(batches, column: int = 1):
+    """Record batches as runs of rows whose texts are encoded together: the more, the fewer times a chunk is looked up."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            held = int(sizes[at - 1]) if at else 0
+            n = max(1, int(np.searchsorted(sizes, held + TOGETHER, side="right")) - at)
+            yield batch.slice(at, n)
+            at += n
+
+
 def encoder(path: str) -> "ChunkEncoder":
     """The worker's encoder for a tokenizer file."""
     if path not in _encoders:
@@ -62,24 +86,21 @@ class ChunkEncoder:
         edge = str.endswith if self.mode == "bare" else str.startswith
         mark = {"bare": "</w>", "leading": ("\u0120", "\u010a")}.get(self.mode)
         self.edges = np.zeros(max(size, 1 + max(self.tokenizer.get_vocab().values(), default=0)), bool)
-        self.letters, self.table = None, {}
+        self.merges = None
         if self.mode == "leading":
-            self._letters()
+            self._letters(spec["model"])
         if mark:
             self.edges[[i for t, i in self.tokenizer.get_vocab().items() if edge(t, mark)]] = True
 
-    def _letters(self) -> None:
-        """The same model behind a plain cut at NUL, for words that need no splitter, and what bytes up to Latin-1 are written as in its vocabulary."""
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\x00")
+    def _letters(self, model: dict) -> None:
+        """The model's merges, for words that need no splitter."""
         # The model's own cache holds a few thousand words and would be asked for chunks that are new by definition.
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         as_text = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
-        self.table = {c: "".join(as_text[b] for b in chr(c).encode()) for c in range(1, 256)}
+        with contextlib.suppress(ValueError):
+            self.merges = Merges(model, as_text)
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -98,7 +119,8 @@ class ChunkEncoder:
             return False
         return self.added.search(text) is not None
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _cut(self, text: str) -> str | None:
+        """The text with the mode's separator between its chunks; None if it has to be encoded whole."""
         if self.mode == "whole" or self._holds_added(text):
             return None
         flat = text.replace("\n", " ")
@@ -108,14 +130,14 @@ class ChunkEncoder:
                 flat = flat.lower()
                 if self._apart(flat):
                     flat = flat.replace(".", " .").replace(",", " ,")
-            return flat.split(" ")
+            return flat
         if not flat.isprintable() and _ODD.search(text):  # printable white space is the space alone
             return None
         if "  " in flat:
-            return _LED.findall(text)
+            return "\x00".join(_LED.findall(text))
         if self._apart(flat):
             text = text.replace(".", "\x00.").replace(",", "\x00,")
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n")
 
     @staticmethod
     def _apart(flat: str) -> bool:
@@ -131,24 +153,39 @@ class ChunkEncoder:
         return self.encode_many([text])[0]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of whole texts. Their new chunks are learned together."""
+        """Packed ids of whole texts. Their new chunks are learned together, and each of their chunks is looked up once."""
+        np = self._np
+        import pyarrow as pa
+
         if len(self.cache) > MAX_CHUNKS:
             self.old, self.cache = self.cache, {"": b""}
-        chunked = [self._chunks(t) if t else [] for t in texts]
-        # Every chunk is looked up once; only the gaps are filled after learning.
-        found = [list(map(self.cache.get, c)) if c else [] for c in chunked]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        new = {c[i] for c, g in zip(chunked, gaps) for i in g}
+        separator = " " if self.mode == "bare" else "\x00"
+        cut = [self._cut(t) if t else "" for t in texts]
+        raw = np.frombuffer("".join([f"{c or ''}{separator}" for c in cut]).encode(), np.uint8)
+        between = raw == ord(separator)
+        ends = np.flatnonzero(between)
+        # Arrow numbers the different chunks of all texts; Python sees each of them once, and Arrow joins their ids.
+        offsets = np.zeros(len(ends) + 1, np.int64)
+        np.subtract(ends, np.arange(len(ends)), out=offsets[1:])
+        chunks = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(raw[~between])).dictionary_encode()
+        words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist
+        found = list(map(self.cache.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        new = {words[i] for i in gaps}
         if new and self.old:
             for c in [c for c in new if c in self.old]:
                 self.cache[c] = self.old[c]
                 new.discard(c)
         if new:
             self._learn(new)
-        for c, f, g in zip(chunked, found, gaps):
-            for i in g:
-                f[i] = self.cache[c[i]]
-        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else b"".join(f) for t, c, f in zip(texts, chunked, found)]
+        for i in gaps:
+            found[i] = self.cache[words[i]]
+        joined = pa.array(found, pa.large_binary()).take(chunks.indices)
+        _, starts, data = joined.buffers()
+        starts = np.frombuffer(starts, np.int64, len(joined) + 1, joined.offset * 8) if len(joined) else np.zeros(1, np.int64)
+        stops = starts[np.cumsum([0, *((c or "").count(separator) + 1 for c in cut)])].tolist()
+        data = memoryview(data or b"")
+        return [self._pack(self.tokenizer.encode(t, add_special_tokens=False).ids) if c is None else bytes(data[a:b]) for t, c, a, b in zip(texts, cut, stops, stops[1:])]
 
     def _learn(self, new: set[str]) -> None:
         if self.mode == "bare":
@@ -157,7 +194,7 @@ class ChunkEncoder:
             words = [w for w in words if not _WIDE.search(w)] if _WIDE.search("".join(words)) else words
         elif self.mode == "leading":
             new, marked = self._parted(new)
-            plain = [c for c in new if c[0] == " " and c[1:].isalpha()]
+            plain = [c for c in new if c[0] == " " and c[1:].isalpha() and len(c) <= MERGED]
             plain = [w for w in plain if not _WIDE.search(w)] if _WIDE.search("".join(plain)) else plain
             if self._learn_words(plain, letters=True):
                 new = new.difference(plain)
@@ -189,16 +226,18 @@ class ChunkEncoder:
 
     def _learn_words(self, words: list[str], letters: bool = False) -> bool:
         """Cache words (bare, letters: of Latin letters) from one encoding of them all; false if they don't come apart."""
+        if letters:
+            if not words or self.merges is None or self._holds_added("".join(words)):
+                return False
+            self.cache.update(zip(words, self.merges(words, self.dtype)))
+            return True
         if len(words) > 1024:
             half = len(words) // 2
-            return self._learn_words(words[:half], letters) and self._learn_words(words[half:], letters)
+            return self._learn_words(words[:half]) and self._learn_words(words[half:])
         joined = (" " if self.mode == "bare" else "").join(words)
         if not words or (self.mode == "bare" and _WIDE.search(joined)) or self._holds_added(joined):
             return False
-        if letters:
-            joined = "\x00".join(words).translate(self.table)
-        library = self.letters if letters else self.tokenizer
-        ids = self._np.array(library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ids = self._np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
         at = self._np.flatnonzero(self.edges[ids]) + (self.mode == "bare")
         if len(at) != len(words):
             return False
